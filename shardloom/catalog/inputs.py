@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.operators.ordering import number_rows
+from shardloom.session import materialize
 
 # Fixed bytes: the PNG signature.
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -33,8 +34,19 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return e.filter(even).select(pair, v), e.filter(~even).select(pair, v)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a shard sample, with the defects that real shards have."""
+    """Every document as a shard sample. Samples are stored data, so they are written once per application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        _STORED[at] = materialize(derive_samples(spark, sf_dir), "samples")
+    return _STORED[at]
+
+
+def derive_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples, with the defects that real shards have."""
     d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
 

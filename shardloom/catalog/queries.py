@@ -209,7 +209,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return language.assess_captions(d, profile_of(spark, sf_dir), ["doc_id"])
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip removes, as a Java character class.
+# The characters Python's str.strip removes, as a list and as a Java character class.
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 # Han, kana and Hangul ranges that mark a caption as CJK.
@@ -16,9 +20,8 @@ MIN_LETTERS = 3
 
 
 def py_strip(c: Column) -> Column:
-    """Unicode strip. The look-behind keeps the trailing pattern linear on long blank runs."""
-    lead = F.regexp_replace(c, rf"\A{BLANKS}+", "")
-    return F.regexp_replace(lead, rf"(?<!{BLANKS}){BLANKS}+\z", "")
+    """Unicode strip. Only the ends of the text are looked at."""
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def nonblank(c: Column) -> Column:

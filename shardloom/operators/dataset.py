@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from shardloom.functions.captions import has_image
 from shardloom.functions.hashing import split_score
-from shardloom.operators.ordering import hash_buckets, join_null_safe, number_rows
+from shardloom.operators.ordering import hash_buckets, number_rows
 
 # Share of training samples and rows per training batch.
 TRAIN_RATIO = 0.95
 BATCH_SIZE = 256
 
-# Rows of one shard that a task numbers together.
-BUCKET_ROWS = 1 << 20
+# Pieces in which the rows of a shard are numbered.
+BUCKETS = 256
 
 
 def _check_ratio(ratio: float) -> None:
@@ -54,21 +54,17 @@ def shuffle(df: DataFrame, key: str = "key", seed: int = 0, partitions: int | No
 
 def assign_batches(
     df: DataFrame, size: int = BATCH_SIZE, key: str = "key", partition: str = "url",
-    seed: int = 0, drop_last: bool = False, tie: list[str] | None = None, bucket_rows: int = BUCKET_ROWS,
+    seed: int = 0, drop_last: bool = False, tie: list[str] | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``batch`` and ``row_in_batch``: consecutive rows of each shard in shuffle order.
 
     ``tie`` names further columns for keys that repeat. The digest covers them, so copies
-    of one key spread over the buckets of their shard.
+    of one key spread over the ``buckets`` in which a shard is numbered.
     """
     identity = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [key, *(tie or [])]])
-    digest = shuffle_digest(identity, seed)
-    counts = df.groupBy(partition).agg(F.count(F.lit(1)).alias("__n"))
-    keyed = join_null_safe(df.withColumn("__digest", digest), counts, [partition])
-    buckets = F.ceil(F.col("__n") / F.lit(bucket_rows)).cast("bigint")
-    head = hash_buckets(F.col("__digest"), 1 << 16)
-    bucket = F.floor(head * buckets / F.lit(float(1 << 16))).cast("bigint")
-    out = number_rows(keyed, [partition], ["__digest"], bucket, "__at")
+    keyed = df.withColumn("__digest", shuffle_digest(identity, seed))
+    bucket = hash_buckets(F.col("__digest"), buckets)
+    out = number_rows(keyed, [partition], ["__digest"], bucket, "__at", "__n")
     pos = F.col("__at") - 1
     out = out.withColumn("batch", F.floor(pos / size).cast("bigint")).withColumn(
         "row_in_batch", (pos % size).cast("bigint")

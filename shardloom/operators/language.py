@@ -6,6 +6,7 @@ not depend on partitioning or on the order of rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -78,12 +79,12 @@ def train_language_profile(df: DataFrame, text: str = "text", lang: str = "lang"
         *[F.coalesce(F.sum(F.when(F.col("lang") == g, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, g in enumerate(langs)]
     )
     vocabulary = wide.count()
-    sizes = [F.lit(float(totals[g] + vocabulary)) for g in langs]
+    sizes = [float(totals[g] + vocabulary) for g in langs]
     scored = wide.select(
-        "gram", *[micro_log(F.col(f"n{i}") + F.lit(1.0), size).alias(f"s{i}") for i, size in enumerate(sizes)]
+        "gram", *[micro_log(F.col(f"n{i}") + F.lit(1.0), F.lit(size)).alias(f"s{i}") for i, size in enumerate(sizes)]
     )
-    row = df.sparkSession.range(1).select(*[micro_log(F.lit(1.0), size) for size in sizes]).first() if langs else ()
-    return LanguageProfile(langs, materialize(scored, "profile"), tuple(row))
+    unseen = tuple(round(math.log(1.0 / size) * MICRO) for size in sizes)
+    return LanguageProfile(langs, materialize(scored, "profile"), unseen)
 
 
 def detect_language(
@@ -132,29 +133,29 @@ def assess_captions(
     df: DataFrame, profile: LanguageProfile, keys: list[str], text: str = "text",
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """``keys, letters, has_cjk, valid, lang, prob``.
+    """``df`` plus ``letters, has_cjk, valid, lang, prob``; ``keys`` must identify a row.
 
     Validity is judged without ``#``, routing sees the stripped text with it. A text that
-    holds no ``#`` is detected once for both.
+    holds no ``#`` is detected once for both. A null text is invalid.
     """
     stripped = py_strip(F.col(text))
     clean = cleaned_for_validity(F.col(text))
-    base = df.select(
-        *keys,
-        F.coalesce(letter_count(clean), F.lit(0)).cast("bigint").alias("letters"),
-        has_cjk(clean).alias("has_cjk"),
-        enough_text(F.col(text)).alias("__enough"),
-        F.when(stripped == clean, F.array(stripped)).otherwise(F.array(stripped, clean)).alias("__texts"),
-    )
-    variants = base.select(*keys, F.posexplode("__texts").alias("__variant", "__t"))
+    texts = F.when(stripped == clean, F.array(stripped)).otherwise(F.array(stripped, clean))
+    variants = df.select(*keys, F.posexplode(texts).alias("__variant", "__t"))
     found = detect_language(variants, profile, [*keys, "__variant"], "__t", temperature)
     per_row = found.groupBy(*keys).agg(
         F.min_by("lang", "__variant").alias("lang"),
         F.min_by("prob", "__variant").alias("prob"),
         F.max_by("prob", "__variant").alias("__clean_prob"),
     )
-    return join_null_safe(base.drop("__texts"), per_row, keys).select(
-        *keys, "letters", "has_cjk",
-        (F.col("__enough") & (F.col("__clean_prob") >= MIN_LANG_PROB)).alias("valid"),
-        "lang", "prob",
+    return (
+        join_null_safe(df, per_row, keys)
+        .withColumns(
+            {
+                "letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"),
+                "has_cjk": has_cjk(clean),
+                "valid": enough_text(F.col(text)) & (F.col("__clean_prob") >= MIN_LANG_PROB),
+            }
+        )
+        .drop("__clean_prob")
     )

@@ -7,46 +7,51 @@ bucket totals, a small table, carry the offsets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def group_key(*columns: Column | str) -> Column:
+    """One struct for a composite key. Structs compare with nulls equal, so no group is lost."""
+    return F.struct(*columns)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys and keeps one copy of them."""
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    cond = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
-    )
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    others = [c for c in right.columns if c not in keys]
+    keyed = right.select(group_key(*keys).alias("__key"), *others)
+    return left.withColumn("__key", group_key(*keys)).join(keyed, "__key", how).drop("__key")
 
 
 def number_rows(
-    df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "row_no"
+    df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "row_no", total: str | None = None
 ) -> DataFrame:
-    """1-based position in each group by ``order``.
+    """1-based position in each group by ``order``, and the group size as ``total`` if named.
 
     ``bucket`` must never decrease along the order, and should cut a large group into
-    pieces that one task can sort.
+    pieces that one task can sort. The numbering and the join share one exchange.
     """
-    keyed = df.withColumn("__bucket", bucket)
-    keys = [*by, "__bucket"]
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = df.withColumn("__piece", group_key(*by, bucket.alias("__bucket")))
+    groups = [F.col("__piece")[c] for c in by]
+    before = (
+        Window.partitionBy(*groups).orderBy(F.col("__piece")["__bucket"])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     offsets = (
-        keyed.groupBy(*keys)
+        keyed.groupBy("__piece")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+        .select(
+            "__piece",
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+            *([F.sum("__n").over(Window.partitionBy(*groups)).alias(total)] if total else []),
+        )
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    numbered = keyed.withColumn("__pos", F.row_number().over(inside))
+    inside = Window.partitionBy("__piece").orderBy(*order)
     return (
-        join_null_safe(numbered, offsets, keys)
+        keyed.withColumn("__pos", F.row_number().over(inside))
+        .join(offsets, "__piece")
         .withColumn(name, (F.col("__offset") + F.col("__pos")).cast("bigint"))
-        .drop("__bucket", "__offset", "__pos")
+        .drop("__piece", "__offset", "__pos")
     )
 
 

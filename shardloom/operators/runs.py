@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.operators.ordering import join_null_safe
+from shardloom.operators.ordering import group_key, join_null_safe
 
 # Fixed value: epochs without improvement before training stops.
 PATIENCE = 5
@@ -31,8 +31,10 @@ REPORT = (
 CHUNK = 4096
 
 
-def _chunk(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / F.lit(size)).cast("bigint")
+def _chunk(by: str, order: str, size: int) -> Column:
+    """A run's key together with the piece of it that ``order`` falls into."""
+    piece = F.floor(F.col(order) / F.lit(size)).cast("bigint")
+    return group_key(F.col(by).alias("run"), piece.alias("piece"))
 
 
 def early_stopping(
@@ -53,15 +55,16 @@ def early_stopping(
     """
     start = F.lit(float("inf") if initial_best is None else float(initial_best))
     value = F.when(~F.isnan(loss), F.col(loss))
-    keys = [by, "__chunk"]
-    rows = stats.withColumn("__chunk", _chunk(epoch, chunk)).withColumn("__v", value)
-    inside = Window.partitionBy(*keys).orderBy(epoch)
+    rows = stats.withColumn("__chunk", _chunk(by, epoch, chunk)).withColumn("__v", value)
+    inside = Window.partitionBy("__chunk").orderBy(epoch)
     rows = rows.withColumn("__p", F.row_number().over(inside)).withColumn(
         "__low", F.min("__v").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
 
-    before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    summary = rows.groupBy(*keys).agg(
+    before = (
+        Window.partitionBy("__chunk.run").orderBy("__chunk.piece").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    summary = rows.groupBy("__chunk").agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("__v").alias("__min"),
         F.min(F.when(F.col("__v").isNotNull(), F.struct("__v", "__p")))["__p"].alias("__at"),
@@ -74,7 +77,7 @@ def early_stopping(
         "__carry", F.coalesce(F.max("__last").over(before), F.lit(0))
     )
 
-    joined = join_null_safe(rows, summary.select(*keys, "__offset", "__best", "__carry"), keys)
+    joined = rows.join(summary.select("__chunk", "__offset", "__best", "__carry"), "__chunk")
     prior = F.least(F.col("__best"), F.coalesce("__low", start))
     pos = F.col("__offset") + F.col("__p")
     hit = F.when(F.col("__v") < prior, pos)
@@ -136,33 +139,35 @@ def ema(
         raise ValueError("alpha must lie in (0, 1)")
     w = 1.0 - alpha
     size = max(1, min(chunk, int(460.0 / -math.log(w))))
-    keys = [by, "__chunk"]
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy("__chunk").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     decay = F.pow(F.lit(w), F.col("__p").cast("double"))
     rows = (
-        df.withColumn("__chunk", _chunk(order, size))
+        df.withColumn("__chunk", _chunk(by, order, size))
         .withColumn("__p", F.row_number().over(inside))
         .withColumn("__inc", decay * F.sum(F.lit(alpha) * F.col(value) / decay).over(upto))
     )
-    ends = rows.groupBy(*keys).agg(
+    ends = rows.groupBy("__chunk").agg(
         F.max("__p").alias("n"),
         F.max_by("__inc", "__p").alias("inc"),
         F.min_by(F.col(value).cast("double"), "__p").alias("first"),
     )
 
+    ends = ends.select("__chunk.run", "__chunk.piece", "n", "inc", "first")
+
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
+        pdf = pdf.sort_values("piece")
         carry, out = float(pdf["first"].iloc[0]), []
         for n, inc in zip(pdf["n"], pdf["inc"]):
             out.append(carry)
             carry = w**n * carry + inc
-        return pdf[keys].assign(__carry=out)
+        return pdf[["run", "piece"]].assign(__carry=out)
 
     key_type = df.schema[by].dataType.simpleString()
-    carried = ends.groupBy(by).applyInPandas(chain, f"`{by}` {key_type}, __chunk bigint, __carry double")
+    carried = ends.groupBy("run").applyInPandas(chain, f"run {key_type}, piece bigint, __carry double")
+    carried = carried.select(group_key("run", "piece").alias("__chunk"), "__carry")
     return (
-        join_null_safe(rows, carried, keys)
+        rows.join(carried, "__chunk")
         .withColumn(name, decay * F.col("__carry") + F.col("__inc"))
         .drop("__chunk", "__p", "__inc", "__carry")
     )

@@ -26,7 +26,7 @@ def sample_pairs(samples: DataFrame, english: bool = True) -> DataFrame:
 
 def batches_from_samples(
     samples: DataFrame, ratio: float = TRAIN_RATIO, batch_size: int = BATCH_SIZE, seed: int = 0,
-    max_len: int = TEXT_LENGTH, english: bool = True, bucket_rows: int | None = None,
+    max_len: int = TEXT_LENGTH, english: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and validation rows with ``batch, row_in_batch, tokens, padded``.
 
@@ -34,10 +34,9 @@ def batches_from_samples(
     batch of a shard is dropped for training only.
     """
     out = []
-    extra = {} if bucket_rows is None else {"bucket_rows": bucket_rows}
     for part, last in zip(split_train_val(samples, "key", ratio), (True, False)):
         pairs = sample_pairs(part, english)
-        batched = assign_batches(pairs, batch_size, seed=seed, drop_last=last, tie=["caption"], **extra)
+        batched = assign_batches(pairs, batch_size, seed=seed, drop_last=last, tie=["caption"])
         tokens = batched.withColumn("tokens", whitespace_tokens(F.col("caption")))
         out.append(pad_tokens(tokens, "tokens", ["url", "batch"], max_len))
     return out[0], out[1]

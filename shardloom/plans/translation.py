@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from shardloom.functions.captions import caption_for_translation
 from shardloom.functions.json import set_json_string
 from shardloom.operators.language import LanguageProfile
-from shardloom.operators.ordering import join_null_safe
 from shardloom.operators.translate import TextModel, translate_captions, usable_translation
 from shardloom.session import materialize
 from shardloom.sources.tar import (
@@ -30,12 +29,12 @@ def translate_samples(
     narrow = samples.select(
         *keys, "json", caption_for_translation(F.col("json"), F.col("txt")).alias("caption")
     )
-    usable = narrow.filter(F.col("caption").isNotNull())
-    done = translate_captions(usable, profile, table, load_model, keys, "caption", default)
-    joined = join_null_safe(narrow, done.select(*keys, "translation"), keys, "left")
-    return joined.withColumn(
-        "new_json", set_json_string(F.col("json"), "caption_en", usable_translation(F.col("translation")))
-    ).drop("json")
+    done = translate_captions(narrow, profile, table, load_model, keys, "caption", default)
+    translation = F.when(F.col("caption").isNotNull(), F.col("translation"))
+    return done.withColumn("translation", translation).select(
+        *keys, "caption", "translation",
+        set_json_string(F.col("json"), "caption_en", usable_translation(F.col("translation"))).alias("new_json"),
+    )
 
 
 def translate_files(
