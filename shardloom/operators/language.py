@@ -76,6 +76,7 @@ def train_language_profile(df: DataFrame, text: str = "text", lang: str = "lang"
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted(totals))
     wide = counts.groupBy("gram").agg(
+        F.sum("n").alias("n"),
         *[F.coalesce(F.sum(F.when(F.col("lang") == g, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, g in enumerate(langs)]
     )
     vocabulary = wide.count()

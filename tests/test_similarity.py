@@ -37,14 +37,14 @@ def cases():
     }
 
 
-@pytest.mark.parametrize("name,form", itertools.product(cases(), range(3)))
+@pytest.mark.parametrize("name,form", list(itertools.product(cases(), range(3))))
 def test_ranks_against_brute_force(spark, name, form):
     a, b = cases()[name]
     got = rows(metrics.retrieval_ranks(frame(spark, a), frame(spark, b), **FORMS[form]), "id")
     assert got == brute_ranks(a, b)
 
 
-@pytest.mark.parametrize("name,form", itertools.product(cases(), range(3)))
+@pytest.mark.parametrize("name,form", list(itertools.product(cases(), range(3))))
 def test_topk_against_brute_force(spark, name, form):
     a, b = cases()[name]
     k, s = 3, sims(a, b)
