@@ -13,7 +13,7 @@ from shardloom.operators.language import LanguageProfile
 from shardloom.operators.translate import TextModel, translate_captions, usable_translation
 from shardloom.session import materialize
 from shardloom.sources.tar import (
-    SPLIT_BYTES, list_shards, read_splits, rewrite_shards, spread_splits, typed_samples,
+    SPLIT_BYTES, list_shards, read_splits, rewrite_shards, spread_count, spread_splits, typed_samples,
 )
 
 
@@ -47,8 +47,7 @@ def translate_files(
     meets the splits again, and the payload is copied from file to file.
     """
     splits = materialize(spread_splits(files, split_bytes), "splits")
-    n = splits.count()
-    spread = splits.repartition(n) if n else splits
+    spread = splits.repartition(spread_count(splits.sparkSession, splits.count()))
     keys = ["url", "part", "offset"]
     text = materialize(
         typed_samples(read_splits(spread, fields=("json", "txt"))).select(*keys, "json", "txt"), "captions"

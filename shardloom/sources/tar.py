@@ -123,7 +123,13 @@ def spread_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     splits = plan_splits(files, split_bytes)
     if largest <= split_bytes:
         return splits
-    return splits.repartition(max(1, min(int(total), 100_000)))
+    return splits.repartition(spread_count(files.sparkSession, int(total)))
+
+
+def spread_count(spark: SparkSession, pieces: int) -> int:
+    """Tasks for that many splits: no more than the splits, and a few per core."""
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(pieces, most))
 
 
 class _Samples:
