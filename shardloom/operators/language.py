@@ -149,14 +149,17 @@ def assess_captions(
         F.min_by("prob", "__variant").alias("prob"),
         F.max_by("prob", "__variant").alias("__clean_prob"),
     )
+    # Text work is done on the scan side, before the exchange of the join.
+    judged = df.withColumns(
+        {
+            "letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"),
+            "has_cjk": has_cjk(clean),
+            "__enough": enough_text(F.col(text)),
+        }
+    )
+    # The merge hint keeps Catalyst from broadcasting the text side by its compressed size.
     return (
-        join_null_safe(df, per_row, keys)
-        .withColumns(
-            {
-                "letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"),
-                "has_cjk": has_cjk(clean),
-                "valid": enough_text(F.col(text)) & (F.col("__clean_prob") >= MIN_LANG_PROB),
-            }
-        )
-        .drop("__clean_prob")
+        join_null_safe(judged, per_row, keys, hint="merge")
+        .withColumn("valid", F.col("__enough") & (F.col("__clean_prob") >= MIN_LANG_PROB))
+        .drop("__enough", "__clean_prob")
     )

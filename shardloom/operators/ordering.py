@@ -16,10 +16,14 @@ def group_key(*columns: Column | str) -> Column:
     return F.struct(*columns)
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: str | None = None
+) -> DataFrame:
     """Equi-join that also matches null keys and keeps one copy of them."""
     others = [c for c in right.columns if c not in keys]
     keyed = right.select(group_key(*keys).alias("__key"), *others)
+    if hint:
+        keyed = keyed.hint(hint)
     return left.withColumn("__key", group_key(*keys)).join(keyed, "__key", how).drop("__key")
 
 
