@@ -193,8 +193,15 @@ def pick_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Language, routing, translation
 
 
+_PROFILES: dict[tuple[str, str], language.LanguageProfile] = {}
+
+
 def profile_of(spark: SparkSession, sf_dir: str) -> language.LanguageProfile:
-    return language.train_language_profile(table(spark, sf_dir, "documents"))
+    """The profile of all documents; a model is trained once per application and used often."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _PROFILES:
+        _PROFILES[at] = language.train_language_profile(table(spark, sf_dir, "documents"))
+    return _PROFILES[at]
 
 
 @query

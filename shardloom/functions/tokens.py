@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import BLANKS, py_strip
@@ -22,18 +22,23 @@ def pad_tokens(
     mode: str = "longest",
     truncate: bool = True,
     pad: str = "[PAD]",
+    bounded: bool = False,
 ) -> DataFrame:
     """Add ``n_tokens`` and ``padded``.
 
     ``longest`` pads to the longest row of the batch, ``max_length`` to ``max_len``.
     Rows longer than the target stay as they are when truncation is off. The longest
-    length comes from a grouped maximum joined back, so no batch is gathered in a window.
+    length comes from a grouped maximum joined back, so no batch is gathered. ``bounded``
+    says that batches have a proved size; then a window finds it, and the input, which
+    may carry images, is neither computed nor shuffled twice.
     """
     if mode not in ("longest", "max_length"):
         raise ValueError(f"unknown padding mode: {mode}")
     cut = F.slice(F.col(tokens), 1, max_len) if truncate else F.col(tokens)
     out = df.withColumn("__cut", cut).withColumn("n_tokens", F.size("__cut").cast("bigint"))
-    if mode == "longest":
+    if mode == "longest" and bounded:
+        out = out.withColumn("__width", F.max("n_tokens").over(Window.partitionBy(*batch)))
+    elif mode == "longest":
         widths = out.groupBy(*batch).agg(F.max("n_tokens").alias("__width"))
         out = out.join(widths, batch)
     else:

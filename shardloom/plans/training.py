@@ -38,7 +38,7 @@ def batches_from_samples(
         pairs = sample_pairs(part, english)
         batched = assign_batches(pairs, batch_size, seed=seed, drop_last=last, tie=["caption"])
         tokens = batched.withColumn("tokens", whitespace_tokens(F.col("caption")))
-        out.append(pad_tokens(tokens, "tokens", ["url", "batch"], max_len))
+        out.append(pad_tokens(tokens, "tokens", ["url", "batch"], max_len, bounded=True))
     return out[0], out[1]
 
 

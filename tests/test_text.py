@@ -145,6 +145,7 @@ def test_pad_tokens(spark):
     df = df.withColumn("t", whitespace_tokens(F.col("t")))
     longest = rows(pad_tokens(df, "t", ["b"], 2).select("i", "n_tokens", "padded"), "i")
     assert longest == [(1, 2, ["x", "y"]), (2, 1, ["x", "[PAD]"]), (3, 0, ["[PAD]"] * 2), (4, 2, ["p", "q"])]
+    assert rows(pad_tokens(df, "t", ["b"], 2, bounded=True).select("i", "n_tokens", "padded"), "i") == longest
     fixed = rows(pad_tokens(df, "t", ["b"], 2, "max_length", truncate=False).select("i", "padded"), "i")
     assert fixed[0][1] == ["x", "y", "z"] and fixed[1][1] == ["x", "[PAD]"]
     with pytest.raises(ValueError):
