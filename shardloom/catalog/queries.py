@@ -246,8 +246,9 @@ def stand_in_model(name: str) -> Callable[[list[str]], list[str]]:
 
 @query
 def translate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow = samples(spark, sf_dir).select("doc_id", "key", "json", "txt")
     done = translation.translate_samples(
-        samples(spark, sf_dir), profile_of(spark, sf_dir), routing.routes(spark), stand_in_model, ["url", "key"]
+        narrow, profile_of(spark, sf_dir), routing.routes(spark), stand_in_model, ["doc_id"]
     )
     return translated_view(done)
 
@@ -587,11 +588,11 @@ def encode_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = scratch_path(spark, "sample-stream"), scratch_path(spark, "translated")
-    samples(spark, sf_dir).select("url", "key", "json", "txt").write.parquet(path)
-    stream = spark.readStream.schema("url string, key string, json string, txt string").parquet(path)
+    samples(spark, sf_dir).select("doc_id", "key", "json", "txt").write.parquet(path)
+    stream = spark.readStream.schema("doc_id bigint, key string, json string, txt string").parquet(path)
     run = shard_stream.stream_translate_samples(
         stream, out, scratch_path(spark, "offsets"), profile_of(spark, sf_dir), routing.routes(spark),
-        stand_in_model, ["url", "key"],
+        stand_in_model, ["doc_id"],
     )
     run.awaitTermination()
     return translated_view(spark.read.parquet(out))

@@ -126,14 +126,20 @@ def fresh(df: DataFrame) -> DataFrame:
 
 
 def cells(images: DataFrame, texts: DataFrame, rows: int, cols: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides keyed by ``row``, ``col`` such that each pair of ids shares exactly one cell."""
+    """Both sides keyed by ``row``, ``col`` such that each pair of ids shares exactly one cell.
+
+    The number of tasks is fixed: a cell costs far more than its bytes suggest to adaptive
+    execution.
+    """
+    most = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(rows * cols, max(most, 4 * images.sparkSession.sparkContext.defaultParallelism))
     left = images.withColumn("row", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn(
         "col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
     )
     right = fresh(texts).withColumn("col", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn(
         "row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
     )
-    return left, right
+    return left.repartition(tasks, "row", "col"), right.repartition(tasks, "row", "col")
 
 
 def grid_side(df: DataFrame) -> int:

@@ -19,20 +19,19 @@ from shardloom.sources.tar import (
 
 def translate_samples(
     samples: DataFrame, profile: LanguageProfile, table: DataFrame, load_model: Callable[[str], TextModel],
-    keys: list[str], default: str = "m_default",
+    keys: list[str], default: str = "m_default", spread: int | None = None,
 ) -> DataFrame:
-    """``keys, caption, translation, new_json`` for samples ``keys, json, txt``.
+    """``json, txt`` samples with ``caption, translation, new_json`` in their place.
 
-    Samples without a usable caption pass through with a null translation and unchanged
-    JSON, in the same pass.
+    ``keys`` must identify a sample; a single number is the cheapest, because it goes with
+    every trigram. Other columns stay. Samples without a usable caption pass through with a
+    null translation and unchanged JSON, in the same pass.
     """
-    narrow = samples.select(
-        *keys, "json", caption_for_translation(F.col("json"), F.col("txt")).alias("caption")
-    )
-    done = translate_captions(narrow, profile, table, load_model, keys, "caption", default)
+    narrow = samples.withColumn("caption", caption_for_translation(F.col("json"), F.col("txt"))).drop("txt")
+    done = translate_captions(narrow, profile, table, load_model, keys, "caption", default, spread=spread)
     translation = F.when(F.col("caption").isNotNull(), F.col("translation"))
     return done.withColumn("translation", translation).select(
-        *keys, "caption", "translation",
+        *[c for c in narrow.columns if c != "json"], "translation",
         set_json_string(F.col("json"), "caption_en", usable_translation(F.col("translation"))).alias("new_json"),
     )
 
@@ -40,26 +39,30 @@ def translate_samples(
 def translate_files(
     files: DataFrame, out_dir: str, profile: LanguageProfile, table: DataFrame,
     load_model: Callable[[str], TextModel], default: str = "m_default", split_bytes: int = SPLIT_BYTES,
+    spread: int | None = None,
 ) -> DataFrame:
     """Translate the tars of ``url, length`` into ``out_dir`` and return the manifest.
 
     The first pass reads only the text members. The changed JSON, a narrow table, then
-    meets the splits again, and the payload is copied from file to file.
+    meets the splits again, and the payload is copied from file to file. ``spread`` sets the
+    number of tasks that call models.
     """
     splits = materialize(spread_splits(files, split_bytes), "splits")
-    spread = splits.repartition(spread_count(splits.sparkSession, splits.count()))
-    keys = ["url", "part", "offset"]
-    text = materialize(
-        typed_samples(read_splits(spread, fields=("json", "txt"))).select(*keys, "json", "txt"), "captions"
-    )
-    new = translate_samples(text, profile, table, load_model, keys, default)
+    scanned = splits.repartition(spread_count(splits.sparkSession, splits.count()))
+    place = ["url", "part", "offset"]
+    text = typed_samples(read_splits(scanned, fields=("json", "txt"))).select(*place, "json", "txt")
+    # The number is stored with the text, so every later step sees the same one.
+    text = materialize(text.withColumn("sample_no", F.monotonically_increasing_id()), "captions")
+    new = translate_samples(text, profile, table, load_model, ["sample_no"], default, spread)
     changed = new.filter(usable_translation(F.col("translation")).isNotNull())
-    return rewrite_shards(splits, changed.select(*keys, F.col("new_json").alias("json")), out_dir)
+    return rewrite_shards(splits, changed.select(*place, F.col("new_json").alias("json")), out_dir)
 
 
 def translate_shards(
     spark: SparkSession, in_glob: str, out_dir: str, profile: LanguageProfile, table: DataFrame,
     load_model: Callable[[str], TextModel], default: str = "m_default", split_bytes: int = SPLIT_BYTES,
+    spread: int | None = None,
 ) -> DataFrame:
     """Translate every tar of a glob."""
-    return translate_files(list_shards(spark, in_glob), out_dir, profile, table, load_model, default, split_bytes)
+    files = list_shards(spark, in_glob)
+    return translate_files(files, out_dir, profile, table, load_model, default, split_bytes, spread)

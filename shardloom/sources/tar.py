@@ -364,6 +364,11 @@ def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str) -> Data
             done.append(out.close())
         return pd.DataFrame(done, columns=["url", "tar", "n_samples", "n_bytes"])
 
+    # A fixed number of tasks: adaptive execution would size them by the narrow tables
+    # and put the payload of many splits into one task.
     keys = ["url", "part"]
-    manifest = splits.groupBy(*keys).cogroup(new_json.groupBy(*keys)).applyInPandas(copy, MANIFEST_SCHEMA)
+    n = spread_count(spark, splits.count())
+    left = splits.repartition(n, *keys).groupBy(*keys)
+    right = new_json.repartition(n, *keys).groupBy(*keys)
+    manifest = left.cogroup(right).applyInPandas(copy, MANIFEST_SCHEMA)
     return _finish_output(manifest, out_dir)

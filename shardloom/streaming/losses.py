@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,14 +18,20 @@ def stream_ema(
     """``by, step, ema`` for a stream of steps.
 
     State per run is the last step and its smoothed value. A step that is not newer than
-    the last one is dropped, so a repeated file changes nothing.
+    the last one is dropped, so a repeated file changes nothing. A task holds two numbers
+    per new step of a run; ``maxFilesPerTrigger`` of the source bounds that. A stored
+    history of any length is the work of ``operators.runs.ema``.
     """
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, smooth = state.get if state.exists else (None, None)
-        steps, values = [], []
+        parts = [(f[order].to_numpy(np.int64), f[value].to_numpy(np.float64)) for f in frames]
+        found = np.concatenate([p[0] for p in parts])
+        losses = np.concatenate([p[1] for p in parts])
         # Rows of one key arrive in several Arrow frames in no order.
-        for step, x in sorted(p for f in frames for p in zip(f[order].tolist(), f[value].tolist())):
+        rank = np.argsort(found, kind="stable")
+        steps, values = [], []
+        for step, x in zip(found[rank].tolist(), losses[rank].tolist()):
             if last is not None and step <= last:
                 continue
             smooth = x if smooth is None else (1.0 - alpha) * smooth + alpha * x

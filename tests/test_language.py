@@ -162,3 +162,10 @@ def test_coverage(spark):
     assert rows(caption_coverage(df, by="url"), "url") == [("u", 3, 2, 0.667), ("v", 1, 0, 0.0)]
     assert rows(caption_coverage(df.filter("false"))) == [(0, 0, None)]
     assert rows(translated_examples(df, n=1)) == [("u", "0", "y")]
+
+
+def test_a_filter_on_the_answer_calls_the_model_once(spark):
+    df = spark.createDataFrame([("t", True, "m", False)], "text string, valid boolean, model string, is_identity boolean")
+    out = translate.translate(df, upper_model, batch=2).filter("translation <> ''").select("translation")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and rows(out) == [("m:t",)]
