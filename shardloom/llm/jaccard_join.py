@@ -9,7 +9,9 @@ are worked out:
    ``n - ceil(similarity * n) + 1`` columns with it, in any order of the columns that all rows keep to. Here
    rare columns come first. The order changes how much work there is, never the result.
 3. Columns are dealt by hash into blocks; a block multiplies its columns and adds up overlap counts by pair of
-   rows. Counts of one pair from all blocks are summed, and pairs whose sizes or counts cannot reach the
+   rows. In a cell of a column, a pair is left out if it could not reach the bound even if this were the first
+   column that its rows share: where it is the first, that is exact, and elsewhere the pair is met
+   earlier. Counts of one pair from all blocks are summed, and pairs that still cannot reach the
    bound are dropped before the whole rows are compared.
 4. Groups of near copies would fill the product with links that say nothing new. So each row is first
    compared with the leaders of a few min-hash groups, and cells between rows that are already
@@ -28,15 +30,17 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import utf8
 from shardloom.llm.components import connected_components
 from shardloom.llm.shingles import mix, shingle_sets
-from shardloom.session import materialize
+from shardloom.session import broadcast_if_small, materialize
 
 WIDTH, SIMILARITY_PCT = 5, 80
 # Min-hash groups whose leaders every row is compared with.
-LEADERS = 6
+LEADERS = 3
 # Columns that are ordered last: the most frequent ones that single tasks have seen repeatedly. 8 bytes each.
 FREQUENT = 1 << 20
-# A column list longer than this is cut, and the cuts are multiplied pair by pair.
-CUT = 512
+# A column with more rows than the first is set aside, cut by the second, and the cuts are multiplied in pairs.
+LONG, CUT = 2048, 512
+# Ids of rows to compare that one broadcast may hold; more are joined by an exchange.
+BROADCAST_IDS = 1_000_000
 
 _SALTS = mix(np.arange(1, LEADERS + 1, dtype=np.uint64))
 _SIGNED = np.int64
@@ -82,7 +86,9 @@ def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 [batch.column("id"), pa.array(sets, pa.binary())], names=["id", "items"]
             )
 
-    wanted = docs.select(F.col("doc_id").alias("id"), utf8().alias("bytes")).join(ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").alias("id"), utf8().alias("bytes")).join(
+        broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi"
+    )
     # Rows may repeat an id with another text; one text, the same in every attempt, stands for the id.
     return wanted.mapInArrow(scan, "id long, items binary")
 
@@ -112,82 +118,168 @@ def frequent_columns(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nd
     return np.array(top.column("c").combine_chunks().to_numpy(zero_copy_only=False), _SIGNED).view(np.uint64)
 
 
-def _postings(docs: DataFrame, width: int, pct: int, frequent: np.ndarray) -> DataFrame:
-    """``c, id, n, rest``: the leading columns of each row, and how many columns follow each."""
-    spark = docs.sparkSession
+def _leading(docs: DataFrame, width: int, pct: int, frequent: np.ndarray) -> DataFrame:
+    """``id, n, columns``: the leading columns of each row in order, as bytes."""
     order = np.argsort(frequent, kind="stable")
-    shared = spark.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            columns, owners, sizes, rests = [], [], [], []
-            for doc, s in zip(ids, _rows(batch, width)):
+            leads, sizes = [], []
+            for s in _rows(batch, width):
                 n = len(s)
-                if not n:
-                    continue
                 # Rare columns by hash, then the frequent ones from rare to frequent.
                 late = np.zeros(n, np.int64)
-                if len(known):
+                if len(known) and n:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     late[hit] = len(known) - rank[at[hit]]
-                lead = n - _needed(n, pct) + 1
-                chosen = np.argsort(late, kind="stable")[:lead]
-                columns.append(s[chosen])
-                owners.append(np.full(lead, doc, np.int64))
-                sizes.append(np.full(lead, n, np.int64))
-                rests.append(n - 1 - np.arange(lead, dtype=np.int64))
-            if columns:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(columns).view(_SIGNED)), pa.array(np.concatenate(owners)),
-                    pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests)),
-                ], names=["c", "id", "n", "rest"])
+                leads.append(s[np.argsort(late, kind="stable")[: n - _needed(n, pct) + 1]].tobytes() if n else b"")
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(leads, pa.binary())],
+                names=["id", "n", "columns"],
+            )
 
     return docs.select(F.col("doc_id").alias("id"), utf8().alias("bytes")).mapInArrow(
-        scan, "c long, id long, n long, rest long"
+        scan, "id long, n long, columns binary"
     )
 
 
-def _candidates(postings: DataFrame, label: DataFrame, pct: int) -> DataFrame:
+def _postings(leading: DataFrame) -> DataFrame:
+    """``c, id, n, rest, comp``: each leading column of each row, and how many columns of the row follow it."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = [np.frombuffer(x, _SIGNED) for x in batch.column("columns").to_pylist()]
+            size = np.array([len(x) for x in leads], np.int64)
+            ids, n, comp = (np.asarray(batch.column(k), np.int64) for k in ("id", "n", "comp"))
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(leads) if leads else np.empty(0, _SIGNED)), pa.array(np.repeat(ids, size)),
+                pa.array(np.repeat(n, size)), pa.array(np.repeat(n, size) - 1 - place),
+                pa.array(np.repeat(comp, size)),
+            ], names=["c", "id", "n", "rest", "comp"])
+
+    return leading.mapInArrow(spread, "c long, id long, n long, rest long, comp long")
+
+
+_PAIR = "long_column boolean, a long, b long, shared long, na long, nb long, rest long"
+
+
+def _candidates(postings: DataFrame, pct: int, long_rows: int) -> DataFrame:
     """``a, b``: rows of different components that share a leading column and can still reach the bound.
 
-    Columns with one row, or with one component only, go first. A longer column is cut by a hash of the row, and
-    each pair of cuts is a cell of its own, so no task gets a whole long column.
+    A block is a task's columns, in order. A column with very many rows passes through it a
+    batch at a time; then its rows are cut by a hash, and each pair of cuts is a cell of its own, so no task
+    gets a whole long column.
     """
-    labelled = postings.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_columns(batches, long_rows):
+            yield table if isinstance(table, pa.RecordBatch) else _product(table, pct)
+
+    first = materialize(postings.repartition("c").sortWithinPartitions("c").mapInArrow(multiply, _PAIR), "product")
+    far = first.filter("long_column").select(
+        F.col("a").alias("c"), F.col("b").alias("id"), F.col("na").alias("n"), "rest", F.col("nb").alias("comp")
+    )
     per_column = (
-        labelled.groupBy("c").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        far.groupBy("c").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .filter("lo < hi").select("c", F.ceil(F.col("f") / CUT).cast("int").alias("cuts"))
     )
-    live = materialize(labelled.join(materialize(per_column, "columns"), "c"), "postings")
     mine = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    cells = live.withColumn("mine", mine).withColumn(
+    cells = far.join(materialize(per_column, "columns"), "c").withColumn("mine", mine).withColumn(
         "cell", F.explode(F.transform(
             F.sequence(F.lit(0), F.col("cuts") - 1),
             lambda other: F.struct(F.least(other, F.col("mine")).alias("i"), F.greatest(other, F.col("mine")).alias("j")),
         ))
     )
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
-            yield from _product(table, pct)
+            yield from _cell_products(table, pct)
 
     dealt = (
         cells.select("c", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "mine", "id", "n", "rest", "comp")
         .repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
     )
-    counts = dealt.mapInArrow(multiply, "a long, b long, shared long, na long, nb long, rest long")
-    # ``rest``: what the two rows may still share after the last column they met in.
+    counts = first.filter("NOT long_column").unionByName(dealt.mapInArrow(multiply_cells, _PAIR))
+    # ``rest``: what the two rows may still share after the last column they were met in.
     summed = counts.groupBy("a", "b").agg(
-        F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-        F.min("rest").alias("rest"),
+        F.sum("shared").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.min("rest").alias("rest"),
     )
     reach = F.col("shared") + F.col("rest")
     return summed.filter(100 * reach >= pct * (F.col("na") + F.col("nb") - reach)).select("a", "b")
 
 
+def _whole_columns(
+    batches: Iterator[pa.RecordBatch], long_rows: int
+) -> Iterator[dict[str, np.ndarray] | pa.RecordBatch]:
+    """Sorted rows as tables of whole columns; rows of a long column as they come, marked as such."""
+    held: dict[str, np.ndarray] | None = None
+    going: int | None = None  # the long column that passes through
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {k: np.asarray(batch.column(k), np.int64) for k in ("c", "id", "n", "rest", "comp")}
+        if going is not None:
+            end = int(np.searchsorted(rows["c"], going, "right"))
+            if end:
+                yield _set_aside({k: v[:end] for k, v in rows.items()})
+            if end == len(rows["c"]):
+                continue
+            rows, going = {k: v[end:] for k, v in rows.items()}, None
+        held = rows if held is None else {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        last = int(np.searchsorted(held["c"], held["c"][-1], "left"))
+        if last:
+            yield {k: v[:last] for k, v in held.items()}
+            held = {k: v[last:] for k, v in held.items()}
+        if len(held["c"]) > long_rows:
+            going = int(held["c"][0])
+            yield _set_aside(held)
+            held = None
+    if held is not None:
+        yield held
+
+
+def _set_aside(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    k = len(rows["c"])
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.ones(k, bool)), pa.array(rows["c"]), pa.array(rows["id"]), pa.array(np.zeros(k, np.int64)),
+        pa.array(rows["n"]), pa.array(rows["comp"]), pa.array(rows["rest"]),
+    ], names=["long_column", "a", "b", "shared", "na", "nb", "rest"])
+
+
+def _product(rows: dict[str, np.ndarray], pct: int) -> pa.RecordBatch:
+    """Overlap counts of the pairs in whole columns."""
+    c, comp = rows["c"], rows["comp"]
+    edges = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    mixed = np.minimum.reduceat(comp, edges) < np.maximum.reduceat(comp, edges)
+    live = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[edges, len(c)])))
+    c, ids, n, rest, comp = (rows[k][live] for k in ("c", "id", "n", "rest", "comp"))
+    # Every row with the one 1, 2, ... places further on, as long as the column is the same.
+    out, at, step = [], np.arange(len(c)), 1
+    while len(at):
+        at = at[at + step < len(c)]
+        at = at[c[at] == c[at + step]]
+        out.append(_reaching(at, at + step, ids, n, rest, comp, pct))
+        step += 1
+    return _summed(out)
+
+
+def _reaching(x, y, ids, n, rest, comp, pct: int) -> np.ndarray:
+    """Pairs of places as rows of ids, sizes and rests, without those that cannot reach the bound here."""
+    least = np.minimum(rest[x], rest[y])
+    keep = (comp[x] != comp[y]) & (ids[x] != ids[y])
+    keep &= 100 * np.minimum(n[x], n[y]) >= pct * np.maximum(n[x], n[y])
+    keep &= 100 * (1 + least) >= pct * (n[x] + n[y] - 1 - least)
+    x, y, least = x[keep], y[keep], least[keep]
+    swap = ids[x] > ids[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return np.stack([ids[x], ids[y], np.ones(len(x), np.int64), n[x], n[y], least])
+
+
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of whole cells of sorted rows."""
     held: list[pa.RecordBatch] = []
@@ -210,48 +302,41 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _product(table: pa.Table, pct: int) -> Iterator[pa.RecordBatch]:
+def _cell_products(table: pa.Table, pct: int) -> Iterator[pa.RecordBatch]:
     c, i, j, mine, ids, n, rest, comp = (
         np.asarray(table.column(k).combine_chunks(), np.int64)
         for k in ("c", "i", "j", "mine", "id", "n", "rest", "comp")
     )
     starts = np.r_[0, np.flatnonzero((np.diff(c) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, len(c)]
-    out, size = [], 0
+    out, size = [np.empty((6, 0), np.int64)], 0
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        k = hi - lo
-        if k < 2:
-            continue
-        # The cell's product: every pair once, without pairs of one component or of sizes too far apart.
         if i[lo] == j[lo]:
-            x, y = np.triu_indices(k, 1)
+            x, y = np.triu_indices(hi - lo, 1)
         else:
             left, right = np.flatnonzero(mine[lo:hi] == i[lo]), np.flatnonzero(mine[lo:hi] == j[lo])
             x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
-        x, y = x + lo, y + lo
-        keep = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= pct * np.maximum(n[x], n[y]))
-        keep &= ids[x] != ids[y]
-        x, y = x[keep], y[keep]
-        swap = ids[x] > ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        out.append(np.stack([ids[x], ids[y], np.ones(len(x), np.int64), n[x], n[y], np.minimum(rest[x], rest[y])]))
-        size += len(x)
+        out.append(_reaching(x + lo, y + lo, ids, n, rest, comp, pct))
+        size += out[-1].shape[1]
         if size > 1 << 18:
             yield _summed(out)
-            out, size = [], 0
-    if size:
-        yield _summed(out)
+            out, size = [np.empty((6, 0), np.int64)], 0
+    yield _summed(out)
 
 
 def _summed(parts: list[np.ndarray]) -> pa.RecordBatch:
     """Counts of the same pair added up before they leave the block."""
-    a, b, shared, na, nb, rest = np.concatenate(parts, axis=1)
+    a, b, shared, na, nb, rest = np.concatenate([np.empty((6, 0), np.int64), *parts], axis=1)
     order = np.lexsort((b, a))
     a, b, shared, na, nb, rest = (v[order] for v in (a, b, shared, na, nb, rest))
-    new = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)])
+    new = np.flatnonzero(np.r_[np.ones(min(len(a), 1), bool), (np.diff(a) != 0) | (np.diff(b) != 0)])
+    if not len(new):
+        shared = rest = np.empty(0, np.int64)
+    else:
+        shared, rest = np.add.reduceat(shared, new), np.minimum.reduceat(rest, new)
     return pa.RecordBatch.from_arrays([
-        pa.array(a[new]), pa.array(b[new]), pa.array(np.add.reduceat(shared, new)), pa.array(na[new]),
-        pa.array(nb[new]), pa.array(np.minimum.reduceat(rest, new)),
-    ], names=["a", "b", "shared", "na", "nb", "rest"])
+        pa.array(np.zeros(len(new), bool)), pa.array(a[new]), pa.array(b[new]), pa.array(shared), pa.array(na[new]),
+        pa.array(nb[new]), pa.array(rest),
+    ], names=["long_column", "a", "b", "shared", "na", "nb", "rest"])
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, pct: int) -> DataFrame:
@@ -280,7 +365,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, pct: int) -> DataFram
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, pct: int = SIMILARITY_PCT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, width: int = WIDTH, pct: int = SIMILARITY_PCT, long_rows: int = LONG
+) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` of each row of ``docs`` (``doc_id, text``).
 
     Two documents link when ``100 * intersection >= pct * union`` of their n-gram sets. ``class_id`` is the smallest
@@ -297,21 +384,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, pct: int = SIMILARIT
     )
     spread = [f"min({c}) <> max({c})" for c in by_set]
     if not full.groupBy("doc_id").agg(F.expr(" OR ".join(spread)).alias("differs")).filter("differs").isEmpty():
-        return _with_repeated_ids(docs, width, pct)
-    reps = docs.select("doc_id", "text").join(
-        materialize(classes.select(F.col("class_id").alias("doc_id")), "reps"), "doc_id", "left_semi"
-    )
-    groups = classes.select("class_id", F.posexplode("leaders").alias("turn", "key"))
-    leader = materialize(groups.groupBy("turn", "key").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "leaders")
+        return _with_repeated_ids(docs, width, pct, long_rows)
+    groups = classes.select("class_id", "n_shingles", F.posexplode("leaders").alias("turn", "key"))
+    leader = groups.groupBy("turn", "key").agg(
+        F.min(F.struct(F.col("class_id").alias("a"), F.col("n_shingles").alias("n"))).alias("first"),
+        F.count(F.lit(1)).alias("k"),
+    ).filter("k > 1").select("turn", "key", "first.a", "first.n")
+    fits = 100 * F.least("n", "n_shingles") >= pct * F.greatest("n", "n_shingles")
     stars = (
-        groups.join(leader, ["turn", "key"]).filter("class_id <> a")
+        groups.join(materialize(leader, "leaders"), ["turn", "key"]).filter((F.col("class_id") != F.col("a")) & fits)
         .select("a", F.col("class_id").alias("b")).distinct()
     )
-    near = materialize(_linked(reps, stars, width, pct), "near")
-    label = materialize(connected_components(near), "components")
-    frequent = frequent_columns(reps, width)
-    postings = materialize(_postings(reps, width, pct, frequent), "postings")
-    found = _linked(reps, _candidates(postings, label, pct), width, pct)
+    near = materialize(_linked(docs, stars, width, pct), "near")
+    label = connected_components(near)
+    known = materialize(
+        classes.select(F.col("class_id").alias("id")).join(label, "id", "left")
+        .select("id", F.coalesce("component", "id").alias("comp")), "labels"
+    )
+    # Only one row of each class goes into the product.
+    leading = _leading(docs, width, pct, frequent_columns(docs, width)).join(known, "id")
+    found = _linked(docs, _candidates(_postings(leading.select("id", "n", "columns", "comp")), pct, long_rows), width, pct)
     whole = materialize(
         connected_components(near.unionByName(materialize(found, "found"))).withColumnRenamed("id", "class_id"),
         "components",
@@ -325,11 +417,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, pct: int = SIMILARIT
     )
 
 
-def _with_repeated_ids(docs: DataFrame, width: int, pct: int) -> DataFrame:
+def _with_repeated_ids(docs: DataFrame, width: int, pct: int, long_rows: int) -> DataFrame:
     """The same result where one id stands for different texts: rows are compared under ids of their own."""
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     unique = rows.groupBy("row").agg(F.first("text").alias("text")).withColumnRenamed("row", "doc_id")
-    found = jaccard_components(materialize(unique, "rows"), width, pct).select(
+    found = jaccard_components(materialize(unique, "rows"), width, pct, long_rows).select(
         F.col("doc_id").alias("row"), "n_shingles", F.col("class_id").alias("set_row"), "component_id"
     )
     member = materialize(rows.select("doc_id", "row").join(found, "row"), "members")

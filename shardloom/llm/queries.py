@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, token_output, topk, toxicity
+from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, token_output, topk, toxicity
 from shardloom.llm.common import held_out, read_table
 from shardloom.session import prepare, scratch_path
 
@@ -52,6 +52,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model)
+
+
 @query
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
