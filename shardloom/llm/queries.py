@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, token_output, topk, toxicity
+from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, suffix_dedup, token_output, topk, toxicity
 from shardloom.llm.common import held_out, read_table
 from shardloom.session import prepare, scratch_path
 
@@ -47,6 +47,12 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.drop("spans")
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
