@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.common import utf8
 from shardloom.llm.components import connected_components
-from shardloom.llm.shingles import mix, shingle_sets
+from shardloom.llm.shingles import in_slices, mix, shingle_sets
 from shardloom.session import broadcast_if_small, materialize
 
 WIDTH, SIMILARITY_PCT = 5, 80
@@ -102,8 +102,7 @@ def frequent_columns(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in _rows(batch, width) if len(s)]
-            if sets:
+            for sets in in_slices(_rows(batch, width)):
                 values, n = np.unique(np.concatenate(sets), return_counts=True)
                 seen = n > 1
                 yield pa.RecordBatch.from_arrays(

@@ -11,7 +11,7 @@ IS_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text.
 
     A text of fewer than ``width`` words, but not none, is one shingle; one without words has none.
-    Texts are hashed a few megabytes at a time; one very long text is a piece of its own.
+    Texts are hashed a megabyte at a time; one very long text is a piece of its own.
     """
     out, piece, size = [], [], 0
     for text in texts:
@@ -48,6 +48,19 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out + (_piece(piece, width) if piece else [])
 
 
+def in_slices(sets: list[np.ndarray], most: int = _SLICE):
+    """Lists of some sets in a row with about ``most`` hashes together."""
+    held, size = [], 0
+    for s in sets:
+        held.append(s)
+        size += len(s)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _piece(texts: list[bytes], width: int) -> list[np.ndarray]:
     joined = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
@@ -58,10 +71,8 @@ def _piece(texts: list[bytes], width: int) -> list[np.ndarray]:
         return [np.empty(0, np.uint64) for _ in texts]
     lengths = ends - starts
     # A word's hash is the sum of its bytes' random numbers, each times a power of its place.
-    at = np.arange(len(joined), dtype=np.int64)
-    of_word = np.repeat(np.arange(len(starts)), lengths)
-    chars = at[inside[1:]]
-    values = _BYTES[joined[chars]] * powers(_STEP, int(lengths.max()))[chars - starts[of_word]]
+    chars = np.flatnonzero(inside[1:])
+    values = _BYTES[joined[chars]] * powers(_STEP, int(lengths.max()))[chars - np.repeat(starts, lengths)]
     words = mix(np.add.reduceat(values, np.r_[0, np.cumsum(lengths)[:-1]]) + lengths.astype(np.uint64))
     first = np.searchsorted(starts, np.r_[0, ends_of_text])
     whole = np.zeros(max(len(words) - width + 1, 0), np.uint64)
