@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, suffix_dedup, token_output, topk, toxicity
 from shardloom.llm.common import held_out, read_table
+from shardloom.llm.oracle import ORACLE  # noqa: F401
 from shardloom.session import prepare, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
