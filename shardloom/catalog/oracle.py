@@ -290,6 +290,7 @@ ORACLE: dict[str, str] = {
         SELECT model, count(*) AS n, (count(*) + 63) // 64 AS n_batches FROM routed WHERE valid AND NOT is_identity GROUP BY model""",
     "translate_samples": f"WITH {TRANSLATED} SELECT key, translation, caption_en, n FROM shown",
     "translate_shards": f"WITH {TRANSLATED} SELECT url AS shard, key, caption_en, n FROM shown",
+    "stream_translate_shards": f"WITH {TRANSLATED} SELECT url AS shard, key, caption_en, n FROM shown",
     "stream_translate": f"WITH {TRANSLATED} SELECT key, translation, caption_en, n FROM shown",
     "caption_coverage": f"""WITH {SAMPLES} SELECT url, count(*) AS total, count(caption_en) AS has_caption_en,
         round(count(caption_en) / cast(count(*) AS double), 3) AS ratio FROM captions GROUP BY url""",
@@ -323,14 +324,24 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT *, epoch <> 4, 'epoch' FROM manifest
         UNION ALL SELECT *, epoch = max(epoch) OVER (PARTITION BY run), 'keep_latest' FROM manifest""",
     "shard_roundtrip": f"""WITH {SAMPLES} SELECT url AS shard, key, txt, jpg AS jpg_bytes, png AS png_bytes, caption FROM captions""",
-    "shard_errors": "SELECT cast(NULL AS varchar) AS url, cast(NULL AS varchar) AS error WHERE false",
+    "shard_errors": """SELECT DISTINCT source AS shard, ['cut short', 'damaged header', 'repeated member', 'no tar'][cast(source[4:] AS int) % 5 + 1] AS kind
+        FROM documents WHERE cast(source[4:] AS int) % 5 < 4""",
+    "shards_with_errors": f"""SELECT shard, key, n_bytes FROM (SELECT source AS shard, {KEY} AS key, strlen(text) AS n_bytes,
+        cast(source[4:] AS int) % 5 AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+        WHERE kind IN (2, 4) OR kind < 2 AND r <= 2""",
+    "json_rewrite": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'NaN, ' || doc_id WHEN 1 THEN NULL WHEN 2 THEN 'é' || doc_id ELSE 'a' END AS caption,
+        CASE doc_id % 4 WHEN 0 THEN '{"x": NaN, "caption": "NaN, ' || doc_id || '", "caption_en": "new ' || doc_id || '"}'
+        WHEN 1 THEN '{"big": 12345678901234567890123456789012345678901234' || doc_id || ', "caption_en": "new ' || doc_id || '"}'
+        WHEN 2 THEN '{"x": {"y": [1, 2.5, null, true]}, "caption": "é' || doc_id || '", "caption_en": "new ' || doc_id || '"}'
+        ELSE '{"k": ' || doc_id || ', "caption": "a", "caption_en": "new ' || doc_id || '"}' END AS json FROM documents""",
+    "json_array_file": """SELECT row_number() OVER (ORDER BY source) - 1 AS caption_id, source AS caption FROM (SELECT DISTINCT source FROM documents)""",
     "line_list": rf"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS caption_id, line AS caption FROM (
         SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {strip("regexp_replace(text, '[\r\n]+', ' ', 'g')")} END AS line FROM documents)
         WHERE line <> ''""",
     "image_paths": f"SELECT doc_id AS image_id, '/data/imgs/' || {KEY} || '.png' AS path FROM documents",
     "json_array_list": """SELECT doc_id, i - 1 AS caption_id, l[i] AS caption FROM
         (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
-    "metadata_export": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "metadata_export": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "image_scan": """SELECT doc_id AS image_id, cast(2 AS int) AS height, cast(2 + doc_id % 5 AS int) AS width, cast(3 AS int) AS channels
         FROM documents WHERE doc_id % 29 <> 0 AND doc_id % 13 <> 0""",
     "unreadable_images": "SELECT doc_id AS image_id FROM documents WHERE doc_id % 29 = 0 OR doc_id % 13 = 0",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import tarfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,7 @@ from shardloom.catalog.inputs import (
 )
 from shardloom.functions import captions as cap
 from shardloom.functions.hashing import split_score
-from shardloom.functions.json import json_object, json_string
+from shardloom.functions.json import json_object, json_string, set_json_string
 from shardloom.functions.text import safe_caption
 from shardloom.functions.tokens import pad_tokens as pad
 from shardloom.functions.tokens import whitespace_tokens
@@ -24,7 +26,7 @@ from shardloom.operators import coverage, dataset, language, metrics, predict, r
 from shardloom.operators.similarity import paired_score as paired
 from shardloom.operators.translate import encode
 from shardloom.plans import evaluation, training, translation
-from shardloom.session import materialize, prepare, scratch_path
+from shardloom.session import materialize, prepare, qualified, scratch_path
 from shardloom.sources import images, lists, submissions, tables, tar
 from shardloom.streaming import losses
 from shardloom.streaming import shards as shard_stream
@@ -449,10 +451,83 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damage(data: bytes, kind: int) -> bytes:
+    """A tar with its third sample cut short (0), its header overwritten (1) or repeated (2), junk (3), or as it was."""
+    if kind == 3:
+        return b"no tar" * 200
+    with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        third = t.getmembers()[2]
+    if kind == 0:
+        return data[: third.offset_data + third.size // 2]
+    if kind == 1:
+        return data[: third.offset] + b"\x7f" * 512 + data[third.offset_data :]
+    if kind == 2:
+        end = third.offset_data + -(-third.size // 512) * 512
+        return data[:end] + data[third.offset :]
+    return data
+
+
+def damaged_shards(spark: SparkSession, sf_dir: str) -> str:
+    """Text shards by source, whose number leaves the kind of damage when divided by 5."""
+    whole, folder = scratch_path(spark, "whole"), qualified(spark, scratch_path(spark, "damaged"))
+    fields = F.create_map(F.lit("txt"), F.col("text").cast("binary"))
+    tar.write_shards(table(spark, sf_dir, "documents").select(
+        F.col("source").alias("url"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"), fields.alias("fields")
+    ), whole)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = tar.locate(folder)
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"]):
+                name = path.rsplit("/", 1)[1]
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(damage(data, int(name[3:-4]) % 5))
+            yield pdf[["path"]]
+
+    store, root = tar.locate(folder)
+    store.create_dir(root, recursive=True)
+    shards = spark.read.format("binaryFile").load(whole + "/*.tar").select("path", "content")
+    shards.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder + "/*.tar"
+
+
 @query
 def shard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken shards among the written ones; the writer leaves none."""
-    return tar.shard_errors(spark, stored_shards(spark, sf_dir) + "/*.tar")
+    """What is wrong with shards of four kinds of damage."""
+    kind = (
+        F.when(F.col("error").contains("damaged header"), "damaged header")
+        .when(F.col("error").contains("duplicate member"), "repeated member")
+        .when(F.col("error").contains("unexpected end"), "cut short").otherwise("no tar")
+    )
+    return tar.shard_errors(spark, damaged_shards(spark, sf_dir)).select(
+        shard_name("url").alias("shard"), kind.alias("kind")
+    )
+
+
+@query
+def shards_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that damaged shards give when errors are skipped."""
+    read = tar.read_shards(spark, damaged_shards(spark, sf_dir), on_error="skip")
+    return read.select(
+        shard_name("url").alias("shard"), "key", F.octet_length(F.col("fields")["txt"]).cast("bigint").alias("n_bytes")
+    )
+
+
+@query
+def json_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key set in documents that a variant could not hold whole; all other keys stay as they are."""
+    n = F.col("doc_id").cast("string")
+    text = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"x": NaN, "caption": "NaN, '), n, F.lit('"}')))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"big": 12345678901234567890123456789012345678901234'), n, F.lit(', "caption_en": "old"}')))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"x": {"y": [1, 2.5, null, true]}, "caption": "é'), n, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"k": 1, "caption": "a", "k": '), n, F.lit("}")))
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("json"))
+    return docs.select(
+        "doc_id", json_string(json_object(F.col("json")), "caption").alias("caption"),
+        set_json_string(F.col("json"), "caption_en", F.concat(F.lit("new "), n)).alias("json"),
+    )
 
 
 @query
@@ -496,10 +571,19 @@ def json_array_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.json_array_items(arrays, "json", ["doc_id"])
 
 
+@query
+def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of all documents as one file with one JSON array."""
+    path = scratch_path(spark, "array")
+    names = table(spark, sf_dir, "documents").agg(F.to_json(F.sort_array(F.collect_set("source"))).alias("value"))
+    names.write.text(path)
+    return lists.read_json_array(spark, path)
+
+
 @query
 def metadata_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "metadata")
-    tables.export_metadata(table(spark, sf_dir, "documents").drop("text"), path)
+    tables.export_metadata(table(spark, sf_dir, "documents"), path)
     return spark.read.parquet(path)
 
 
@@ -516,7 +600,7 @@ def png(rgb: tuple[int, int, int], width: int = 3, height: int = 2) -> bytes:
 
 def stored_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """A picture per document; every 13th is junk, and every 29th is listed but missing."""
-    folder = scratch_path(spark, "images")
+    folder = qualified(spark, scratch_path(spark, "images"))
     names = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("image_id"), F.format_string("%09d.png", "doc_id").alias("path")
     )
@@ -598,6 +682,22 @@ def stream_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translated_view(spark.read.parquet(out))
 
 
+@query
+def stream_translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tars as they arrive; each is translated once, into the folder of its batch."""
+    source, out = stored_shards(spark, sf_dir), scratch_path(spark, "shards-en")
+    run = shard_stream.stream_translate(
+        spark, source, out, scratch_path(spark, "offsets"), profile_of(spark, sf_dir), routing.routes(spark), stand_in_model,
+    )
+    run.awaitTermination()
+    typed = tar.typed_samples(tar.read_shards(spark, out + "/batch=*/*.tar", ("json",), "fail"))
+    parsed = json_object(F.col("json"))
+    return typed.select(
+        shard_name("url").alias("shard"), "key", json_string(parsed, "caption_en").alias("caption_en"),
+        F.try_variant_get(parsed, "$.n", "bigint").alias("n"),
+    )
+
+
 @query
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps arrive in three parts in time order, and the stream is restarted for each."""

@@ -5,17 +5,36 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
+def _without_constants(c: Column) -> Column:
+    """The text with the bare numbers ``NaN`` and ``Infinity``, which Python's parser takes, as JSON null.
+
+    Strings are matched first and kept, with a mark behind their end that is taken off again. The mark is no
+    legal character of JSON text.
+    """
+    marked = F.regexp_replace(c, r'("(?:[^"\\]|\\.)*+")|-?\b(?:NaN|Infinity)\b', "$1\u0001")
+    return F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("null"))
+
+
 def json_object(c: Column) -> Column:
-    """Parsed object, or null for anything malformed or not an object."""
-    v = F.try_parse_json(c)
+    """Parsed object, or null for anything malformed or not an object.
+
+    ``NaN`` and ``Infinity`` count as values that are no string, so the other fields stay readable.
+    """
+    v = F.coalesce(
+        F.try_parse_json(c), F.when(c.rlike("NaN|Infinity"), F.try_parse_json(_without_constants(c)))
+    )
     return F.when(F.schema_of_variant(v).startswith("OBJECT<"), v)
 
 
@@ -29,14 +48,39 @@ def json_string(v: Column, key: str) -> Column:
     return F.when(json_type(v, key) == "STRING", F.try_variant_get(v, _path(key), "string"))
 
 
+@F.pandas_udf(StringType())
+def _put(text: pd.Series, key: pd.Series, value: pd.Series) -> pd.Series:
+    out = []
+    for t, k, v in zip(text, key, value):
+        if v is None:
+            out.append(t)
+            continue
+        try:
+            whole = json.loads(t) if t is not None else {}
+        except (ValueError, RecursionError):
+            whole = {}
+        whole = whole if isinstance(whole, dict) else {}
+        whole[k] = v
+        done = json.dumps(whole, ensure_ascii=False)
+        # Half a surrogate pair has no UTF-8 form; escaped it stays what it was.
+        out.append(done if _encodes(done) else json.dumps(whole))
+    return pd.Series(out, dtype=object)
+
+
+def _encodes(text: str) -> bool:
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def set_json_string(c: Column, key: str, value: Column) -> Column:
     """JSON text with ``key`` set to ``value`` and every other key kept.
 
     A null ``value`` leaves the text untouched. Absent or malformed JSON turns into an
-    object that holds this key alone.
+    object that holds this key alone. Numbers of any length, ``NaN`` and the order of the keys stay, which a
+    variant cannot hold; so texts with a value to set are rewritten in Arrow batches.
     """
-    as_map = F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
-    empty = F.expr("cast(map() as map<string,variant>)")
-    kept = F.map_filter(F.coalesce(as_map, empty), lambda k, _: k != F.lit(key))
-    merged = F.map_concat(kept, F.create_map(F.lit(key), value.cast("variant")))
-    return F.when(value.isNull(), c).otherwise(F.to_json(merged))
+    changed = F.when(value.isNotNull(), c)
+    return F.when(value.isNull(), c).otherwise(_put(changed, F.lit(key), value))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.vectors import l2_norm, l2_normalize
-from shardloom.operators.similarity import better_counts, block_sums
+from shardloom.operators.similarity import better_counts, better_counts_of, block_sums, joined_pairs, scored_pairs
+from shardloom.session import materialize
 
 # Recall cut-offs reported after an epoch.
 RECALL_KS = (1, 5, 10)
@@ -20,9 +21,16 @@ ADAPTER_TAGS = ("lora_a", "lora_b", "lora_up", "lora_down")
 
 def retrieval_ranks(images: DataFrame, texts: DataFrame, **sizes) -> DataFrame:
     """1-based rank of the true match in both directions; ties go to the lowest id."""
-    return better_counts(images, texts, **sizes).select(
-        "id", (F.col("i2t") + 1).alias("i2t_rank"), (F.col("t2i") + 1).alias("t2i_rank")
-    )
+    return _ranks(better_counts(images, texts, **sizes))
+
+
+def ranks_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``retrieval_ranks`` of stored pairs ``id, iv, tv``."""
+    return _ranks(better_counts_of(scored_pairs(pairs)))
+
+
+def _ranks(counts: DataFrame) -> DataFrame:
+    return counts.select("id", (F.col("i2t") + 1).alias("i2t_rank"), (F.col("t2i") + 1).alias("t2i_rank"))
 
 
 def retrieval_metrics(ranks: DataFrame, ks: tuple[int, ...] = RECALL_KS) -> DataFrame:
@@ -43,17 +51,20 @@ def batch_loss(images: DataFrame, texts: DataFrame, scale: float, bias: float =
     """``batch, loss, n``: mean binary cross entropy over all pairs of each batch.
 
     ``images`` is ``(id, batch, v)``, ``texts`` is ``(id, v)``. The labels are symmetric,
-    so both directions have the same mean and one is enough.
+    so both directions have the same mean and one is enough. The sides are joined once.
     """
+    paired = materialize(joined_pairs(images.select("id", "batch", "v"), texts), "pairs")
+    return loss_of_pairs(paired, scale, bias, lane_rows)
+
+
+def loss_of_pairs(paired: DataFrame, scale: float, bias: float = 0.0, lane_rows: int = 4096) -> DataFrame:
+    """``batch_loss`` of stored pairs ``id, batch, iv, tv``, which are read three times."""
 
     def kernel(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray) -> float:
         x = scale * (a @ b.T) + bias
         y = (ia[:, None] == ib[None, :]).astype(np.float64)
         return float((np.maximum(x, 0.0) - x * y + np.log1p(np.exp(-np.abs(x)))).sum())
 
-    paired = images.select("id", "batch", F.col("v").alias("iv")).join(
-        texts.select("id", F.col("v").alias("tv")), "id"
-    )
     return block_sums(paired, "batch", kernel, lane_rows).select(
         "batch",
         (F.col("total") / F.col("n_pairs")).alias("loss"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.operators.ordering import group_key, join_null_safe
+from shardloom.session import materialize
 
 # Fixed value: epochs without improvement before training stops.
 PATIENCE = 5
@@ -51,15 +52,16 @@ def early_stopping(
     ``bad_epochs`` counts the rows since the loss last fell below the best one before it;
     an equal, null or NaN loss is no improvement. ``stop_epoch`` is the first epoch at
     which the count reaches ``patience``. A long run is scanned in chunks of consecutive
-    epochs; chunk summaries carry the best loss and its position onwards.
+    epochs; chunk summaries carry the best loss and its position onwards. The history is worked out once
+    and stored, as rows, summaries and stops all come from it.
     """
     start = F.lit(float("inf") if initial_best is None else float(initial_best))
     value = F.when(~F.isnan(loss), F.col(loss))
     rows = stats.withColumn("__chunk", _chunk(by, epoch, chunk)).withColumn("__v", value)
     inside = Window.partitionBy("__chunk").orderBy(epoch)
-    rows = rows.withColumn("__p", F.row_number().over(inside)).withColumn(
+    rows = materialize(rows.withColumn("__p", F.row_number().over(inside)).withColumn(
         "__low", F.min("__v").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    )
+    ), "history")
 
     before = (
         Window.partitionBy("__chunk.run").orderBy("__chunk.piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +87,9 @@ def early_stopping(
     scanned = joined.withColumn("best_loss", F.least(prior, F.coalesce("__v", prior))).withColumn(
         "bad_epochs", (pos - F.coalesce(F.max(hit).over(upto), F.col("__carry"))).cast("bigint")
     )
-    scanned = scanned.drop("__chunk", "__v", "__p", "__low", "__offset", "__best", "__carry")
+    scanned = materialize(
+        scanned.drop("__chunk", "__v", "__p", "__low", "__offset", "__best", "__carry"), "scanned"
+    )
     stops = scanned.groupBy(by).agg(
         F.min(F.when(F.col("bad_epochs") >= patience, F.col(epoch))).alias("stop_epoch")
     )

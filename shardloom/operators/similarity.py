@@ -37,10 +37,14 @@ COUNT_SCHEMA = "id bigint, i2t bigint, t2i bigint"
 
 
 def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Matrix of normalised rows from a list column."""
+    """Matrix of normalised rows from a list column. A null vector or component, or one of another length, is an error."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     n = len(vectors)
+    if vectors.null_count or vectors.flatten().null_count:
+        raise ValueError("null among the vectors")
+    if len(set(np.diff(np.asarray(vectors.offsets)).tolist())) > 1:
+        raise ValueError("vectors of different lengths")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if n == 0:
         return flat.reshape(0, 0)
@@ -156,9 +160,10 @@ def topk(
 ) -> DataFrame:
     """Best ``k`` texts of every image as ``image_id, rank, caption_id, score``, exact.
 
-    Both inputs are ``(id, v)``. Hand in stored tables: each side may be read more than once.
+    Both inputs are ``(id, v)``. Hand in stored tables: each side may be read more than once. Rows
+    without a vector, as of unreadable images, take no part; vectors of other lengths are an error.
     """
-    images, texts = images.select("id", "v"), texts.select("id", "v")
+    images, texts = with_vector(images.select("id", "v")), with_vector(texts.select("id", "v"))
     n_text, text_size = vector_bytes(texts)
     if text_size <= resident_bytes:
         return _topk_resident(images, texts, k)
@@ -217,13 +222,24 @@ def _topk_resident(images: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return images.mapInArrow(scan, TOPK_SCHEMA)
 
 
+def with_vector(df: DataFrame, column: str = "v") -> DataFrame:
+    return df.filter(F.col(column).isNotNull())
+
+
+def joined_pairs(images: DataFrame, texts: DataFrame) -> DataFrame:
+    """Image i with text i as ``id, iv, tv`` and the other image columns; pairs need both vectors."""
+    return with_vector(images).withColumnRenamed("v", "iv").join(
+        with_vector(texts).select("id", F.col("v").alias("tv")), "id"
+    )
+
+
 def positive_pairs(images: DataFrame, texts: DataFrame) -> DataFrame:
     """Image i with text i and their similarity ``p``."""
-    return (
-        images.select("id", F.col("v").alias("iv"))
-        .join(texts.select("id", F.col("v").alias("tv")), "id")
-        .withColumn("p", F.round(cosine(F.col("iv"), F.col("tv")), DECIMALS))
-    )
+    return scored_pairs(joined_pairs(images.select("id", "v"), texts))
+
+
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id", "iv", "tv", F.round(cosine(F.col("iv"), F.col("tv")), DECIMALS).alias("p"))
 
 
 def paired_score(images: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,10 +255,17 @@ def better_counts(
     """``id, i2t, t2i``: rivals that outrank the true partner, in both directions.
 
     Counting replaces a full sort of each row. One product of two blocks serves both
-    directions, and counts add up over blocks with map-side combine.
+    directions, and counts add up over blocks with map-side combine. Only pairs are ranked, and only
+    paired vectors are rivals.
     """
-    pairs = positive_pairs(images, texts)
-    n, size = vector_bytes(texts)
+    return better_counts_of(positive_pairs(images, texts), resident_bytes, lane_bytes)
+
+
+def better_counts_of(
+    pairs: DataFrame, resident_bytes: int = RESIDENT_BYTES, lane_bytes: int = LANE_BYTES
+) -> DataFrame:
+    """``better_counts`` of scored pairs ``id, iv, tv, p``."""
+    n, size = vector_bytes(pairs, "tv")
     resident = size <= resident_bytes
     if not resident:
         pairs = materialize(pairs, "pairs")
@@ -251,7 +274,7 @@ def better_counts(
     if resident:
         partial = _better_resident(left, right)
     else:
-        lanes = lanes_for(size, grid_side(images), lane_bytes)
+        lanes = lanes_for(size, grid_side(pairs), lane_bytes)
         left, right = cells(left, right, lanes, lanes)
 
         def cell(a: pa.Table, b: pa.Table) -> pa.Table:

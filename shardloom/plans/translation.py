@@ -39,30 +39,31 @@ def translate_samples(
 def translate_files(
     files: DataFrame, out_dir: str, profile: LanguageProfile, table: DataFrame,
     load_model: Callable[[str], TextModel], default: str = "m_default", split_bytes: int = SPLIT_BYTES,
-    spread: int | None = None,
+    spread: int | None = None, on_error: str = "fail",
 ) -> DataFrame:
     """Translate the tars of ``url, length`` into ``out_dir`` and return the manifest.
 
     The first pass reads only the text members. The changed JSON, a narrow table, then
     meets the splits again, and the payload is copied from file to file. ``spread`` sets the
-    number of tasks that call models.
+    number of tasks that call models. A broken tar stops the job, or with ``on_error='skip'``
+    gives its samples up to there and a count of errors in the manifest.
     """
     splits = materialize(spread_splits(files, split_bytes), "splits")
     scanned = splits.repartition(spread_count(splits.sparkSession, splits.count()))
     place = ["url", "part", "offset"]
-    text = typed_samples(read_splits(scanned, fields=("json", "txt"))).select(*place, "json", "txt")
+    text = typed_samples(read_splits(scanned, ("json", "txt"), on_error)).select(*place, "json", "txt")
     # The number is stored with the text, so every later step sees the same one.
     text = materialize(text.withColumn("sample_no", F.monotonically_increasing_id()), "captions")
     new = translate_samples(text, profile, table, load_model, ["sample_no"], default, spread)
     changed = new.filter(usable_translation(F.col("translation")).isNotNull())
-    return rewrite_shards(splits, changed.select(*place, F.col("new_json").alias("json")), out_dir)
+    return rewrite_shards(splits, changed.select(*place, F.col("new_json").alias("json")), out_dir, on_error)
 
 
 def translate_shards(
     spark: SparkSession, in_glob: str, out_dir: str, profile: LanguageProfile, table: DataFrame,
     load_model: Callable[[str], TextModel], default: str = "m_default", split_bytes: int = SPLIT_BYTES,
-    spread: int | None = None,
+    spread: int | None = None, on_error: str = "fail",
 ) -> DataFrame:
     """Translate every tar of a glob."""
     files = list_shards(spark, in_glob)
-    return translate_files(files, out_dir, profile, table, load_model, default, split_bytes, spread)
+    return translate_files(files, out_dir, profile, table, load_model, default, split_bytes, spread, on_error)

@@ -57,6 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark itself resolves it on this driver.
+
+    Tasks open files outside Spark's readers and writers by such URIs only, so driver and executors
+    mean the same place. A mount point is followed to the store behind it.
+    """
+    jvm = spark.sparkContext._jvm
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    store = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = store.makeQualified(given)
+    if store.getScheme() == "viewfs":
+        parent = full.getParent()
+        full = jvm.org.apache.hadoop.fs.Path(store.resolvePath(parent), full.getName())
+    return full.toString()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import utf8_ignore
-from shardloom.session import materialize
+from shardloom.session import materialize, qualified
 
 SPLIT_BYTES = 512 << 20
 BATCH_BYTES = 16 << 20
@@ -38,17 +38,29 @@ SAMPLE_ARROW = pa.schema(
         ("fields", pa.map_(pa.string(), pa.binary())),
     ]
 )
-MANIFEST_SCHEMA = "url string, tar string, n_samples bigint, n_bytes bigint"
+MANIFEST_SCHEMA = "url string, tar string, n_samples bigint, n_bytes bigint, n_errors bigint"
+MANIFEST_ARROW = pa.schema(
+    [
+        ("url", pa.string()), ("tar", pa.string()), ("n_samples", pa.int64()), ("n_bytes", pa.int64()),
+        ("n_errors", pa.int64()),
+    ]
+)
+READ_AHEAD = 1 << 20
 
 # Fixed pattern: the stem ends at the first dot of the base name, the rest names the field.
 MEMBER = re.compile(r"((?:.*/)?[^./]+)\.([^/]*)", re.DOTALL)
 
 
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a Spark path."""
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", uri) and not uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    """File system and path of a qualified URI, as ``session.qualified`` gives it.
+
+    A path without a scheme is refused: a task cannot know which file system Spark means.
+    """
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", uri):
+        raise ValueError(f"path without a scheme: {uri}")
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def list_shards(spark: SparkSession, glob: str) -> DataFrame:
@@ -62,10 +74,25 @@ def list_shards(spark: SparkSession, glob: str) -> DataFrame:
     return files.select(F.col("path").alias("url"), "length")
 
 
+def _next(tar: tarfile.TarFile) -> tarfile.TarInfo | None:
+    """The next member; none at the end. A header that cannot be read is an error, not an end.
+
+    The library ends silently at any such header but the first. An archive ends with a zero block, or
+    where the file does.
+    """
+    info = tar.next()
+    tar.members = []
+    if info is None:
+        tar.fileobj.seek(tar.offset)
+        block = tar.fileobj.read(tarfile.BLOCKSIZE)
+        if block.strip(b"\0") or 0 < len(block) < tarfile.BLOCKSIZE:
+            raise tarfile.ReadError(f"damaged header at {tar.offset}")
+    return info
+
+
 def _members(tar: tarfile.TarFile, end: int) -> Iterator[tuple[tarfile.TarInfo, str, str]]:
     """Plain files with their stem and field, up to the byte position ``end``."""
-    while (info := tar.next()) is not None and info.offset < end:
-        tar.members = []
+    while (info := _next(tar)) is not None and info.offset < end:
         name = MEMBER.fullmatch(info.name)
         base = posixpath.basename(info.name)
         if info.isfile() and name and not (base.startswith("__") and base.endswith("__")):
@@ -75,7 +102,8 @@ def _members(tar: tarfile.TarFile, end: int) -> Iterator[tuple[tarfile.TarInfo,
 @contextmanager
 def _open(url: str, start: int = 0):
     store, path = locate(url)
-    with store.open_input_file(path) as raw:
+    # Read ahead, so neighbouring headers do not cost a request each on an object store.
+    with store.open_input_file(path) as file, io.BufferedReader(file, READ_AHEAD) as raw:
         raw.seek(start)
         with tarfile.open(fileobj=raw, mode="r:") as tar:
             yield tar
@@ -141,20 +169,23 @@ class _Samples:
         self.errors: list[str] = []
 
     def __iter__(self) -> Iterator[tuple[int, str, dict[str, bytes]]]:
-        at, stem, found = 0, None, {}
+        at, stem, found, seen = 0, None, {}, set()
         try:
             with _open(self.url, self.start) as tar:
                 for info, this, field in _members(tar, self.end):
+                    wanted = self.fields is None or field in self.fields
+                    # Read first: a member that breaks off starts no sample.
+                    again = this == stem and field in seen
+                    data = tar.extractfile(info).read() if wanted and not again else None
                     if this != stem:
                         if stem is not None:
                             yield at, stem, found
-                        at, stem, found = info.offset, this, {}
-                    if self.fields is not None and field not in self.fields:
-                        continue
-                    if field in found:
+                        at, stem, found, seen = info.offset, this, {}, set()
+                    seen.add(field)
+                    if again:
                         self._note(ValueError(f"duplicate member {info.name}"))
-                        continue
-                    found[field] = tar.extractfile(info).read()
+                    elif wanted:
+                        found[field] = data
         except (tarfile.TarError, EOFError, OSError) as e:
             self._note(e)
         if stem is not None:
@@ -208,7 +239,7 @@ def read_shards(
 
 
 def shard_errors(spark: SparkSession, glob: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``url, error`` found by a pass over the headers."""
+    """``url, error`` of cut, damaged and repeated members, found by a pass over the headers."""
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -254,7 +285,7 @@ class _TarOut:
         self.private = posixpath.join(root, f"_tmp.{uuid.uuid4().hex}")
         self.raw = self.store.open_output_stream(self.private)
         self.tar = tarfile.open(fileobj=self.raw, mode="w|", format=tarfile.GNU_FORMAT)
-        self.samples = self.bytes = 0
+        self.samples = self.bytes = self.errors = 0
 
     def add(self, key: str, fields: Iterable[tuple[str, bytes]]) -> None:
         for field, data in fields:
@@ -270,7 +301,9 @@ class _TarOut:
         if self.store.get_file_info(self.final).type == pafs.FileType.File and self.store.type_name == "hdfs":
             self.store.delete_file(self.final)
         self.store.move(self.private, self.final)
-        return {"url": self.url, "tar": self.name, "n_samples": self.samples, "n_bytes": self.bytes}
+        return {
+            "url": self.url, "tar": self.name, "n_samples": self.samples, "n_bytes": self.bytes, "n_errors": self.errors,
+        }
 
 
 def _start_output(spark: SparkSession, urls: DataFrame, out_dir: str) -> None:
@@ -295,19 +328,29 @@ def _finish_output(manifest: DataFrame, out_dir: str) -> DataFrame:
 
 def _write_sorted(batches: Iterable[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
     """Tars from rows sorted by url and part."""
-    schema = pa.schema(
-        [("url", pa.string()), ("tar", pa.string()), ("n_samples", pa.int64()), ("n_bytes", pa.int64())]
-    )
     out, at = None, None
     for row in _rows(batches):
         here = (row["url"], row["part"])
         if here != at:
             if out is not None:
-                yield pa.RecordBatch.from_pylist([out.close()], schema)
+                yield pa.RecordBatch.from_pylist([out.close()], MANIFEST_ARROW)
             out, at = _TarOut(out_dir, row["url"], row["part"], row["parts"]), here
         out.add(row["key"], sorted((f["k"], f["v"]) for f in row["fields"]))
     if out is not None:
-        yield pa.RecordBatch.from_pylist([out.close()], schema)
+        yield pa.RecordBatch.from_pylist([out.close()], MANIFEST_ARROW)
+
+
+def _check_keys(df: DataFrame) -> None:
+    """Refuse samples that would not read back as they are written."""
+    base = F.element_at(F.split("key", "/"), -1)
+    # The stem must end where the key does, and a hidden name would be passed over.
+    odd = F.col("key").isNull() | base.contains(".") | (base == "") | base.rlike("^__.*__$")
+    wrong = df.filter(odd).select("url", "key").first()
+    if wrong:
+        raise ValueError(f"sample key {wrong.key!r} of {wrong.url} cannot be written")
+    twice = df.groupBy("url", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if twice:
+        raise ValueError(f"sample key {twice.key!r} of {twice.url} occurs {twice.n} times")
 
 
 def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -315,14 +358,17 @@ def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES) ->
 
     A url with more than about ``part_bytes`` becomes several numbered tars, so a url that
     holds a large share of the rows is spread over tasks. Samples keep the order of
-    ``offset`` where that column exists, else of ``key``.
+    ``offset`` where that column exists, else of ``key``. Null, dotted and repeated keys are
+    errors, as they would not read back.
     """
     spark = df.sparkSession
+    out_dir = qualified(spark, out_dir)
     order = ["offset", "key"] if "offset" in df.columns else ["key"]
     weight = F.aggregate(
         F.map_values("fields"), F.lit(0).cast("bigint"),
         lambda acc, x: acc + F.lit(1024) + F.coalesce(F.octet_length(x), F.lit(0)),
     )
+    _check_keys(df)
     sizes = materialize(df.groupBy("url").agg(F.sum(weight).alias("bytes")), "shard-sizes")
     _start_output(spark, sizes, out_dir)
     parts = sizes.select("url", F.greatest(F.ceil(F.col("bytes") / part_bytes), F.lit(1)).cast("int").alias("parts"))
@@ -342,14 +388,18 @@ def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES) ->
     return _finish_output(rows.mapInArrow(write, MANIFEST_SCHEMA), out_dir)
 
 
-def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str) -> DataFrame:
+def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str, on_error: str = "fail") -> DataFrame:
     """Copy each split to an output tar with some JSON members replaced.
 
+    A broken tar stops the job; with ``on_error='skip'`` its samples up to there are written and the
+    manifest counts the errors.
+
     ``new_json`` is ``url, part, offset, json``, one row per changed sample. Only this
     narrow table is shuffled; image bytes go from file to file inside one task and never
     through an exchange.
     """
     spark = splits.sparkSession
+    out_dir = qualified(spark, out_dir)
     _start_output(spark, splits.select("url"), out_dir)
 
     def copy(split: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
@@ -357,12 +407,14 @@ def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str) -> Data
         changed = dict(zip(changes["offset"], changes["json"]))
         for s in split.itertuples(index=False):
             out = _TarOut(out_dir, s.url, s.part, s.parts)
-            for offset, key, found in _Samples(s.url, s.start, s.end, None, False):
+            samples = _Samples(s.url, s.start, s.end, None, on_error == "fail")
+            for offset, key, found in samples:
                 if changed.get(offset) is not None:
                     found["json"] = changed[offset].encode("utf-8")
                 out.add(key, sorted(found.items()))
+            out.errors = len(samples.errors)
             done.append(out.close())
-        return pd.DataFrame(done, columns=["url", "tar", "n_samples", "n_bytes"])
+        return pd.DataFrame(done, columns=MANIFEST_ARROW.names)
 
     # A fixed number of tasks: adaptive execution would size them by the narrow tables
     # and put the payload of many splits into one task.

@@ -18,7 +18,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def stream_translate(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, profile: LanguageProfile,
     table: DataFrame, load_model: Callable[[str], TextModel], default: str = "m_default",
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, on_error: str = "fail",
 ) -> StreamingQuery:
     """Translate each arriving tar once.
 
@@ -33,7 +33,7 @@ def stream_translate(
 
     def handle(files: DataFrame, batch: int) -> None:
         try:
-            translate_files(files, f"{out_dir}/batch={batch}", profile, table, load_model, default)
+            translate_files(files, f"{out_dir}/batch={batch}", profile, table, load_model, default, on_error=on_error)
         except FileExistsError:
             pass
 
