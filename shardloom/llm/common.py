@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.session import prepare
+
 # A-Z to a-z; every other ASCII byte that is no letter or digit to a blank; bytes of other characters stay.
 PLAIN_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -14,6 +16,13 @@ PLAIN_WORDS = bytes(
 SAMPLE_GRAIN = 1 << 20
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """``prepare``, and Arrow batches that keep a Python worker's share of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return prepare(spark)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

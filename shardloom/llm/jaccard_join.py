@@ -39,7 +39,7 @@ LEADERS = 3
 FREQUENT = 1 << 20
 # A column with more rows than the first is set aside, cut by the second, and the cuts are multiplied in pairs.
 LONG, CUT = 2048, 512
-# Ids of rows to compare that one broadcast may hold; more are joined by an exchange.
+# Ids, with a component each, that one broadcast may hold; more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 
 _SALTS = mix(np.arange(1, LEADERS + 1, dtype=np.uint64))
@@ -401,7 +401,9 @@ def jaccard_components(
         .select("id", F.coalesce("component", "id").alias("comp")), "labels"
     )
     # Only one row of each class goes into the product.
-    leading = _leading(docs, width, pct, frequent_columns(docs, width)).join(known, "id")
+    leading = _leading(docs, width, pct, frequent_columns(docs, width)).join(
+        broadcast_if_small(known, BROADCAST_IDS), "id"
+    )
     found = _linked(docs, _candidates(_postings(leading.select("id", "n", "columns", "comp")), pct, long_rows), width, pct)
     whole = materialize(
         connected_components(near.unionByName(materialize(found, "found"))).withColumnRenamed("id", "class_id"),

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, suffix_dedup, token_output, topk, toxicity
-from shardloom.llm.common import held_out, read_table
+from shardloom.llm.common import held_out, prepared, read_table
 from shardloom.llm.oracle import ORACLE  # noqa: F401
-from shardloom.session import prepare, scratch_path
+from shardloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+        return fn(prepared(spark), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
