@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm import decontamination, jaccard_join, packing, pii, toxicity
-from shardloom.llm.common import read_table
-from shardloom.session import materialize, prepare
+from shardloom.llm.common import prepared, read_table
+from shardloom.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold. The model learns from this stage's own texts."""
-    prepare(spark)
+    prepared(spark)
     model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model, keep=COLUMNS[1:])
     return scored.filter("predicted = 0").select(*COLUMNS)
@@ -30,7 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents without words link with nothing and stay, as do rows without id. Of rows that repeat
     an id one stays, the first by text.
     """
-    prepare(spark)
+    prepared(spark)
     found = materialize(jaccard_join.jaccard_components(docs), "components")
     drop = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(materialize(drop, "copies"), "doc_id", "left_anti")
@@ -45,21 +45,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which test items cover a twentieth of the words or more."""
-    prepare(spark)
+    prepared(spark)
     found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:])
     return found.filter("NOT contaminated").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; every document stays and ``n_chars`` follows the text."""
-    prepare(spark)
+    prepared(spark)
     clean = pii.redact_pii(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of all remaining documents."""
-    prepare(spark)
+    prepared(spark)
     return packing.pack(docs)
 
 
@@ -77,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    prepare(spark)
+    prepared(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
