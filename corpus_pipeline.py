@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import decontamination, jaccard_join, packing, pii, toxicity
 from shardloom.llm.common import prepared, read_table
-from shardloom.session import materialize
+from shardloom.session import broadcast_if_small, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Ids that one broadcast may hold; more are joined by an exchange.
+BROADCAST_IDS = 1_000_000
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +35,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepared(spark)
     found = materialize(jaccard_join.jaccard_components(docs), "components")
     drop = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(materialize(drop, "copies"), "doc_id", "left_anti")
+    copies = broadcast_if_small(materialize(drop, "copies"), BROADCAST_IDS)
+    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
     repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     if repeated.filter("doc_id IS NOT NULL").isEmpty():
         return kept
-    again = kept.join(F.broadcast(repeated) if repeated.count() < 100_000 else repeated, "doc_id", "left_semi")
+    repeated = broadcast_if_small(repeated.select("doc_id"), BROADCAST_IDS)
+    again = kept.join(repeated, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
     one = again.withColumn("__n", first).filter("__n = 1").select(*COLUMNS)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
