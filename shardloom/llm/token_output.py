@@ -25,9 +25,9 @@ LAYOUT = ((240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7)
           (3, 20), (2, 30), (1, 60))
 SINGLE, ESCAPE = 14, 15
 END_ID = 2
-BLOCK_IDS, RUN_IDS = 1 << 16, 1 << 12
-# Distinct words whose ids a worker remembers.
-MEMORY = 200_000
+BLOCK_IDS, RUN_IDS = 1 << 16, 1 << 14
+# Texts encoded together, and distinct words whose ids a worker remembers.
+TEXTS, MEMORY = 256, 500_000
 
 
 def encode_words(ids: np.ndarray) -> np.ndarray:
@@ -36,22 +36,20 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
-    # Bits of each id, exactly: no rounding through floats.
-    width, rest = np.zeros(n, np.uint8), ids.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << shift)
-        width[big] += shift
-        rest[big] >>= np.uint64(shift)
-    width += rest.astype(np.uint8)
+    # Bits of each id, of both halves apart, as doubles hold 32 bits exactly.
+    low, high = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64), (ids >> np.uint64(32)).astype(np.float64)
+    width = np.frexp(low)[1].astype(np.uint8)
+    if high.any():
+        width = np.where(high > 0, np.frexp(high)[1] + 32, width).astype(np.uint8)
     # For every place the widest selector that fits there: its count of ids must reach no wider id.
     selector = np.where(width > 60, ESCAPE, SINGLE).astype(np.uint8)
     for s in range(len(LAYOUT) - 2, -1, -1):
         count, bits = LAYOUT[s]
-        if count > n:
+        narrow = width <= bits
+        if count > n or np.count_nonzero(narrow) < count:
             continue
-        wide = np.r_[0, np.cumsum(width > bits)]
-        fits = np.flatnonzero(wide[count:] == wide[:-count])
-        selector[fits] = s
+        wide = np.r_[0, np.cumsum(~narrow)]
+        selector[: n - count + 1][wide[count:] == wide[:-count]] = s
     step = np.array([c for c, _ in LAYOUT] + [1], np.int64)[selector].tolist()
     starts, at = [], 0
     while at < n:
@@ -98,11 +96,6 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     return ids
 
 
-@lru_cache(1)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
 class _Encoder:
     """Ids of whole texts from the ids of their parts between blanks, each part tokenised once.
 
@@ -111,22 +104,32 @@ class _Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > MEMORY:
             known = self.known = {"": b""}
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 1 << 14):
-            part = new[i : i + (1 << 14)]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(coded.ids, "<u4").tobytes()
+        new = set().union(*split).difference(known)
+        if new:
+            # In one text, each on a line of its own; a token belongs to the line that it starts in.
+            new = list(new)
+            coded = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in new)])
+            cuts = np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), starts) * 4
+            raw, cuts = np.array(coded.ids, "<u4").tobytes(), cuts.tolist()
+            known.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a worker process."""
+    return _Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode every text of ``docs`` (``doc_id, text``) and write files in ascending order of ``doc_id``.
 
@@ -137,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], np.uint32)
         block = 0
         names: list = []
@@ -145,9 +148,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         size = 0
         for batch in batches:
             ids, raw = batch.column("doc_id").to_pylist(), batch.column("bytes")
-            for lo in range(0, len(ids), 64):
-                texts = [b.decode("utf-8", "replace") for b in raw.slice(lo, 64).to_pylist()]
-                for doc, coded in zip(ids[lo : lo + 64], encoder.encode(texts)):
+            for lo in range(0, len(ids), TEXTS):
+                texts = [b.decode("utf-8", "replace") for b in raw.slice(lo, TEXTS).to_pylist()]
+                for doc, coded in zip(ids[lo : lo + TEXTS], encoder.encode(texts)):
                     names.append(doc)
                     held.append(np.concatenate([coded, end]))
                     size += len(held[-1])
