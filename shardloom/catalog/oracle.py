@@ -217,9 +217,9 @@ TRAINABLE = "coalesce(image, 0) > 0 AND length(en_first) > 0"
 
 BATCHES = f"""
 {SAMPLES},
-scored AS (SELECT url, key, en_first AS caption, {split_score('key')} AS score FROM chosen WHERE {TRAINABLE}),
+scored AS (SELECT url, key, en_first AS caption, image, {split_score('key')} AS score FROM chosen WHERE {TRAINABLE}),
 numbered AS (
-  SELECT CASE WHEN score < 0.95 THEN 'train' ELSE 'val' END AS split, url, key, caption FROM scored),
+  SELECT CASE WHEN score < 0.95 THEN 'train' ELSE 'val' END AS split, url, key, caption, image FROM scored),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY split, url ORDER BY md5('0:' || key || chr(1) || caption)) - 1 AS pos,
     count(*) OVER (PARTITION BY split, url) AS n FROM numbered),
@@ -301,6 +301,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT key, {split_score('key')} AS score FROM (SELECT {KEY} AS key FROM documents))""",
     "training_batches": f"""WITH {BATCHES} SELECT split, url, key, batch, pos % 16 AS row_in_batch, caption,
         max(w) OVER (PARTITION BY split, url, batch) AS width FROM kept""",
+    "training_batches_from_shards": f"""WITH {BATCHES} SELECT split, url AS shard, key, batch, pos % 16 AS row_in_batch, caption,
+        max(w) OVER (PARTITION BY split, url, batch) AS width, image AS n_bytes FROM kept""",
     "pad_tokens": f"""WITH {TOKENS} SELECT doc_id, len(c) AS n_cut, len(t) AS n_tokens,
         {padded('c', 'w')} AS longest, {padded('t', '128')} AS fixed FROM wide""",
     "batch_loss": f"WITH {LOSS} SELECT batch, round(loss, 6) AS loss, n FROM losses",

@@ -298,6 +298,18 @@ def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def training_batches_from_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches read from tars, with the images' sizes."""
+    train, val = training.training_batches(spark, stored_shards(spark, sf_dir) + "/*.tar", batch_size=TRAIN_BATCH)
+    both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    # A shard's batches are ordered within its url.
+    return both.select(
+        "split", shard_name("url").alias("shard"), "key", "batch", "row_in_batch", "caption",
+        F.size("padded").cast("bigint").alias("width"), F.octet_length("image").cast("bigint").alias("n_bytes"),
+    )
+
+
 @query
 def pad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padding to the longest of a source, and to a fixed length without truncation."""

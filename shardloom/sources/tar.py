@@ -38,6 +38,8 @@ SAMPLE_ARROW = pa.schema(
         ("fields", pa.map_(pa.string(), pa.binary())),
     ]
 )
+PLACES = "map<string,struct<at:bigint,size:bigint>>"
+PLACES_ARROW = pa.map_(pa.string(), pa.struct([("at", pa.int64()), ("size", pa.int64())]))
 MANIFEST_SCHEMA = "url string, tar string, n_samples bigint, n_bytes bigint, n_errors bigint"
 MANIFEST_ARROW = pa.schema(
     [
@@ -46,6 +48,7 @@ MANIFEST_ARROW = pa.schema(
     ]
 )
 READ_AHEAD = 1 << 20
+OPEN_FILES = 16
 
 # Fixed pattern: the stem ends at the first dot of the base name, the rest names the field.
 MEMBER = re.compile(r"((?:.*/)?[^./]+)\.([^/]*)", re.DOTALL)
@@ -167,9 +170,11 @@ class _Samples:
         self.url, self.start, self.end = url, start, end
         self.fields, self.strict = fields, strict
         self.errors: list[str] = []
+        # Of the sample given last: where each member's bytes lie in the tar.
+        self.places: dict[str, dict[str, int]] = {}
 
     def __iter__(self) -> Iterator[tuple[int, str, dict[str, bytes]]]:
-        at, stem, found, seen = 0, None, {}, set()
+        at, stem, found, seen = 0, None, {}, {}
         try:
             with _open(self.url, self.start) as tar:
                 for info, this, field in _members(tar, self.end):
@@ -179,16 +184,19 @@ class _Samples:
                     data = tar.extractfile(info).read() if wanted and not again else None
                     if this != stem:
                         if stem is not None:
+                            self.places = seen
                             yield at, stem, found
-                        at, stem, found, seen = info.offset, this, {}, set()
-                    seen.add(field)
+                        at, stem, found, seen = info.offset, this, {}, {}
                     if again:
                         self._note(ValueError(f"duplicate member {info.name}"))
-                    elif wanted:
+                        continue
+                    seen[field] = {"at": info.offset_data, "size": info.size}
+                    if wanted:
                         found[field] = data
         except (tarfile.TarError, EOFError, OSError) as e:
             self._note(e)
         if stem is not None:
+            self.places = seen
             yield at, stem, found
 
     def _note(self, error: Exception) -> None:
@@ -202,8 +210,10 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def read_splits(splits: DataFrame, fields: Iterable[str] | None = None, on_error: str = "skip") -> DataFrame:
-    """Samples of the given splits."""
+def read_splits(
+    splits: DataFrame, fields: Iterable[str] | None = None, on_error: str = "skip", places: bool = False
+) -> DataFrame:
+    """Samples of the given splits; with ``places`` also where the bytes of every member lie."""
     if on_error not in ("skip", "fail"):
         raise ValueError(f"unknown on_error: {on_error}")
     wanted = None if fields is None else {f.lower() for f in fields}
@@ -214,16 +224,52 @@ def read_splits(splits: DataFrame, fields: Iterable[str] | None = None, on_error
             samples = _Samples(s["url"], s["start"], s["end"], wanted, on_error == "fail")
             for offset, key, found in samples:
                 held.append(
-                    {"url": s["url"], "part": s["part"], "offset": offset, "key": key, "fields": list(found.items())}
+                    {"url": s["url"], "part": s["part"], "offset": offset, "key": key, "fields": list(found.items()),
+                     "places": list(samples.places.items())}
                 )
                 size += sum(map(len, found.values()))
                 if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(held, SAMPLE_ARROW)
+                    yield pa.RecordBatch.from_pylist(held, schema)
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, SAMPLE_ARROW)
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    schema = SAMPLE_ARROW.append(pa.field("places", PLACES_ARROW)) if places else SAMPLE_ARROW
+    return splits.mapInArrow(scan, SAMPLE_SCHEMA + (f", places {PLACES}" if places else ""))
+
+
+def fetch_member(df: DataFrame, at: str, size: str, name: str) -> DataFrame:
+    """Add the bytes at ``at``, ``size`` of each row's ``url`` as ``name``, in place of the two columns.
 
-    return splits.mapInArrow(scan, SAMPLE_SCHEMA)
+    Rows stay where they are and bytes go through no exchange. A task keeps a few tars open.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (at, size)]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            found, weight, lo = [], 0, 0
+            where = zip(*(batch.column(k).to_pylist() for k in ("url", at, size)))
+            for i, (url, start, n) in enumerate(where, 1):
+                if url not in files:
+                    if len(files) >= OPEN_FILES:
+                        files.pop(next(iter(files))).close()
+                    store, path = locate(url)
+                    files[url] = store.open_input_file(path)
+                found.append(files[url].read_at(n, start))
+                weight += n
+                if weight >= BATCH_BYTES or i == batch.num_rows:
+                    part = batch.slice(lo, i - lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(f.name) for f in kept], pa.array(found, pa.binary())],
+                        names=[*[f.name for f in kept], name],
+                    )
+                    found, weight, lo = [], 0, i
+        for file in files.values():
+            file.close()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return df.mapInArrow(scan, f"{schema}, `{name}` binary")
 
 
 def read_shards(
