@@ -100,28 +100,52 @@ class _Encoder:
     """Ids of whole texts from the ids of their parts between blanks, each part tokenised once.
 
     The tokenizer neither joins nor reorders anything across the blanks cut here, so the parts' ids
-    in a row are the text's ids. Parts met often are remembered.
+    in a row are the text's ids. Parts met often are remembered, and of new ones only the words in them
+    that are new themselves, in lower case and without marks behind, go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.words = {"": b""}, {"": b""}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > MEMORY:
-            known = self.known = {"": b""}
-        new = set().union(*split).difference(known)
+        if len(self.parts) > MEMORY:
+            self.parts = {"": b""}
+        new = [(part, *_word_and_marks(part)) for part in set().union(*split).difference(self.parts)]
         if new:
-            # In one text, each on a line of its own; a token belongs to the line that it starts in.
-            new = list(new)
-            coded = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in new)])
-            cuts = np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), starts) * 4
-            raw, cuts = np.array(coded.ids, "<u4").tobytes(), cuts.tolist()
-            known.update(zip(new, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+            self._learn({x for _, *both in new for x in both}.difference(self.words))
+            words = self.words
+            self.parts.update({part: words[word] + words[marks] for part, word, marks in new})
+            if len(words) > MEMORY:
+                self.words = {"": b""}
+        get = self.parts.__getitem__
+        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
+
+    def _learn(self, new: set[str]) -> None:
+        """Tokenise words in one text, each on a line of its own; a token belongs to the line that it starts in."""
+        if not new:
+            return
+        lines = list(new)
+        coded = self.tokenizer.encode("\n".join(lines), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in lines)])
+        cuts = (np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), starts) * 4).tolist()
+        raw = np.array(coded.ids, "<u4").tobytes()
+        self.words.update(zip(lines, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+
+def _word_and_marks(part: str) -> tuple[str, str]:
+    """A part as two that the tokenizer keeps apart: up to its last letter, and plain marks behind.
+
+    The tokenizer lower-cases, so Latin words may be so already; special tokens, which are not, have a ``<``.
+    """
+    word = part.rstrip(".,!?;:")
+    if not word or not word[-1].isalpha():
+        word = part
+    marks = part[len(word) :]
+    if word.isascii() or max(word) < "\u0250" and "\u0130" not in word:
+        word = word if "<" in word else word.lower()
+    return word, marks
 
 
 @lru_cache(1)
