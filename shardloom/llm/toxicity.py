@@ -146,8 +146,10 @@ def _decay(rows: list, clean: int) -> float:
     def excess(x: float) -> float:
         return float(np.sum(p * np.exp(np.minimum(x * s, 700)))) - 1
 
-    if float(p @ s) >= 0 or not (s[p > 0] > 0).any():
-        return 1.0  # no positive word in clean text, or no downward drift: the scores' own scale
+    if not (s[p > 0] > 0).any():
+        p[int(np.argmax(s))] = 0.5 / max(clean, 1)  # clean text has none of them: as if half a word were there
+    if float(p @ s) >= 0 or s.max() <= 0:
+        return 1.0  # nothing positive, or no downward drift: the scores' own scale
     low, high = 1e-6, 1.0
     while excess(high) < 0 and high < 64:
         high *= 2
