@@ -147,7 +147,9 @@ def merge_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prediction_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("caption_id"), F.col("text").alias("caption"))
-    return predict.preview(top(spark, sf_dir, 5), words)
+    images, texts = embedding_pairs(spark, sf_dir)
+    shown = predict.predict_topk(images.filter("id < 5"), texts, 5, logit_scale=SCORE_SCALE, bias=SCORE_BIAS)
+    return predict.preview(shown, words)
 
 
 # Captions

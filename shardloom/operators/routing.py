@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.operators.language import MIN_EN_PROB
+from shardloom.session import broadcast_if_small
 
 # Language codes that have a route; Portuguese uses the default model.
 ROUTED = ("zh", "ja", "ru", "es", "fr", "de", "ar", "it", "pt", "ko")
@@ -21,6 +22,10 @@ def routes(spark: SparkSession, names: dict[str, str] | None = None, default: st
     return spark.createDataFrame(sorted(names.items()), "lang string, model string")
 
 
+# Languages of a route table that may be broadcast.
+MAX_ROUTES = 10_000
+
+
 def fold_code(lang: Column) -> Column:
     """Chinese variants share one code."""
     return F.when(lang.startswith("zh"), F.lit("zh")).otherwise(lang)
@@ -29,13 +34,14 @@ def fold_code(lang: Column) -> Column:
 def route_model(df: DataFrame, table: DataFrame, default: str = "m_default") -> DataFrame:
     """Add ``model`` and ``is_identity`` to ``lang, prob``.
 
-    Confident English stays as it is and has the empty model name. The route table has one
-    row per language, a fixed bound, so it is broadcast.
+    Confident English stays as it is and has the empty model name. A language that the table lists
+    twice goes to its first model by name, so no row is multiplied. The table is broadcast up to a
+    counted number of languages.
     """
     identity = (F.col("lang") == "en") & (F.col("prob") >= MIN_EN_PROB)
-    lookup = table.select(F.col("lang").alias("__code"), F.col("model").alias("__model"))
+    lookup = table.groupBy(F.col("lang").alias("__code")).agg(F.min("model").alias("__model"))
     joined = df.withColumn("__fold", fold_code(F.col("lang"))).join(
-        F.broadcast(lookup), F.col("__fold") == F.col("__code"), "left"
+        broadcast_if_small(lookup, MAX_ROUTES), F.col("__fold") == F.col("__code"), "left"
     )
     return (
         joined.withColumn("is_identity", F.coalesce(identity, F.lit(False)))

@@ -137,7 +137,8 @@ def ema(
     """Running smoothed value per step: the first as it is, then ``(1-a)*old + a*new``.
 
     Inside a chunk the recurrence is a weighted running sum. The chunk length keeps the
-    weights far from overflow. Chunk ends are chained on a table with one row per chunk.
+    weights far from overflow. Chunk ends are chained on a table with one row per chunk. A null value
+    is an error, as no smoothed value follows from it.
     """
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie in (0, 1)")
@@ -146,6 +147,7 @@ def ema(
     inside = Window.partitionBy("__chunk").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     decay = F.pow(F.lit(w), F.col("__p").cast("double"))
+    df = df.withColumn(value, F.coalesce(value, F.raise_error(F.lit(f"null in {value}")).cast(df.schema[value].dataType)))
     rows = (
         df.withColumn("__chunk", _chunk(by, order, size))
         .withColumn("__p", F.row_number().over(inside))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _plain(path: Column) -> Column:
-    """One spelling for local paths: Spark reports ``file:///x`` for ``/x``."""
-    return F.regexp_replace(path, "^file:/+", "/")
+    """The path alone. Spark reports it with scheme and host, which a listed path of the same store may lack."""
+    return F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?/*", "/")
 
 
 def read_images(spark: SparkSession, listed: DataFrame, directory: str, path: str = "path") -> DataFrame:
