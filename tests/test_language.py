@@ -169,3 +169,22 @@ def test_a_filter_on_the_answer_calls_the_model_once(spark):
     out = translate.translate(df, upper_model, batch=2).filter("translation <> ''").select("translation")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and rows(out) == [("m:t",)]
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    """Loads are counted by process, over many more tasks than workers."""
+    import os
+    import uuid
+
+    from shardloom.operators.translate import translate
+
+    folder = str(tmp_path)
+
+    def load(name):
+        open(f"{folder}/{name}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: texts
+
+    df = spark.range(200).selectExpr("id", "'t' AS text", "true AS valid", "concat('m', id % 3) AS model", "false AS is_identity")
+    assert translate(df.repartition(40), load).filter("translation = 't'").count() == 200
+    loads = [name.rsplit("-", 1)[0] for name in os.listdir(folder)]
+    assert len(loads) == len(set(loads))

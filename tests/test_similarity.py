@@ -131,3 +131,18 @@ def test_large_side_never_crosses_without_a_key(spark):
     df = similarity.topk(frame(spark, a), frame(spark, b), 3, resident_bytes=0)
     plan = df._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_odd_vectors_are_left_out_or_refused(spark):
+    import pyarrow as pa
+    import pytest
+
+    from shardloom.operators.similarity import topk, unit_rows
+
+    with pytest.raises(ValueError, match="null"):
+        unit_rows(pa.array([[1.0, 0.0], None]))
+    with pytest.raises(ValueError, match="lengths"):
+        unit_rows(pa.array([[1.0, 0.0], [1.0], [1.0]]))
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0])], "id bigint, v array<double>")
+    got = {(r.image_id, r.caption_id) for r in topk(df, df, 1).collect()}
+    assert got == {(0, 0), (2, 2)} == {(r.image_id, r.caption_id) for r in topk(df, df, 1, resident_bytes=0).collect()}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shardloom.catalog.queries import png
 from shardloom.operators import routing
-from shardloom.plans import translation
+from shardloom.plans import training, translation
+from shardloom.session import qualified
 from shardloom.sources import images, lists, tables, tar
 from shardloom.streaming.shards import stream_translate
 from tests.conftest import rows
@@ -102,6 +103,66 @@ def test_broken_shards(spark, shards):
         tar.read_shards(spark, f"{shards}/f.tar", on_error="fail").collect()
 
 
+@pytest.mark.parametrize("split_bytes", [1 << 20, 1500])
+def test_damaged_header_is_no_end(spark, shards, folder, profile, split_bytes):
+    """A header that cannot be read stops the job, or ends its tar with an error that is counted."""
+    data = bytearray((shards / "b.tar").read_bytes())
+    third = tarfile.open(shards / "b.tar").getmembers()[5].offset
+    data[third : third + 512] = b"\x7f" * 512
+    (shards / "b.tar").write_bytes(data)
+    with pytest.raises(Exception, match="damaged header"):
+        tar.read_shards(spark, f"{shards}/b.tar", on_error="fail", split_bytes=split_bytes).collect()
+    errors = tar.shard_errors(spark, f"{shards}/*.tar", split_bytes).collect()
+    assert {os.path.basename(r.url) for r in errors} == {"b.tar"} and all("damaged header" in r.error for r in errors)
+    kept = content(tar.read_shards(spark, f"{shards}/*.tar", split_bytes=split_bytes))
+    assert {k for k in kept if k[0] == "b.tar"} == {("b.tar", "b0"), ("b.tar", "b1")}
+    table = routing.routes(spark)
+    with pytest.raises(Exception, match="damaged header"):
+        translation.translate_shards(spark, f"{shards}/*.tar", folder, profile, table, german, split_bytes=split_bytes)
+    manifest = translation.translate_shards(
+        spark, f"{shards}/*.tar", folder + "-skip", profile, table, german, split_bytes=split_bytes, on_error="skip"
+    )
+    by_url = {os.path.basename(r.url): (r.n, r.e) for r in manifest.groupBy("url").agg(
+        F.sum("n_samples").alias("n"), F.sum("n_errors").alias("e")).collect()}
+    assert by_url["a.tar"] == by_url["c.tar"] == (4, 0) and by_url["b.tar"][0] == 2 and by_url["b.tar"][1] >= 1
+
+
+def test_a_member_cut_short_starts_no_sample(spark, tmp_path):
+    build(tmp_path / "a.tar", [("x.txt", b"1" * 600), ("y.txt", b"2" * 600)])
+    data = (tmp_path / "a.tar").read_bytes()
+    (tmp_path / "a.tar").write_bytes(data[: 512 * 4 + 100])
+    assert content(tar.read_shards(spark, f"{tmp_path}/a.tar")) == {("a.tar", "x"): {"txt": b"1" * 600}}
+
+
+@pytest.mark.parametrize("keys", [["a.b"], [None], ["x", "x"], ["__x__"], ["d/"]])
+def test_keys_that_would_not_read_back_are_refused(spark, folder, keys):
+    df = spark.createDataFrame([("u", k, {"txt": b"1"}) for k in keys], "url string, key string, fields map<string,binary>")
+    with pytest.raises(ValueError, match="sample key"):
+        tar.write_shards(df, folder)
+
+
+def test_paths_mean_the_same_to_driver_and_tasks(spark, shards, folder, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert qualified(spark, "/x/y").startswith("file:/") and qualified(spark, "/x/y").endswith("/x/y")
+    assert tar.locate("file:///x/y")[1] == "/x/y"
+    with pytest.raises(ValueError, match="without a scheme"):
+        tar.locate("/x/y")
+    conf.set("fs.viewfs.mounttable.m.link./in", f"file://{shards}")
+    conf.set("fs.viewfs.mounttable.m.link./out", f"file://{tmp_path}")
+    assert qualified(spark, "viewfs://m/out/o") == f"file:{tmp_path}/o"
+    df = tar.read_shards(spark, f"{shards}/*.tar")
+    tar.write_shards(df, "viewfs://m/out/o")
+    assert tar.read_shards(spark, f"file:{tmp_path}/o/*.tar", on_error="fail").count() == 12
+
+
+def test_training_batches_from_tars(spark, shards):
+    train, val = training.training_batches(spark, f"{shards}/*.tar", ratio=0.5, batch_size=1)
+    got = {r.key: bytes(r.image) for r in train.unionByName(val).collect()}
+    assert got == {k: v.get("jpg") or v["png"] for (_, k), v in expected().items() if "png" in v or "jpg" in v}
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+
+
 @pytest.mark.parametrize("part_bytes,files", [(1 << 20, 3), (2500, 9)])
 def test_write_then_read_is_the_identity(spark, shards, folder, part_bytes, files):
     df = tar.read_shards(spark, f"{shards}/*.tar")
@@ -196,6 +257,12 @@ def test_json_array(spark, tmp_path):
     assert rows(lists.read_json_array(spark, str(tmp_path / "c.json")), "caption_id") == list(enumerate(data))
 
 
+def test_json_array_must_be_one(spark, tmp_path):
+    (tmp_path / "c.json").write_text('["a","b"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        lists.read_json_array(spark, str(tmp_path / "c.json")).collect()
+
+
 def test_images(spark, tmp_path):
     (tmp_path / "good.png").write_bytes(PNG)
     (tmp_path / "junk.png").write_bytes(b"junk")

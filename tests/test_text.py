@@ -158,3 +158,14 @@ def test_safe_caption_and_paths(spark):
     assert one(spark, "a.png", lambda c: text.join_path("/d", c)) == "/d/a.png"
     assert one(spark, "a.png", lambda c: text.join_path("/d/", c)) == "/d/a.png"
     assert one(spark, "/x/a.png", lambda c: text.join_path("/d", c)) == "/x/a.png"
+
+
+def test_json_keeps_what_a_variant_cannot_hold(spark):
+    put = lambda c: set_json_string(c, "k", F.lit("v"))
+    big = "1" * 45
+    assert one(spark, f'{{"a":NaN,"b":{big},"caption":"x"}}', put) == f'{{"a": NaN, "b": {big}, "caption": "x", "k": "v"}}'
+    assert one(spark, '{"k":1,"a":{"k":[1]},"k":2}', put) == '{"k": "v", "a": {"k": [1]}}'
+    assert one(spark, '{"a":"\\ud800"}', put) == '{"a": "\\ud800", "k": "v"}'
+    read = lambda c: json_string(json_object(c), "caption")
+    assert one(spark, '{"a":NaN,"b":[-Infinity],"caption":"NaN, \\"NaN\\""}', read) == 'NaN, "NaN"'
+    assert one(spark, '{"caption":NaN}', read) is None and one(spark, '{"caption":"a",NaN}', read) is None
