@@ -92,7 +92,7 @@ def pack(
     ends = best_boundaries(histogram["n_tokens"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)
     total = int(histogram["n"].sum())
     # The smallest boundary that holds the piece; the boundaries are as few as the buckets.
-    bucket = F.lit(ends[-1] if ends else 0)
+    bucket = F.lit(ends[-1] if ends else 1)
     for end in reversed(ends[:-1]):
         bucket = F.when(F.col("n_tokens") <= end, end).otherwise(bucket)
     slots = max(1, -(-total // SLOT_ROWS))
