@@ -358,7 +358,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, pct: int) -> DataFram
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
+    # Few pairs go to the rows, so only one side of each pair moves.
+    first = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    joined = first.join(broadcast_if_small(pairs, BROADCAST_IDS), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
