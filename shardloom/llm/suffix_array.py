@@ -40,6 +40,26 @@ def _group(group: list[int], n: int) -> tuple[list[int], dict[int, int]]:
         # A suffix that moved away is still listed; sorted, so pointers inside the group are known in time.
         if size[g] != len(mine):
             mine = [i for i in mine if group[i] == g]
+        if len(mine) == 1:
+            # Alone, it moves no more than one suffix, to the upper end of that one's group.
+            i = mine[0]
+            p = i - 1
+            while p >= 0 and group[p] >= g:
+                p = pointer[p]
+            pointer[i] = p
+            if p >= 0:
+                old = group[p]
+                k = size[old]
+                if k > 1:
+                    end = old + k
+                    new = end - 1
+                    size[old] = k - 1
+                    size[new] = 1
+                    start_below[end], start_below[new] = new, old
+                    members[new] = [p]
+                    group[p] = new
+            top = g
+            continue
         mine.sort()
         reached: dict[int, int] = {}
         for i in mine:

@@ -32,6 +32,7 @@ from shardloom.session import broadcast_if_small, materialize
 LENGTH, ANCHOR = 100, 50
 # Bytes of a first-seen place, of the text that one suffix array takes, and of a cut of a crowded place.
 PLACE_BYTES, ARRAY_BYTES, CUT_BYTES = 1 << 14, 1 << 19, 1 << 19
+TASK_BYTES = 4 << 20
 BROADCAST_IDS = 1_000_000
 
 _STEP = 0x9E3779B97F4A7C15
@@ -246,7 +247,12 @@ def _sorted_strings(segments: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from _repeats(rows, length)
 
-    dealt = segments.repartition("place", "cut").sortWithinPartitions("place", "cut", "doc", "start")
+    # Arrays cost far more than their bytes suggest to adaptive execution, so the number of tasks is set.
+    total = segments.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    least = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = segments.repartition(max(least, -(-total // TASK_BYTES)), "place", "cut").sortWithinPartitions(
+        "place", "cut", "doc", "start"
+    )
     return dealt.select("place", "cut", "cuts", "doc", "start", "bytes").mapInArrow(scan, _STRING)
 
 
