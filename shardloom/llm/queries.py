@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, suffix_dedup, token_output, topk, toxicity
 from shardloom.llm.common import held_out, prepared, read_table
 from shardloom.llm.oracle import ORACLE  # noqa: F401
-from shardloom.session import scratch_path
+from shardloom.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,9 +60,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model)
+    features = materialize(quality.quality_features(read_table(spark, sf_dir, "documents")), "features")
+    return quality.score_features(features, quality.fit_features(features, read_table(spark, sf_dir, "labels")))
 
 
 @query

@@ -418,6 +418,34 @@ def test_quality(spark):
     assert {r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
+    def made(ids):
+        bad = lambda i: " ".join(f"BUY{(i + j) % 50}!!" for j in range(20 + i % 20))
+        return frame(spark, [(i, text(i % 300, 20 + i % 20) if i % 4 else bad(i)) for i in ids])
+
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(400)], "doc_id long, quality int")
+    more = made(range(10_000, 19_000))
+    docs = made(range(400)).unionByName(more)
+    counts, store = {}, quality.materialize
+
+    def counted(df, label):
+        out = store(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "materialize", counted)
+    model = quality.fit_quality(docs, labels)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    n = sum(not held(i) for i in range(10_000, 19_000))
+    assert counts["pool"] == [n]
+    # More than a fixed number a round: a share of all, for each view.
+    assert sum(counts["exchanged"]) > 2_400 and len(counts["exchanged"]) == quality.ROUNDS
+    again = quality.fit_quality(docs.repartition(7), labels)
+    assert (again.text == model.text).all() and (again.meta == model.meta).all() and again.joint == model.joint
+    got = quality.score_quality(more, model).filter("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id % 4 != 0) for r in got]) > 0.95
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
