@@ -305,9 +305,9 @@ def training_batches_from_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches read from tars, with the images' sizes."""
     train, val = training.training_batches(spark, stored_shards(spark, sf_dir) + "/*.tar", batch_size=TRAIN_BATCH)
     both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
-    # A shard's batches are ordered within its url.
+    # A shard's batches are ordered within its source, in how many tars it may be.
     return both.select(
-        "split", shard_name("url").alias("shard"), "key", "batch", "row_in_batch", "caption",
+        "split", shard_name("source").alias("shard"), "key", "batch", "row_in_batch", "caption",
         F.size("padded").cast("bigint").alias("width"), F.octet_length("image").cast("bigint").alias("n_bytes"),
     )
 
@@ -443,9 +443,9 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks
 
 
-def stored_shards(spark: SparkSession, sf_dir: str) -> str:
+def stored_shards(spark: SparkSession, sf_dir: str, part_bytes: int = tar.SPLIT_BYTES) -> str:
     out = scratch_path(spark, "shards")
-    tar.write_shards(shard_fields(samples(spark, sf_dir)), out)
+    tar.write_shards(shard_fields(samples(spark, sf_dir)), out, part_bytes)
     return out
 
 
@@ -458,7 +458,7 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tar.read_shards(spark, stored_shards(spark, sf_dir) + "/*.tar", on_error="fail")
     typed = tar.typed_samples(read)
     return typed.select(
-        shard_name("url").alias("shard"), "key", "txt",
+        shard_name("source").alias("shard"), "key", "txt",
         F.octet_length("jpg").cast("bigint").alias("jpg_bytes"),
         F.octet_length("png").cast("bigint").alias("png_bytes"),
         json_string(json_object(F.col("json")), "caption").alias("caption"),
@@ -514,7 +514,7 @@ def shard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("error").contains("unexpected end"), "cut short").otherwise("no tar")
     )
     return tar.shard_errors(spark, damaged_shards(spark, sf_dir)).select(
-        shard_name("url").alias("shard"), kind.alias("kind")
+        shard_name("source").alias("shard"), kind.alias("kind")
     )
 
 
@@ -523,7 +523,7 @@ def shards_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples that damaged shards give when errors are skipped."""
     read = tar.read_shards(spark, damaged_shards(spark, sf_dir), on_error="skip")
     return read.select(
-        shard_name("url").alias("shard"), "key", F.octet_length(F.col("fields")["txt"]).cast("bigint").alias("n_bytes")
+        shard_name("source").alias("shard"), "key", F.octet_length(F.col("fields")["txt"]).cast("bigint").alias("n_bytes")
     )
 
 
@@ -553,7 +553,7 @@ def translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = tar.typed_samples(tar.read_shards(spark, out + "/*.tar", ("json",), "fail"))
     parsed = json_object(F.col("json"))
     return typed.select(
-        shard_name("url").alias("shard"), "key",
+        shard_name("source").alias("shard"), "key",
         json_string(parsed, "caption_en").alias("caption_en"),
         F.try_variant_get(parsed, "$.n", "bigint").alias("n"),
     )
@@ -707,7 +707,7 @@ def stream_translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = tar.typed_samples(tar.read_shards(spark, out + "/batch=*/*.tar", ("json",), "fail"))
     parsed = json_object(F.col("json"))
     return typed.select(
-        shard_name("url").alias("shard"), "key", json_string(parsed, "caption_en").alias("caption_en"),
+        shard_name("source").alias("shard"), "key", json_string(parsed, "caption_en").alias("caption_en"),
         F.try_variant_get(parsed, "$.n", "bigint").alias("n"),
     )
 

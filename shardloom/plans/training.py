@@ -27,11 +27,11 @@ def sample_pairs(samples: DataFrame, english: bool = True) -> DataFrame:
 
 
 def _batched(
-    pairs: DataFrame, drop_last: bool, batch_size: int, seed: int, max_len: int
+    pairs: DataFrame, drop_last: bool, batch_size: int, seed: int, max_len: int, shard: str = "url"
 ) -> DataFrame:
-    batched = assign_batches(pairs, batch_size, seed=seed, drop_last=drop_last, tie=["caption"])
+    batched = assign_batches(pairs, batch_size, partition=shard, seed=seed, drop_last=drop_last, tie=["caption"])
     tokens = batched.withColumn("tokens", whitespace_tokens(F.col("caption")))
-    return pad_tokens(tokens, "tokens", ["url", "batch"], max_len, bounded=True)
+    return pad_tokens(tokens, "tokens", [shard, "batch"], max_len, bounded=True)
 
 
 def batches_from_samples(
@@ -57,19 +57,19 @@ def training_batches(
 
     One pass reads the text members and notes where the images lie. Split, order, batches and padding
     are worked out on that narrow table. The image bytes are read last, by place, where the finished
-    batches are, and go through no exchange.
+    batches are, and go through no exchange. The tars of one ``source`` are one shard.
     """
     scanned = read_splits(shard_splits(spark, glob), ("json", "txt"), on_error, places=True)
     choose = caption_en_first if english else caption_raw
     jpg, png = F.col("places")["jpg"], F.col("places")["png"]
     json, txt = (utf8_ignore(F.col("fields")[f]) for f in ("json", "txt"))
-    narrow = scanned.select("url", "key", F.when(jpg["size"] > 0, jpg).otherwise(png).alias("image"), choose(json, txt).alias("caption"))
+    narrow = scanned.select("url", "source", "key", F.when(jpg["size"] > 0, jpg).otherwise(png).alias("image"), choose(json, txt).alias("caption"))
     usable = narrow.filter((F.col("image.size") > 0) & (F.length("caption") > 0))
     pairs = materialize(
-        usable.select("url", "key", "caption", F.col("image.at").alias("image_at"), F.col("image.size").alias("image_size")), "pairs"
+        usable.select("url", "source", "key", "caption", F.col("image.at").alias("image_at"), F.col("image.size").alias("image_size")), "pairs"
     )
     train, val = split_train_val(pairs, "key", ratio)
     return tuple(
-        fetch_member(_batched(part, last, batch_size, seed, max_len), "image_at", "image_size", "image")
+        fetch_member(_batched(part, last, batch_size, seed, max_len, "source"), "image_at", "image_size", "image")
         for part, last in ((train, True), (val, False))
     )

@@ -4,6 +4,9 @@ Reading starts from a listing DataFrame, so files are found by Spark and bytes a
 the tasks. A tar up to ``split_bytes`` is one split. A larger one is walked header by
 header, without its payload, and cut between samples, so that no task has to read it whole.
 Writing bounds each output tar the same way.
+
+``url`` is the tar at hand, ``source`` the tar as it would be called had it not been split on writing. The
+manifest beside the tars tells; a tar without one is its own source.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from contextlib import contextmanager
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyarrow import parquet
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +34,12 @@ SPLIT_BYTES = 512 << 20
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 1024
 
-SPLIT_SCHEMA = "url string, part int, parts int, start bigint, end bigint"
-SAMPLE_SCHEMA = "url string, part int, offset bigint, key string, fields map<string,binary>"
+SPLIT_SCHEMA = "url string, part int, parts int, start bigint, end bigint, source string"
+SAMPLE_SCHEMA = "url string, part int, offset bigint, key string, fields map<string,binary>, source string"
 SAMPLE_ARROW = pa.schema(
     [
         ("url", pa.string()), ("part", pa.int32()), ("offset", pa.int64()), ("key", pa.string()),
-        ("fields", pa.map_(pa.string(), pa.binary())),
+        ("fields", pa.map_(pa.string(), pa.binary())), ("source", pa.string()),
     ]
 )
 PLACES = "map<string,struct<at:bigint,size:bigint>>"
@@ -126,17 +130,36 @@ def _cuts(url: str, length: int, split_bytes: int) -> list[int]:
     return cuts
 
 
+def _sources(folder: str) -> dict[str, str]:
+    """The source of each tar that the manifest of a complete folder names; none without a manifest."""
+    store, root = locate(f"{folder}/_manifest")
+    if store.get_file_info(f"{root}/_SUCCESS").type != pafs.FileType.File:
+        return {}
+    found = {}
+    for info in store.get_file_info(pafs.FileSelector(root)):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                for row in parquet.read_table(file, columns=["url", "tar"]).to_pylist():
+                    found[row["tar"]] = f"{folder}/{tar_name(row['url'], 0, 1)}"
+    return found
+
+
 def plan_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``url, part, parts, start, end`` from ``url, length``."""
+    """``url, part, parts, start, end, source`` from ``url, length``."""
 
     def plan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, dict[str, str]] = {}
         for pdf in batches:
             rows = []
             for url, length in zip(pdf["url"], pdf["length"]):
                 cuts = [0] if length <= split_bytes else _cuts(url, length, split_bytes)
                 ends = [*cuts[1:], length]
-                rows += [(url, i, len(cuts), a, b) for i, (a, b) in enumerate(zip(cuts, ends))]
-            yield pd.DataFrame(rows, columns=["url", "part", "parts", "start", "end"])
+                folder, name = url.rsplit("/", 1)
+                if folder not in known:
+                    known[folder] = _sources(folder)
+                source = known[folder].get(name, url)
+                rows += [(url, i, len(cuts), a, b, source) for i, (a, b) in enumerate(zip(cuts, ends))]
+            yield pd.DataFrame(rows, columns=["url", "part", "parts", "start", "end", "source"])
 
     return files.mapInPandas(plan, SPLIT_SCHEMA)
 
@@ -225,7 +248,7 @@ def read_splits(
             for offset, key, found in samples:
                 held.append(
                     {"url": s["url"], "part": s["part"], "offset": offset, "key": key, "fields": list(found.items()),
-                     "places": list(samples.places.items())}
+                     "source": s["source"], "places": list(samples.places.items())}
                 )
                 size += sum(map(len, found.values()))
                 if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
@@ -276,7 +299,7 @@ def read_shards(
     spark: SparkSession, glob: str, fields: Iterable[str] | None = None,
     on_error: str = "skip", split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """``url, part, offset, key, fields``. ``(url, offset)`` identifies a sample.
+    """``url, part, offset, key, fields, source``. ``(url, offset)`` identifies a sample.
 
     ``fields`` names the members whose bytes are wanted; the others are skipped by seeking.
     A broken tar keeps the samples read so far, or fails the job with ``on_error='fail'``.
@@ -285,29 +308,30 @@ def read_shards(
 
 
 def shard_errors(spark: SparkSession, glob: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``url, error`` of cut, damaged and repeated members, found by a pass over the headers."""
+    """``url, error, source`` of cut, damaged and repeated members, found by a pass over the headers."""
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for url, start, end in zip(pdf["url"], pdf["start"], pdf["end"]):
+            for url, start, end, source in zip(pdf["url"], pdf["start"], pdf["end"], pdf["source"]):
                 samples = _Samples(url, start, end, set(), False)
                 for _ in samples:
                     pass
-                out += [(url, e) for e in samples.errors]
-            yield pd.DataFrame(out, columns=["url", "error"])
+                out += [(url, e, source) for e in samples.errors]
+            yield pd.DataFrame(out, columns=["url", "error", "source"])
 
-    return shard_splits(spark, glob, split_bytes).mapInPandas(scan, "url string, error string")
+    return shard_splits(spark, glob, split_bytes).mapInPandas(scan, "url string, error string, source string")
 
 
 def typed_samples(samples: DataFrame) -> DataFrame:
-    """``url, part, offset, key, jpg, png, json, txt`` with text decoded."""
+    """``url, part, offset, key, jpg, png, json, txt, source`` with text decoded."""
     return samples.select(
         "url", "part", "offset", "key",
         F.col("fields")["jpg"].alias("jpg"),
         F.col("fields")["png"].alias("png"),
         utf8_ignore(F.col("fields")["json"]).alias("json"),
         utf8_ignore(F.col("fields")["txt"]).alias("txt"),
+        "source",
     )
 
 
@@ -453,6 +477,8 @@ def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str, on_erro
         changed = dict(zip(changes["offset"], changes["json"]))
         for s in split.itertuples(index=False):
             out = _TarOut(out_dir, s.url, s.part, s.parts)
+            # Named after the tar that is read; the manifest keeps the source.
+            out.url = s.source
             samples = _Samples(s.url, s.start, s.end, None, on_error == "fail")
             for offset, key, found in samples:
                 if changed.get(offset) is not None:
