@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
+import re
 import struct
 import tarfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.catalog.inputs import (
@@ -26,7 +26,7 @@ from shardloom.operators import coverage, dataset, language, metrics, predict, r
 from shardloom.operators.similarity import paired_score as paired
 from shardloom.operators.translate import encode
 from shardloom.plans import evaluation, training, translation
-from shardloom.session import materialize, prepare, qualified, scratch_path
+from shardloom.session import broadcast_if_small, materialize, prepare, qualified, scratch_path
 from shardloom.sources import images, lists, submissions, tables, tar
 from shardloom.streaming import losses
 from shardloom.streaming import shards as shard_stream
@@ -465,49 +465,89 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def damage(data: bytes, kind: int) -> bytes:
-    """A tar with its third sample cut short (0), its header overwritten (1) or repeated (2), junk (3), or as it was."""
-    if kind == 3:
-        return b"no tar" * 200
-    with tarfile.open(fileobj=io.BytesIO(data)) as t:
-        third = t.getmembers()[2]
-    if kind == 0:
-        return data[: third.offset_data + third.size // 2]
-    if kind == 1:
-        return data[: third.offset] + b"\x7f" * 512 + data[third.offset_data :]
-    if kind == 2:
-        end = third.offset_data + -(-third.size // 512) * 512
-        return data[:end] + data[third.offset :]
-    return data
-
-
-def damaged_shards(spark: SparkSession, sf_dir: str) -> str:
-    """Text shards by source, whose number leaves the kind of damage when divided by 5."""
-    whole, folder = scratch_path(spark, "whole"), qualified(spark, scratch_path(spark, "damaged"))
-    fields = F.create_map(F.lit("txt"), F.col("text").cast("binary"))
-    tar.write_shards(table(spark, sf_dir, "documents").select(
-        F.col("source").alias("url"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"), fields.alias("fields")
-    ), whole)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = tar.locate(folder)
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                name = path.rsplit("/", 1)[1]
-                with store.open_output_stream(f"{root}/{name}") as out:
-                    out.write(damage(data, int(name[3:-4]) % 5))
-            yield pdf[["path"]]
-
-    store, root = tar.locate(folder)
-    store.create_dir(root, recursive=True)
-    shards = spark.read.format("binaryFile").load(whole + "/*.tar").select("path", "content")
-    shards.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+# Bytes of a damaged tar, at about the most.
+DAMAGED_BYTES = 64 << 20
+# Field that tells of a sample where it stands in its source; it is not written.
+PLACE = "place"
+
+
+class DamagedTar(tar.TarOut):
+    """A tar that is damaged as it is written, by the number of its source.
+
+    Samples count through the whole source, in however many tars it lies. Divided by 5 the number leaves the kind: the
+    third sample is cut short (0), or its header overwritten (1), and the tar that would hold it or a later one gives
+    nothing from there on; the third sample is repeated (2); junk (3); as it was (4). A source of under three samples
+    has a damaged one more at the end (0, 1), or its last one repeated (2). A source without a number stays as it was.
+    """
+
+    def __init__(self, out_dir: str, url: str, part: int, parts: int):
+        super().__init__(out_dir, url, part, parts)
+        number = re.fullmatch(r"src(\d+)", url)
+        self.kind = int(number[1]) % 5 if number else 4
+        self.broken, self.last = False, None
+
+    def add(self, key: str, fields: Iterable[tuple[str, bytes]]) -> None:
+        found = dict(fields)
+        place = found.pop(PLACE, b"")
+        if self.broken or self.kind == 3:
+            return
+        if self.kind < 2 and place in (b"third", b"later"):
+            self.spoil(key, found)
+            return
+        super().add(key, found.items())
+        self.last = (key, found) if place == b"few" else None
+        if self.kind == 2 and place == b"third":
+            super().add(key, found.items())
+
+    def spoil(self, key: str, found: dict[str, bytes]) -> None:
+        """A sample that is cut short, or without a header; the tar itself must be known as one before."""
+        self.broken = True
+        if not self.samples:
+            self.tar.addfile(tarfile.TarInfo("__part__"))
+        data = b"".join(found.values())
+        if self.kind == 1:
+            self.tar.fileobj.write(b"\x7f" * tarfile.BLOCKSIZE + data)
+            return
+        info = tarfile.TarInfo(f"{key}.txt")
+        info.size = len(data) + tarfile.BLOCKSIZE
+        self.tar.fileobj.write(info.tobuf(tarfile.GNU_FORMAT) + data[: len(data) // 2])
+
+    def end(self) -> None:
+        if self.kind == 3:
+            self.tar.fileobj.write(b"no tar" * 200)
+        elif self.last and self.kind < 2:
+            self.spoil("one-more", self.last[1])
+        elif self.last and self.kind == 2:
+            super().add(self.last[0], self.last[1].items())
+        if self.broken or self.kind == 3:
+            # Without the blocks that end a tar.
+            self.tar.fileobj.close()
+        else:
+            super().end()
+
+
+def damaged_shards(spark: SparkSession, sf_dir: str, part_bytes: int = DAMAGED_BYTES) -> str:
+    """Text shards by source, damaged by ``DamagedTar`` in the tasks that write them."""
+    folder = scratch_path(spark, "damaged")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("url"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"), "text"
+    )
+    # A source's first rows are found inside tasks before they meet.
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("key"))
+    third = docs.select("url", "key").withColumn("n", rank).filter("n = 3").select("url", F.col("key").alias("third"))
+    placed = docs.join(broadcast_if_small(materialize(third, "third"), 100_000), "url", "left")
+    place = (
+        F.when(F.col("third").isNull(), "few").when(F.col("key") == F.col("third"), "third")
+        .when(F.col("key") > F.col("third"), "later")
+    )
+    fields = F.create_map(F.lit("txt"), F.col("text").cast("binary"), F.lit(PLACE), place.cast("binary"))
+    tar.write_shards(placed.select("url", "key", fields.alias("fields")), folder, part_bytes, DamagedTar)
     return folder + "/*.tar"
 
 
 @query
 def shard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with shards of four kinds of damage."""
+    """What is wrong with shards of four kinds of damage, once for a source."""
     kind = (
         F.when(F.col("error").contains("damaged header"), "damaged header")
         .when(F.col("error").contains("duplicate member"), "repeated member")
@@ -515,7 +555,7 @@ def shard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return tar.shard_errors(spark, damaged_shards(spark, sf_dir)).select(
         shard_name("source").alias("shard"), kind.alias("kind")
-    )
+    ).distinct()
 
 
 @query

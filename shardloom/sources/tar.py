@@ -341,7 +341,7 @@ def tar_name(url: str, part: int, parts: int) -> str:
     return f"{base}.tar" if parts == 1 else f"{base}-{part:05d}.tar"
 
 
-class _TarOut:
+class TarOut:
     """One output tar under a private name, renamed once it is complete.
 
     The bytes depend only on the samples, so a second attempt of a task replaces a file
@@ -365,8 +365,11 @@ class _TarOut:
             self.bytes += len(data)
         self.samples += 1
 
-    def close(self) -> dict:
+    def end(self) -> None:
         self.tar.close()
+
+    def close(self) -> dict:
+        self.end()
         self.raw.close()
         if self.store.get_file_info(self.final).type == pafs.FileType.File and self.store.type_name == "hdfs":
             self.store.delete_file(self.final)
@@ -396,7 +399,7 @@ def _finish_output(manifest: DataFrame, out_dir: str) -> DataFrame:
     return spark.read.schema(manifest.schema).parquet(path)
 
 
-def _write_sorted(batches: Iterable[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
+def _write_sorted(batches: Iterable[pa.RecordBatch], out_dir: str, kind: type[TarOut]) -> Iterator[pa.RecordBatch]:
     """Tars from rows sorted by url and part."""
     out, at = None, None
     for row in _rows(batches):
@@ -404,7 +407,7 @@ def _write_sorted(batches: Iterable[pa.RecordBatch], out_dir: str) -> Iterator[p
         if here != at:
             if out is not None:
                 yield pa.RecordBatch.from_pylist([out.close()], MANIFEST_ARROW)
-            out, at = _TarOut(out_dir, row["url"], row["part"], row["parts"]), here
+            out, at = kind(out_dir, row["url"], row["part"], row["parts"]), here
         out.add(row["key"], sorted((f["k"], f["v"]) for f in row["fields"]))
     if out is not None:
         yield pa.RecordBatch.from_pylist([out.close()], MANIFEST_ARROW)
@@ -423,13 +426,13 @@ def _check_keys(df: DataFrame) -> None:
         raise ValueError(f"sample key {twice.key!r} of {twice.url} occurs {twice.n} times")
 
 
-def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES) -> DataFrame:
+def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES, kind: type[TarOut] = TarOut) -> DataFrame:
     """Write ``url, key, fields`` as one tar per url and return the manifest.
 
     A url with more than about ``part_bytes`` becomes several numbered tars, so a url that
     holds a large share of the rows is spread over tasks. Samples keep the order of
     ``offset`` where that column exists, else of ``key``. Null, dotted and repeated keys are
-    errors, as they would not read back.
+    errors, as they would not read back. ``kind`` writes a tar.
     """
     spark = df.sparkSession
     out_dir = qualified(spark, out_dir)
@@ -453,7 +456,7 @@ def write_shards(df: DataFrame, out_dir: str, part_bytes: int = SPLIT_BYTES) ->
     )
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _write_sorted(batches, out_dir)
+        return _write_sorted(batches, out_dir, kind)
 
     return _finish_output(rows.mapInArrow(write, MANIFEST_SCHEMA), out_dir)
 
@@ -476,7 +479,7 @@ def rewrite_shards(splits: DataFrame, new_json: DataFrame, out_dir: str, on_erro
         done = []
         changed = dict(zip(changes["offset"], changes["json"]))
         for s in split.itertuples(index=False):
-            out = _TarOut(out_dir, s.url, s.part, s.parts)
+            out = TarOut(out_dir, s.url, s.part, s.parts)
             # Named after the tar that is read; the manifest keeps the source.
             out.url = s.source
             samples = _Samples(s.url, s.start, s.end, None, on_error == "fail")

@@ -23,3 +23,35 @@ def test_split_sources_change_no_result(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "stored_shards", small)
     assert sorted(map(repr, rows(run(spark, SF)))) == whole
     assert any(f.endswith("-00001.tar") for f in os.listdir(made[0]))
+
+
+def expected(docs):
+    """Errors and samples as the SQL of the queries has them."""
+    errors, samples, by = set(), set(), {}
+    for i, source, text in docs:
+        by.setdefault(source, []).append((f"{i:09d}", len(text)))
+    names = ["cut short", "damaged header", "repeated member", "no tar"]
+    for source, found in by.items():
+        kind = int(source[3:]) % 5 if source[:3] == "src" else 4
+        errors |= {(source, names[kind])} if kind < 4 else set()
+        kept = sorted(found)[: 2 if kind < 2 else 0 if kind == 3 else None]
+        samples |= {(source, *x) for x in kept}
+    return sorted(errors), sorted(samples)
+
+
+@pytest.mark.parametrize("part_bytes", [64 << 20, 4_000])
+def test_damage_of_any_source_and_size(spark, tmp_path, monkeypatch, part_bytes):
+    docs = [(i, f"src{i % 6}", "x" * (i * 37 % 900)) for i in range(120)]
+    docs += [(1_000 + i, "src10", "few") for i in range(2)] + [(1_010, "src11", ""), (1_020, "src12", "f"), (1_030, "web", "no number")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    store, made = queries.damaged_shards, []
+
+    def small(*args):
+        made.append(store(*args, part_bytes=part_bytes))
+        return made[-1]
+
+    monkeypatch.setattr(queries, "damaged_shards", small)
+    errors, samples = expected(docs)
+    assert rows(queries.queries()["shard_errors"](spark, str(tmp_path)), "shard") == errors
+    assert rows(queries.queries()["shards_with_errors"](spark, str(tmp_path)), "shard", "key") == samples
+    assert (part_bytes == 4_000) == any(f.endswith("-00001.tar") for f in os.listdir(made[0][: -len("/*.tar")]))
