@@ -47,4 +47,42 @@ ORACLE = {
         reach(doc_id, near) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.near)
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(near) AS component_id
         FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id""",
+    "op11_ranked_search": f"""
+        WITH t AS (SELECT r, doc_id, unnest({_PLAIN}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+        d AS (SELECT r, any_value(doc_id) AS doc_id, cast(count(*) AS bigint) AS n FROM t GROUP BY r),
+        total AS (SELECT cast(count(*) AS bigint) AS nd, cast(sum(n) AS bigint) AS l FROM d),
+        norm AS (SELECT r, doc_id, 100 - 90 + ((90 * n * nd) // l) AS m FROM d, total),
+        tf AS (SELECT r, term, cast(count(*) AS bigint) AS tf FROM t GROUP BY r, term),
+        item AS (SELECT DISTINCT item_id, unnest({_PLAIN}) AS term FROM benchmark),
+        weight AS (SELECT term, cast(floor(1000 * ln(cast(2 * any_value(nd) + 2 AS double) / (2 * count(*) + 1))) AS bigint) AS w
+            FROM tf, total GROUP BY term),
+        scored AS (SELECT item_id, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS bigint) AS score
+            FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN norm USING (r) WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, r)
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 10""",
+    # The crc32 table is worked out by its rule: eight shifts, each with the polynomial where a one drops out.
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE shift AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        run AS (SELECT coalesce(cast(doc_id AS varchar), '') AS id, run, count(*) AS k FROM (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+        hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+            lambda ch: CASE WHEN unicode(ch) < 128 THEN [cast(unicode(ch) AS bigint)] ELSE [195, unicode(ch) - 64] END))),
+            lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM run, shift),
+        cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+        words AS (SELECT word, cast(sum(k) AS bigint) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        left_out AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (SELECT a.word AS word, b.word AS near FROM left_out a JOIN left_out b ON a.hole = b.hole AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM left_out a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word FROM left_out a JOIN words b ON a.rest = b.word),
+        best AS (SELECT near.word, count(*) AS n_near, min({{'less': -words.n, 'near': near.near}}) AS best
+            FROM near JOIN words ON words.word = near.near GROUP BY near.word),
+        form AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.near END AS form,
+            CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n FROM words LEFT JOIN best USING (word)),
+        chain(word, root, step) AS (SELECT word, coalesce(form, word), 0 FROM form
+            UNION ALL SELECT chain.word, form.form, step + 1 FROM chain JOIN form ON form.word = chain.root WHERE form.form IS NOT NULL)
+        SELECT word, form, root, n, n_near, cast(form_n AS bigint) AS form_n
+        FROM form JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) USING (word)""",
 }

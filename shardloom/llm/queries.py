@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontamination, jaccard_join, language_id, packing, pii, quality, suffix_dedup, token_output, topk, toxicity
+from shardloom.llm import (
+    decontamination, fingerprints, jaccard_join, language_id, lexical_search, packing, pii, quality, spelling, suffix_dedup,
+    token_output, topk, toxicity,
+)
 from shardloom.llm.common import held_out, prepared, read_table
 from shardloom.llm.oracle import ORACLE  # noqa: F401
 from shardloom.session import materialize, scratch_path
@@ -89,3 +92,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read_table(spark, sf_dir, "documents"), misspelt_one_in=31)
+    return spelling.group_variants(words)
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
