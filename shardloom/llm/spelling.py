@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.common import utf8
 from shardloom.llm.shingles import LOWER
-from shardloom.session import materialize
+from shardloom.session import materialize, scratch_path
 
 RUN = re.compile("[a-zA-ZÀ-ÿ]+")
 MIN_LENGTH, MIN_COUNT, LONGEST = 7, 2, 48
@@ -30,7 +30,6 @@ MIN_LENGTH, MIN_COUNT, LONGEST = 7, 2, 48
 FACTOR = 10
 # Distinct words that a task counts before it passes them on.
 _HELD = 200_000
-_STATE = ("u", "v", "edits", "left_out")
 
 
 def count_words(docs: DataFrame, misspelt_one_in: int | None = None, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -101,40 +100,43 @@ def near_words(words: DataFrame, longest: int = LONGEST) -> DataFrame:
 
     Every pair is reached by one way only: of equal code points in a row the last is the one that counts as left out.
     """
+    spark = words.sparkSession
     short = words.select("word").filter(F.length("word") <= longest)
-    edges = materialize(trie_edges(short), "edges")
+    found = _near_long(words, longest)
+    path = scratch_path(spark, "edges")
+    trie_edges(short).write.partitionBy("depth").parquet(path)
+    edges = spark.read.schema("node string, ch string, child string, only string, depth int").parquet(path)
     deepest = edges.agg(F.max("depth")).first()[0]
-    first = edges.sparkSession.createDataFrame([("", "", 0, None)], "u string, v string, edits int, left_out string")
-    states, met = None, []
-    for level in range((deepest or 0) + 1 if deepest is not None else 0):
-        here = edges.filter(F.col("depth") == level)
-        around = edges.filter(F.col("depth").between(level - 1, level))
-        same = first if level == 0 else here.select("node").distinct().select(
-            F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("edits"), F.lit(None).cast("string").alias("left_out")
-        )
-        states = same if states is None else same.unionByName(states)
+    if deepest is None:
+        return found
+    none = F.lit(None).cast("string")
+    # The levels lie in one table, so all that met can be read at once.
+    levels, met = scratch_path(spark, "levels"), "u string, v string, u_only string, v_only string, left_out string"
+    for level in range(deepest + 1):
+        here, around = edges.filter(F.col("depth") == level), edges.filter(F.col("depth").between(level - 1, level))
         left = here.select(F.col("node").alias("u"), F.col("ch").alias("u_ch"), F.col("child").alias("u_next"), F.col("only").alias("u_only"))
         right = around.select(F.col("node").alias("v"), F.col("ch").alias("v_ch"), F.col("child").alias("v_next"), F.col("only").alias("v_only"))
-        stepped = states.join(left, "u")
+        # Without an edit, both are the same node.
+        unedited = left.select("u", F.col("u").alias("v"), F.lit(0).alias("edits"), none.alias("left_out"), "u_ch", "u_next", "u_only")
+        stepped = unedited
+        if level:
+            states = spark.read.schema(met).parquet(f"{levels}/level={level - 1}").filter("u_only IS NULL AND v_only IS NULL")
+            stepped = unedited.unionByName(states.select("u", "v", F.lit(1).alias("edits"), "left_out").join(left, "u"))
         both = stepped.join(right, "v").filter(
             "edits = 0 AND u_ch < v_ch AND u_ch <> '' "
             "OR edits = 1 AND u_ch = v_ch AND (left_out IS NULL OR u_ch <> left_out)"
-        ).select(F.col("u_next").alias("u"), F.col("v_next").alias("v"), "u_only", "v_only", F.lit(None).cast("string").alias("left_out"))
-        longer = stepped.filter("edits = 0 AND u_ch <> ''").select(
-            F.col("u_next").alias("u"), "v", "u_only", F.lit(None).cast("string").alias("v_only"), F.col("u_ch").alias("left_out")
+        ).select(F.col("u_next").alias("u"), F.col("v_next").alias("v"), "u_only", "v_only", none.alias("left_out"))
+        longer = unedited.filter("u_ch <> ''").select(
+            F.col("u_next").alias("u"), "v", "u_only", none.alias("v_only"), F.col("u_ch").alias("left_out")
         )
-        done = materialize(both.unionByName(longer).withColumn("edits", F.lit(1)), "level")
-        word, near, known = _met(*(F.col(c) for c in ("u", "u_only", "v", "v_only")))
-        alone = done.filter("u_only IS NOT NULL OR v_only IS NOT NULL")
-        met.append(alone.select(word.alias("word"), near.alias("near"), known.alias("known")).filter("near IS NOT NULL"))
-        states = done.filter("u_only IS NULL AND v_only IS NULL").select(*_STATE)
-    found = _near_long(words, longest)
-    if met:
-        every = met[0]
-        for more in met[1:]:
-            every = every.unionByName(more)
-        looked_up = every.filter("NOT known").join(short.select(F.col("word").alias("near")), "near", "left_semi")
-        found = found.unionByName(every.filter("known").select("word", "near")).unionByName(looked_up.select("word", "near"))
+        both.unionByName(longer).write.parquet(f"{levels}/level={level}")
+    word, near, known = _met(*(F.col(c) for c in ("u", "u_only", "v", "v_only")))
+    alone = spark.read.schema(met).parquet(levels).filter("u_only IS NOT NULL OR v_only IS NOT NULL")
+    alone = alone.select(word.alias("word"), near.alias("near"), known.alias("known")).filter("near IS NOT NULL")
+    # One word is known to be near where both were left alone; else it must be among the words.
+    among = short.select(F.col("word").alias("near"), F.lit(True).alias("there"))
+    looked_up = alone.join(among, "near", "left").filter("known OR there").select("word", "near")
+    found = found.unionByName(looked_up)
     return found
 
 
