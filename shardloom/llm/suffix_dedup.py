@@ -283,8 +283,10 @@ def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     for d, s in zip(doc[repeat].tolist(), start[repeat].tolist()):
         later.setdefault(d, []).append(s)
     yield _strings([None] * len(later), list(later), list(later.values()))
-    # The earliest in a place that was cut may still start earlier in another cut.
-    open_ = np.flatnonzero(first & (np.array([r[2] for r in rows], np.int64)[of] > 1))
+    # The earliest may still start later than one in another cut, if any of its copies lies in a place that was cut.
+    heads = np.flatnonzero(first)
+    cut = np.array([r[2] for r in rows], np.int64)[of] > 1
+    open_ = heads[np.logical_or.reduceat(cut, heads)] if len(heads) else heads
     raw = text.tobytes()
     for lo in range(0, len(open_), 1 << 14):
         part = open_[lo : lo + (1 << 14)]

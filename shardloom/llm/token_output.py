@@ -8,8 +8,9 @@ parts, so a lost executor leaves no half file, and any file system that Spark wr
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -96,23 +97,47 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     return ids
 
 
+# How a tokenizer must normalise and split for texts to be encoded part by part. No piece then reaches over a blank.
+PART_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+PART_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_parts(tokenizer: Tokenizer) -> bool:
+    """Whether the ids of a text's parts between blanks, in a row, are the text's ids."""
+    told = json.loads(tokenizer.to_str())
+    normal, split = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    steps, cuts = normal.get("normalizers", []), split.get("pretokenizers", [])
+    blanks = [x for x in steps if x["type"] == "Replace" and (x["pattern"], x["content"]) != ({"Regex": r"\s+"}, " ")]
+    return (
+        tuple(x["type"] for x in steps) == PART_NORMALIZERS and not blanks
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": PART_PATTERN}, "Removed", True)
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and not any(" " in x["content"] or x["normalized"] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
+    )
+
+
 class _Encoder:
-    """Ids of whole texts from the ids of their parts between blanks, each part tokenised once.
+    """Ids of whole texts; where the tokenizer allows it, from the ids of parts, each tokenised once.
 
-    The tokenizer neither joins nor reorders anything across the blanks cut here, so the parts' ids
-    in a row are the text's ids. Parts met often are remembered, and of new ones only the words in them
-    that are new themselves, in lower case and without marks behind, go through the tokenizer.
+    A tokenizer that keeps parts between blanks apart is checked for by ``_by_parts``; with any other, texts are encoded
+    whole. Parts met often are remembered, and of new ones only the words in them that are new themselves, in
+    lower case and without marks behind, go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = _by_parts(self.tokenizer)
         self.parts, self.words = {"": b""}, {"": b""}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_parts:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.parts) > MEMORY:
             self.parts = {"": b""}
-        new = [(part, *_word_and_marks(part)) for part in set().union(*split).difference(self.parts)]
+        normal = self.tokenizer.normalizer.normalize_str
+        new = [(part, *_word_and_marks(part, normal)) for part in set().union(*split).difference(self.parts)]
         if new:
             self._learn({x for _, *both in new for x in both}.difference(self.words))
             words = self.words
@@ -134,16 +159,19 @@ class _Encoder:
         self.words.update(zip(lines, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
 
-def _word_and_marks(part: str) -> tuple[str, str]:
+def _word_and_marks(part: str, normal: Callable[[str], str]) -> tuple[str, str]:
     """A part as two that the tokenizer keeps apart: up to its last letter, and plain marks behind.
 
-    The tokenizer lower-cases, so Latin words may be so already; special tokens, which are not, have a ``<``.
+    What counts is the last character as the tokenizer has normalised it: lower-casing or composing may end a word in a
+    combining mark, which is one piece with the marks behind. The tokenizer lower-cases, so Latin words may
+    be so already; special tokens, which are not, have a ``<``.
     """
     word = part.rstrip(".,!?;:")
-    if not word or not word[-1].isalpha():
+    latin = word.isascii() or max(word) < "\u0250" and "\u0130" not in word
+    if not word or not (word if latin or len(word) == len(part) else normal(word))[-1:].isalpha():
         word = part
     marks = part[len(word) :]
-    if word.isascii() or max(word) < "\u0250" and "\u0130" not in word:
+    if latin:
         word = word if "<" in word else word.lower()
     return word, marks
 
