@@ -360,3 +360,6 @@ ORACLE: dict[str, str] = {
         f"round(cast({letter(c)} / greatest({NORM8}, 1e-12) AS float)::double, 4) AS f{i}" for i, c in enumerate("abcdefgh")
     ) + " FROM documents",
 }
+
+# Another way to the same samples.
+ORACLE["shards_by_format"] = ORACLE["shard_roundtrip"]

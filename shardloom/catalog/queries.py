@@ -28,6 +28,7 @@ from shardloom.operators.translate import encode
 from shardloom.plans import evaluation, training, translation
 from shardloom.session import broadcast_if_small, materialize, prepare, qualified, scratch_path
 from shardloom.sources import images, lists, submissions, tables, tar
+from shardloom.sources.tar_format import register_shards
 from shardloom.streaming import losses
 from shardloom.streaming import shards as shard_stream
 
@@ -771,3 +772,20 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
+
+
+@query
+def shards_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples read as ``read.format`` with the members asked for by schema, written as ``write.format``, and read again."""
+    register_shards(spark)
+    read = spark.read.format("shards").schema("source string, key string, jpg binary, png binary, json string, txt string")
+    first = read.option("on_error", "fail").load(qualified(spark, stored_shards(spark, sf_dir)))
+    path = qualified(spark, scratch_path(spark, "format-shards"))
+    named = first.withColumn("key", F.concat(shard_name("source"), F.lit("/"), F.col("key")))
+    named.select("key", "jpg", "png", "json", "txt").write.format("shards").mode("append").option("split_bytes", 32 << 20).save(path)
+    again = spark.read.format("shards").schema("key string, jpg binary, png binary, json string, txt string").load(path)
+    return again.select(
+        F.substring_index("key", "/", 1).alias("shard"), F.substring_index("key", "/", -1).alias("key"), "txt",
+        F.octet_length("jpg").cast("bigint").alias("jpg_bytes"), F.octet_length("png").cast("bigint").alias("png_bytes"),
+        json_string(json_object(F.col("json")), "caption").alias("caption"),
+    )

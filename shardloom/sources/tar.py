@@ -16,7 +16,7 @@ import posixpath
 import re
 import tarfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -189,8 +189,12 @@ def spread_count(spark: SparkSession, pieces: int) -> int:
 class _Samples:
     """Consecutive members of one stem, gathered into samples."""
 
-    def __init__(self, url: str, start: int, end: int, fields: set[str] | None, strict: bool):
+    def __init__(
+        self, url: str, start: int, end: int, fields: set[str] | None, strict: bool, only: Callable[[str], bool] | None = None
+    ):
         self.url, self.start, self.end = url, start, end
+        # Which samples are wanted, by key; bytes of others are passed over.
+        self.only = only or (lambda key: True)
         self.fields, self.strict = fields, strict
         self.errors: list[str] = []
         # Of the sample given last: where each member's bytes lie in the tar.
@@ -201,12 +205,12 @@ class _Samples:
         try:
             with _open(self.url, self.start) as tar:
                 for info, this, field in _members(tar, self.end):
-                    wanted = self.fields is None or field in self.fields
+                    wanted = (self.fields is None or field in self.fields) and self.only(this)
                     # Read first: a member that breaks off starts no sample.
                     again = this == stem and field in seen
                     data = tar.extractfile(info).read() if wanted and not again else None
                     if this != stem:
-                        if stem is not None:
+                        if stem is not None and self.only(stem):
                             self.places = seen
                             yield at, stem, found
                         at, stem, found, seen = info.offset, this, {}, {}
@@ -218,7 +222,7 @@ class _Samples:
                         found[field] = data
         except (tarfile.TarError, EOFError, OSError) as e:
             self._note(e)
-        if stem is not None:
+        if stem is not None and self.only(stem):
             self.places = seen
             yield at, stem, found
 
