@@ -1,21 +1,26 @@
-"""Language detection as joins: a character-trigram model trained and applied in Spark.
+"""Language detection by a character-trigram model: trained by Spark, applied to texts where they lie.
 
 Log-probabilities are whole micro-nats, so a text's score is an exact integer sum and does
-not depend on partitioning or on the order of rows.
+not depend on partitioning or on the order of rows. A gram is a number of three times 21 bits; the profile is a
+sorted table of such numbers with a score for each language, looked up for a whole batch of texts at a time. No
+row stands for a gram, and neither grams nor texts are exchanged.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import cleaned_for_validity, enough_text, has_cjk, letter_count, py_strip
-from shardloom.operators.ordering import join_null_safe
-from shardloom.session import broadcast_if_small, materialize
+from shardloom.session import materialize
 
 # Least probability of a valid caption, and of English that stays as it is.
 MIN_LANG_PROB = 0.75
@@ -26,7 +31,10 @@ FALLBACK_LANG, FALLBACK_PROB = "en", 0.0
 
 TEMPERATURE = 3.0
 MICRO = 1_000_000
-PROFILE_BROADCAST_ROWS = 2_000_000
+# Bytes of one broadcast part of a profile; a larger profile is looked up part by part.
+PROFILE_BYTES = 64 << 20
+# Code points that are looked up at once.
+SLICE = 1 << 20
 
 # Every overlapping trigram: an empty match with a captured look-ahead, never inside a surrogate pair.
 TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{3}))"
@@ -61,6 +69,17 @@ class LanguageProfile:
     langs: tuple[str, ...]
     grams: DataFrame
     unseen: tuple[int, ...]
+    _scorers: list[Callable[[Column], Column]] = field(default_factory=list, init=False, repr=False, compare=False)
+
+    def scorers(self) -> list[Callable[[Column], Column]]:
+        """A function of texts for each part of the profile, made once; all parts together give a text's score."""
+        if not self._scorers:
+            n = self.grams.count()
+            parts = max(1, -(-n * (8 + 4 * len(self.langs)) // PROFILE_BYTES))
+            for part in range(parts):
+                mine = self.grams if parts == 1 else self.grams.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part)
+                self._scorers.append(_scorer(mine, self.unseen))
+        return self._scorers
 
 
 def micro_log(count: Column, total: Column) -> Column:
@@ -88,42 +107,101 @@ def train_language_profile(df: DataFrame, text: str = "text", lang: str = "lang"
     return LanguageProfile(langs, materialize(scored, "profile"), unseen)
 
 
+def _gram_keys(points: np.ndarray) -> np.ndarray:
+    p = points.astype(np.int64)
+    return p[:-2] << 42 | p[1:-1] << 21 | p[2:]
+
+
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of an Arrow array of texts, and how many each text has; a null is empty."""
+    texts = pc.fill_null(texts, "")
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = "".join(texts.to_pylist())
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), lengths
+
+
+def _scorer(grams: DataFrame, unseen: tuple[int, ...]) -> Callable[[Column], Column]:
+    """``seen`` and, for each language, the sum of what a gram of this part scores above an unseen one."""
+    table = grams.toArrow()
+    points, _ = _code_points(table.column("gram").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+    points = points.astype(np.int64)
+    keys = points[0::3] << 42 | points[1::3] << 21 | points[2::3]
+    order = np.argsort(keys)
+    above = np.zeros((len(keys) + 1, len(unseen)), np.int32)
+    for i, base in enumerate(unseen):
+        above[:-1, i] = table.column(f"s{i}").to_numpy()[order] - base
+    shared = grams.sparkSession.sparkContext.broadcast((keys[order], above))
+
+    @F.arrow_udf("struct<grams:bigint,above:array<bigint>>")
+    def score(texts: pa.Array) -> pa.Array:
+        known, gains = shared.value
+        n, width = len(texts), gains.shape[1]
+        count, sums = np.zeros(n, np.int64), np.zeros((n, width), np.int64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < n:
+            # At least one text, else as many as make up a slice.
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+            points, lengths = _code_points(texts.slice(lo, hi - lo))
+            row = np.repeat(np.arange(hi - lo), lengths)
+            if len(points) >= 3:
+                inside = row[:-2] == row[2:]
+                found, row = _gram_keys(points)[inside], row[:-2][inside]
+                count[lo:hi] = np.bincount(row, minlength=hi - lo)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    hit = known[at] == found
+                    at, row = at[hit], row[hit]
+                    for i in range(width):
+                        # Doubles hold these whole numbers exactly.
+                        sums[lo:hi, i] = np.bincount(row, gains[at, i], hi - lo).astype(np.int64)
+            lo = hi
+        above = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, pa.array(sums.ravel()))
+        return pa.StructArray.from_arrays([pa.array(count), above], names=["grams", "above"])
+
+    # A filter on the answer must not make it work twice.
+    score = score.asNondeterministic()
+    return lambda text: score(letters_only(text))
+
+
+def with_language(
+    df: DataFrame, profile: LanguageProfile, texts: dict[str, Column], temperature: float = TEMPERATURE
+) -> DataFrame:
+    """``df`` and, for each name and text, a struct ``lang, prob``. A null text reads as one without letters."""
+    scorers = profile.scorers()
+    scored = df.select("*", *[
+        score(text).alias(f"__{name}_{i}") for name, text in texts.items() for i, score in enumerate(scorers)
+    ])
+    answers = []
+    for name in texts:
+        parts = [F.col(f"__{name}_{i}") for i in range(len(scorers))]
+        grams = parts[0]["grams"]
+        totals = [
+            reduce(lambda a, b: a + b, [p["above"][i] for p in parts]) + grams * F.lit(u) for i, u in enumerate(profile.unseen)
+        ]
+        answers.append(F.struct(*decide(profile.langs, temperature, grams, totals)).alias(name))
+    return scored.select(*df.columns, *answers)
+
+
 def detect_language(
     df: DataFrame, profile: LanguageProfile, keys: list[str], text: str = "text",
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """``keys, lang, prob`` for every row; ``keys`` must identify a row.
-
-    Each text is cut into trigrams where it lies, scored by a join with the profile and
-    summed up before the exchange, so one small row per text is shuffled. The profile is
-    broadcast only when its size is proved; otherwise it is joined by shuffle.
-    """
+    """``keys, lang, prob`` for every row. Each text is scored where it lies."""
     base = df.select(*keys, F.col(text).alias("__text"))
-    grams = base.select(*keys, F.explode_outer(trigrams(F.col("__text"))).alias("gram"))
-    n = len(profile.langs)
-    fill = [F.coalesce(F.col(f"s{i}"), F.lit(profile.unseen[i])) for i in range(n)]
-    seen = F.col("gram").isNotNull()
-    totals = (
-        grams.join(broadcast_if_small(profile.grams, PROFILE_BROADCAST_ROWS), "gram", "left")
-        .groupBy(*keys)
-        .agg(
-            F.count("gram").alias("__grams"),
-            *[F.sum(F.when(seen, fill[i])).alias(f"__t{i}") for i in range(n)],
-        )
-    )
-    return totals.select(*keys, *decide(profile.langs, temperature))
+    found = with_language(base, profile, {"__found": F.col("__text")}, temperature)
+    return found.select(*keys, "__found.lang", "__found.prob")
 
 
-def decide(langs: tuple[str, ...], temperature: float) -> list[Column]:
+def decide(langs: tuple[str, ...], temperature: float, grams: Column, scores: list[Column]) -> list[Column]:
     """Best language and its softmax share; a tie goes to the first code."""
     if not langs:
         return [F.lit(FALLBACK_LANG).alias("lang"), F.lit(FALLBACK_PROB).alias("prob")]
-    scores = [F.col(f"__t{i}") for i in range(len(langs))]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     weights = [F.exp((s - best) / F.lit(temperature * MICRO)) for s in scores]
     share = F.lit(1.0) / reduce(lambda a, b: a + b, weights)
     name = F.coalesce(*[F.when(s == best, F.lit(g.lower())) for s, g in zip(scores, langs)])
-    some = F.col("__grams") > 0
+    some = grams > 0
     return [
         F.when(some, name).otherwise(F.lit(FALLBACK_LANG)).alias("lang"),
         F.when(some, share).otherwise(F.lit(FALLBACK_PROB)).alias("prob"),
@@ -134,32 +212,23 @@ def assess_captions(
     df: DataFrame, profile: LanguageProfile, keys: list[str], text: str = "text",
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
-    """``df`` plus ``letters, has_cjk, valid, lang, prob``; ``keys`` must identify a row.
+    """``df`` plus ``letters, has_cjk, valid, lang, prob``.
 
     Validity is judged without ``#``, routing sees the stripped text with it. A text that
     holds no ``#`` is detected once for both. A null text is invalid.
     """
     stripped = py_strip(F.col(text))
     clean = cleaned_for_validity(F.col(text))
-    texts = F.when(stripped == clean, F.array(stripped)).otherwise(F.array(stripped, clean))
-    variants = df.select(*keys, F.posexplode(texts).alias("__variant", "__t"))
-    found = detect_language(variants, profile, [*keys, "__variant"], "__t", temperature)
-    per_row = found.groupBy(*keys).agg(
-        F.min_by("lang", "__variant").alias("lang"),
-        F.min_by("prob", "__variant").alias("prob"),
-        F.max_by("prob", "__variant").alias("__clean_prob"),
-    )
-    # Text work is done on the scan side, before the exchange of the join.
-    judged = df.withColumns(
+    # Only a text that reads otherwise without its marks is looked at again.
+    other = F.when(stripped != clean, clean)
+    judged = with_language(df, profile, {"__whole": stripped, "__clean": other}, temperature)
+    prob = F.when(stripped == clean, F.col("__whole.prob")).otherwise(F.col("__clean.prob"))
+    return judged.withColumns(
         {
             "letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"),
             "has_cjk": has_cjk(clean),
-            "__enough": enough_text(F.col(text)),
+            "lang": F.col("__whole.lang"),
+            "prob": F.col("__whole.prob"),
+            "valid": enough_text(F.col(text)) & (prob >= MIN_LANG_PROB),
         }
-    )
-    # The merge hint keeps Catalyst from broadcasting the text side by its compressed size.
-    return (
-        join_null_safe(judged, per_row, keys, hint="merge")
-        .withColumn("valid", F.col("__enough") & (F.col("__clean_prob") >= MIN_LANG_PROB))
-        .drop("__enough", "__clean_prob")
-    )
+    ).drop("__whole", "__clean")

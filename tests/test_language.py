@@ -1,3 +1,4 @@
+import dataclasses
 import math
 from collections import Counter
 
@@ -61,11 +62,28 @@ def test_trigrams_keep_surrogate_pairs_whole(spark):
     assert df.select(language.trigrams(F.col("t"))).first()[0] == [" 𠀀𠀁", "𠀀𠀁 "]
 
 
-def test_join_without_broadcast_gives_the_same(spark, small, monkeypatch):
+def test_parts_of_a_profile_give_the_same(spark, small, monkeypatch):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
     want = rows(language.detect_language(df, small, ["i"]), "i")
-    monkeypatch.setattr(language, "PROFILE_BROADCAST_ROWS", 3)
-    assert rows(language.detect_language(df, small, ["i"]), "i") == want
+    monkeypatch.setattr(language, "PROFILE_BYTES", 200)
+    monkeypatch.setattr(language, "SLICE", 10)
+    parted = dataclasses.replace(small)
+    assert rows(language.detect_language(df, parted, ["i"]), "i") == want
+    assert len(parted.scorers()) > 2
+
+
+def test_texts_are_scored_where_they_lie(spark, small):
+    """No join, no exchange and no row for a gram, also where a text is judged twice."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
+    for found in (language.detect_language(df, small, ["i"]), language.assess_captions(df, small, ["i"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in ("Join", "Exchange", "Generate", "Aggregate") if x in plan]
+
+
+def test_long_text_and_columns_of_the_same_name(spark, small):
+    df = spark.createDataFrame([(1, "the cat " * 200_000, "x", 5), (2, None, "y", 6)], "i int, text string, lang string, grams int")
+    got = rows(language.assess_captions(df, small, ["i"]).select("i", "grams", "lang", "valid"), "i")
+    assert got[0][:2] == (1, 5) and got[0][2] == model("the cat " * 200)[0] and got[1] == (2, 6, "en", False)
 
 
 def test_holdout_accuracy(spark, docs):
