@@ -146,3 +146,21 @@ def test_odd_vectors_are_left_out_or_refused(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0])], "id bigint, v array<double>")
     got = {(r.image_id, r.caption_id) for r in topk(df, df, 1).collect()}
     assert got == {(0, 0), (2, 2)} == {(r.image_id, r.caption_id) for r in topk(df, df, 1, resident_bytes=0).collect()}
+
+
+@pytest.mark.parametrize("bits", [1, 3, 14])
+@pytest.mark.parametrize("values", [[5], [1, 1, 1], [4, None, 2, 9], [0, 7, 7, 8, 8, 100], [None], [], [2**40, 3, 2**41, 2**40 + 1]])
+def test_lower_medians(spark, values, bits):
+    df = spark.createDataFrame([(v, None if v is None else 2 * v) for v in values], "a long, b long")
+    known = sorted(v for v in values if v is not None)
+    want = known[(len(known) - 1) // 2] if known else None
+    assert metrics.lower_medians(df, ["a", "b"], bits) == {"a": want, "b": None if want is None else 2 * want}
+
+
+def test_medians_of_many_ranks(spark):
+    """A million distinct ranks, one side reversed and one skewed: three passes of few counts each."""
+    n = 1_000_001
+    df = spark.range(n).select((F.lit(n) - F.col("id")).alias("i2t_rank"), F.when(F.col("id") % 3 == 0, F.col("id") + 1).otherwise(1).alias("t2i_rank"))
+    assert metrics.lower_medians(df, ["i2t_rank", "t2i_rank"], 8) == {"i2t_rank": (n + 1) // 2, "t2i_rank": 1}
+    row = metrics.retrieval_metrics(df).first()
+    assert row["i2t_MedR"] == (n + 1) // 2 and row["t2i_MedR"] == 1.0
