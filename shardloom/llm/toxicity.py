@@ -25,8 +25,6 @@ from shardloom.session import materialize
 
 # Labelled documents that the model is fitted on, at most about.
 LABELLED = 20_000
-# Words with a score of their own, by falling certainty; all others score 0 less the drift.
-WORDS = 50_000
 # The prior's documents for each word, the confidence bound in standard deviations, the drift per word.
 PRIOR, DEVIATIONS, DRIFT = 1.0, 2.0, 0.2
 # A passage counts from this expected number of equal ones by chance in its text.
@@ -103,7 +101,7 @@ def _labelled_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _counts(texts: DataFrame) -> tuple[list, int, int]:
-    """Frequent words with their counts in clean and toxic documents, and both totals."""
+    """All words with a score and their counts in clean documents, and both totals. The labelled texts bound their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -131,7 +129,7 @@ def _counts(texts: DataFrame) -> tuple[list, int, int]:
     rows = (
         counted.withColumns({"odds": odds, "spread": spread}).withColumn("score", sure)
         .filter("score <> 0 AND NOT isnan(score)")
-        .orderBy(F.desc(F.abs("score") / F.col("spread")), "word").limit(WORDS)
+        .orderBy(F.desc(F.abs("score") / F.col("spread")), "word")
         .select("word", "score", "clean").toArrow().to_pylist()
     )
     return rows, int(clean or 0), int(toxic or 0)
