@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import held_out, labelled, utf8
-from shardloom.session import broadcast_if_small, materialize
+from shardloom.session import materialize
 
 # Labelled documents that the fit takes at most about.
 LABELLED = 6_000
@@ -36,8 +36,6 @@ STEPS, REFIT_STEPS = 60, 12
 STEP, DAMP = 4.0, 1e-3
 # Steps of a logit that are told apart, and of a gradient that are summed.
 GRAIN, FIXED = 1 << 10, 1 << 24
-# Labelled ids that one broadcast may hold; more are joined by an exchange.
-BROADCAST_IDS = 1_000_000
 # Share of the labelled documents that calibrates.
 CALIBRATE = 0.25
 THRESHOLD = 0.5
@@ -318,7 +316,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
 
 
 def fit_features(features: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> QualityModel:
-    """Co-train on at most about ``most`` labelled documents outside the held-out part, and on all unlabelled ones there.
+    """Co-train on at most about ``most`` labelled documents outside the held-out part, and on all others there.
+
+    The others are the unlabelled documents and the labelled ones beyond the bound, whose labels are not looked at.
+    Rows without id are in neither part.
 
     Without labels of both kinds the model gives every document the share of good labels. Of a labelled
     document's repeated rows one teaches; unlabelled rows that repeat teach each by itself. ``features`` are scanned
@@ -339,11 +340,9 @@ def fit_features(features: DataFrame, labels: DataFrame, label: str = "quality",
         (rows.slice(0, split), y[:split]), (rows.slice(split), y[split:])
     ))
     weights = [_fit(v, y) for v in own]
-    known = broadcast_if_small(
-        labels.filter(F.col("doc_id").isNotNull() & F.col(label).cast("int").isin(0, 1)).select("doc_id").distinct(), BROADCAST_IDS
-    )
+    # Labelled documents beyond the bound are in the pool, without their labels.
     free = features.filter(F.col("doc_id").isNotNull() & ~F.col("held_out"))
-    pool = materialize(free.join(known, "doc_id", "left_anti").select("t", "m"), "pool")
+    pool = materialize(free.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti").select("t", "m"), "pool")
     n = pool.count()
     # In proportion, so that a round leaves the classes as the labels have them.
     share = tuple(max(1, int(EXCHANGED * n * s)) for s in (1 - rate, rate))
