@@ -32,7 +32,8 @@ _BUILT: dict[str, ahocorasick.Automaton] = {}
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``pattern, item_ids``: distinct windows, with the sorted ids of the items that hold each.
 
-    Items with null id or text, or without words, have no window.
+    Items with null text, or without words, have no window. Windows of an item without id count like any other; they
+    name no item.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 [pa.array(patterns, pa.binary()), pa.array(ids, pa.string())], names=["pattern", "item"]
             )
 
-    items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), utf8().alias("bytes"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8().alias("bytes"))
     return (
         items.mapInArrow(cut, "pattern binary, item string").distinct()
         .groupBy("pattern").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))

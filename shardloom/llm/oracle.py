@@ -16,14 +16,14 @@ ORACLE = {
     "op2_decontamination": f"""
         WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
         b AS (SELECT item, w, least(len(w), 13) AS n FROM (
-            SELECT cast(item_id AS varchar) AS item, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+            SELECT cast(item_id AS varchar) AS item, {_PLAIN} AS w FROM benchmark) WHERE len(w) > 0),
         pattern AS (SELECT DISTINCT item, n, x.p AS p FROM (SELECT item, n, {_windows('n')} AS x FROM b)),
         place AS (SELECT doc_id, n, x.i AS i, x.p AS p FROM (
             SELECT doc_id, n, {_windows('n')} AS x FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)),
         hit AS (SELECT doc_id, i, n, item FROM place JOIN pattern USING (n, p)),
         words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
-            FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+            FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",

@@ -101,14 +101,15 @@ def test_jaccard_repeated_and_null_ids(spark):
 
 @pytest.mark.parametrize("pattern_bytes", [1 << 24, 2000])
 def test_contamination(spark, pattern_bytes):
-    items = [(1, text(0, 8)), (2, "one"), (3, None), (4, "..."), (5, text(105, 30)), (10, text(0, 8)), (None, "one")]
+    items = [(1, text(0, 8)), (2, "one"), (3, None), (4, "..."), (5, text(105, 30)), (10, text(0, 8)), (None, "one"), (None, text(105, 18))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     patterns = collections.defaultdict(set)
     for i, t in items:
         w = word.findall(lower(t))
-        for k in range(max(len(w) - 13, 0) + 1) if w and i else ():
-            patterns[tuple(w[k : k + 13])].add(str(i))
+        for k in range(max(len(w) - 13, 0) + 1) if w else ():
+            # An item without id hits words, but names no item.
+            patterns[tuple(w[k : k + 13])].update([str(i)] if i else [])
     want = []
     for d, t in ODD:
         w, hit, found = word.findall(lower(t)), set(), set()
@@ -446,6 +447,30 @@ def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
     assert np.mean([r.predicted == (r.doc_id % 4 != 0) for r in got]) > 0.95
 
 
+def test_contamination_by_an_item_without_id(spark):
+    bench = spark.createDataFrame([(None, text(200, 14))], "item_id long, text string")
+    got = decontamination.contamination(frame(spark, [(1, f"before {text(200, 14)} after"), (2, text(300, 14))]), bench)
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert found == {1: (42, 0, hashlib.sha256(b"").hexdigest(), True), 2: (0, 0, hashlib.sha256(b"").hexdigest(), False)}
+
+
+def test_quality_pool_holds_labelled_rows_beyond_the_bound(spark, monkeypatch):
+    """Every document outside the held-out part either teaches by its label or is in the pool."""
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(400)], "doc_id long, quality int")
+    docs = frame(spark, [(i, text(i % 300, 20 + i % 20)) for i in range(500)])
+    counts, store = {}, quality.materialize
+
+    def counted(df, label):
+        out = store(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(quality, "materialize", counted)
+    quality.fit_quality(docs, labels, most=100)
+    assert 20 <= counts["marks"] < 200
+    assert counts["marks"] + counts["pool"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(500))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
