@@ -1,3 +1,4 @@
+import collections
 import io
 import json
 import os
@@ -11,7 +12,7 @@ from shardloom.catalog.queries import png
 from shardloom.operators import routing
 from shardloom.plans import training, translation
 from shardloom.session import qualified
-from shardloom.sources import images, lists, tables, tar
+from shardloom.sources import images, json_array, lists, tables, tar
 from shardloom.streaming.shards import stream_translate
 from tests.conftest import rows
 
@@ -257,8 +258,31 @@ def test_json_array(spark, tmp_path):
     assert rows(lists.read_json_array(spark, str(tmp_path / "c.json")), "caption_id") == list(enumerate(data))
 
 
-def test_json_array_must_be_one(spark, tmp_path):
-    (tmp_path / "c.json").write_text('["a","b"')
+ELEMENTS = ["", "plain", '"', "\\", '\\"', "\\\\", "[,]{}", 'a"],["b', "日本\n", None, "\\" * 9 + '"' * 3, "x" * 50, 7, 1.5, True, ["n", {"k": "],"}]]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1 << 20])
+def test_json_array_in_ranges_of_any_size(spark, tmp_path, size, monkeypatch):
+    monkeypatch.setattr(json_array, "ON_BYTES", 5)
+    monkeypatch.setattr(json_array, "BACK_BYTES", 2)
+    for name, data, indent in (("a", ELEMENTS, None), ("b", ELEMENTS[::-1] * 2, 1), ("c", [], None), ("d", [[]], None)):
+        (tmp_path / f"{name}.json").write_text(" \n" + json.dumps(data, indent=indent, ensure_ascii=name == "b") + "\n ")
+    (tmp_path / "e.json").write_text("")
+    got = collections.defaultdict(list)
+    found = json_array.array_elements(spark, str(tmp_path), size)
+    for r in found.orderBy("url", "id").collect():
+        assert r.id == len(got[r.url[-6]])
+        got[r.url[-6]].append(json.loads(r.json))
+    assert got == {"a": ELEMENTS, "b": ELEMENTS[::-1] * 2, "d": [[]]}
+
+
+@pytest.mark.parametrize("text", [
+    " ", '["a","b"', '["a"]]', '["a"] "b"', '"a"', '{"a": 1}', '["a",]', '[,"a"]', '["a",,"b"]', '["a"}', '["a"]["b"]', '["a" "b"]', '["a', '[["a"]', 'x["a"]',
+])
+def test_json_array_must_be_one(spark, tmp_path, text):
+    (tmp_path / "c.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        lists.read_json_array(spark, str(tmp_path / "c.json"), range_bytes=2).collect()
     with pytest.raises(Exception, match="(?i)malformed"):
         lists.read_json_array(spark, str(tmp_path / "c.json")).collect()
 
