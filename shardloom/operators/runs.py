@@ -132,10 +132,12 @@ def epoch_stats(epoch: int, train_loss: DataFrame, val_loss: DataFrame, metrics:
 
 def ema(
     df: DataFrame, by: str, order: str, value: str, alpha: float = EMA_ALPHA, name: str = "ema",
-    chunk: int = CHUNK,
+    chunk: int = CHUNK, start: DataFrame | None = None,
 ) -> DataFrame:
     """Running smoothed value per step: the first as it is, then ``(1-a)*old + a*new``.
 
+    ``start`` (``by, smooth``, a row per run) holds what runs had come to before; these go on from there.
+
     Inside a chunk the recurrence is a weighted running sum. The chunk length keeps the
     weights far from overflow. Chunk ends are chained on a table with one row per chunk. A null value
     is an error, as no smoothed value follows from it.
@@ -160,10 +162,15 @@ def ema(
     )
 
     ends = ends.select("__chunk.run", "__chunk.piece", "n", "inc", "first")
+    if start is None:
+        ends = ends.withColumns({"smooth": F.lit(0.0), "on": F.lit(False)})
+    else:
+        earlier = start.select(F.col(by).alias("run"), F.col("smooth").cast("double").alias("smooth"), F.lit(True).alias("on"))
+        ends = join_null_safe(ends, earlier, ["run"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece")
-        carry, out = float(pdf["first"].iloc[0]), []
+        carry, out = float(pdf["smooth" if pdf["on"].iloc[0] else "first"].iloc[0]), []
         for n, inc in zip(pdf["n"], pdf["inc"]):
             out.append(carry)
             carry = w**n * carry + inc

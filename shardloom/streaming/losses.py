@@ -2,47 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from shardloom.operators.runs import EMA_ALPHA
+from shardloom.operators.ordering import join_null_safe
+from shardloom.operators.runs import EMA_ALPHA, ema
 
 
 def stream_ema(
-    df: DataFrame, by: str = "run", order: str = "step", value: str = "loss", alpha: float = EMA_ALPHA
-) -> DataFrame:
-    """``by, step, ema`` for a stream of steps.
-
-    State per run is the last step and its smoothed value. A step that is not newer than
-    the last one is dropped, so a repeated file changes nothing. A task holds two numbers
-    per new step of a run; ``maxFilesPerTrigger`` of the source bounds that. A stored
-    history of any length is the work of ``operators.runs.ema``.
+    steps: DataFrame, out_path: str, checkpoint: str, by: str = "run", order: str = "step", value: str = "loss",
+    alpha: float = EMA_ALPHA,
+) -> StreamingQuery:
+    """Smooth a stream of steps into the Parquet table ``by, order, ema``, one folder ``batch=N`` per micro-batch.
+
+    A stretch of steps is a map ``x -> a*x + b`` of the value before it. The steps of a batch are cut into stretches that
+    tasks work out on their own, and only the stretches are chained, so a batch may hold any number of steps of one run. Carried over are
+    the last step and value of each run, a table beside the checkpoint: batch N reads that of batch N-1 and writes
+    the other of two, so a batch that is run again gives the same. A step that is not newer than the run's last one is dropped; so is a
+    step without number; of a step that repeats inside a batch the smaller value counts. A null value is an error.
     """
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, smooth = state.get if state.exists else (None, None)
-        parts = [(f[order].to_numpy(np.int64), f[value].to_numpy(np.float64)) for f in frames]
-        found = np.concatenate([p[0] for p in parts])
-        losses = np.concatenate([p[1] for p in parts])
-        # Rows of one key arrive in several Arrow frames in no order.
-        rank = np.argsort(found, kind="stable")
-        steps, values = [], []
-        for step, x in zip(found[rank].tolist(), losses[rank].tolist()):
-            if last is not None and step <= last:
-                continue
-            smooth = x if smooth is None else (1.0 - alpha) * smooth + alpha * x
-            last = step
-            steps.append(step)
-            values.append(smooth)
-        if last is not None:
-            state.update((last, smooth))
-        yield pd.DataFrame({by: [key[0]] * len(steps), order: steps, "ema": values})
-
-    return df.groupBy(by).applyInPandasWithState(
-        advance, f"{by} string, {order} bigint, ema double", "last bigint, smooth double",
-        "append", GroupStateTimeout.NoTimeout,
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    state = f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, ema double"
+    work = f"{checkpoint.rstrip('/')}-ema"
+
+    def handle(part: DataFrame, batch: int) -> None:
+        spark = part.sparkSession
+
+        def stored(path: str, schema=state) -> DataFrame:
+            return spark.read.schema(schema).parquet(path)
+
+        last = stored(f"{work}/state-{(batch - 1) % 2}") if batch else spark.createDataFrame([], state)
+        new = part.filter(F.col(order).isNotNull()).groupBy(by, order).agg(F.min(value).alias(value))
+        met = join_null_safe(new, last.select(by, F.col(order).alias("__last")), [by], "left")
+        fresh = met.filter(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).select(by, order, value)
+        fresh.write.mode("overwrite").parquet(f"{work}/steps")
+        fresh = stored(f"{work}/steps", fresh.schema)
+        done = ema(fresh, by, order, value, alpha, start=last.select(by, F.col("ema").alias("smooth")))
+        done.select(by, order, "ema").write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
+        both = last.unionByName(stored(f"{out_path}/batch={batch}"))
+        now = both.groupBy(by).agg(F.max(order).alias(order), F.max_by("ema", order).alias("ema"))
+        now.write.mode("overwrite").parquet(f"{work}/state-{batch % 2}")
+
+    return (
+        steps.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
