@@ -116,14 +116,19 @@ def _open(url: str, start: int = 0):
             yield tar
 
 
-def _cuts(url: str, length: int, split_bytes: int) -> list[int]:
-    """Sample starts at which a tar is cut. A broken tail ends the list and is met again on read."""
-    cuts, stem = [0], None
+def _cuts(url: str, length: int, split_bytes: int, start: int = 0, most: int | None = None) -> list[int]:
+    """Sample starts at which a tar is cut, from ``start`` on, up to the first that is ``most`` bytes on.
+
+    A broken tail ends the list and is met again on read.
+    """
+    cuts, stem = [start], None
     try:
-        with _open(url) as tar:
+        with _open(url, start) as tar:
             for info, this, _ in _members(tar, length):
                 if this != stem and info.offset - cuts[-1] >= split_bytes:
                     cuts.append(info.offset)
+                    if most is not None and info.offset - start >= most:
+                        break
                 stem = this
     except (tarfile.TarError, EOFError):
         pass

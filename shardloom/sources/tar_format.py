@@ -11,6 +11,12 @@ without a schema all members come as ``fields``. Members not asked for are passe
 choose tars before any is opened, and filters on ``key`` choose samples by their headers, before a byte of them is read.
 Options: ``split_bytes``, and ``on_error`` (``skip`` keeps what a damaged tar gives before the damage, ``fail`` stops).
 
+**Streaming.** ``spark.readStream.format("shards").option("log", qualified(spark, folder))`` gives every sample of tars that are in the folder
+or arrive there. A batch takes about ``batch_bytes``, and may end inside a tar. Each batch's parts of tars are an entry of the log, written before the
+batch begins, and an offset counts entries; a stream that is started again goes on behind the last entry. Tars must be
+complete when they appear under their name, and a log belongs to one stream. Tars are known by name: one that is put
+there again under the name of one that was removed may be read again. Filters are not pushed down.
+
 **Writing.** Each task writes tars of about ``split_bytes`` under a private folder; nothing of it is a tar of the output until the
 driver commits, which moves them to ``<prefix>-<partition>-<number>.tar``. An aborted job leaves no tar. Rows are
 ``key`` and ``fields``, or ``key`` and a column for each member. A key that would not read back, or that
@@ -20,6 +26,7 @@ follows itself in a task, is an error. Mode ``append`` adds tars; ``overwrite``
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import tarfile
 import uuid
@@ -31,7 +38,8 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith,
+    WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StringType, StructType
@@ -42,6 +50,10 @@ from shardloom.sources.tar import BATCH_BYTES, BATCH_ROWS, MEMBER, SAMPLE_SCHEMA
 FORMAT = "shards"
 HEADER_COLUMNS = ("url", "part", "offset", "key", "source")
 _PRIVATE = "_writing"
+# Bytes of tars in a batch of a stream, about.
+BATCH_SPLITS_BYTES = 16 * SPLIT_BYTES
+# Entries of a stream's log after which one names how far every tar has come.
+SUMMARY_EVERY = 50
 
 
 def register_shards(spark: SparkSession) -> None:
@@ -78,6 +90,9 @@ class Shards(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ShardReader(dict(self.options), schema)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return ShardStreamReader(dict(self.options), schema)
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return ShardWriter(dict(self.options), schema, overwrite)
 
@@ -171,6 +186,97 @@ class ShardReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, kind)
 
 
+class ShardStreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str], schema: StructType):
+        if "log" not in options:
+            raise ValueError("a stream of shards needs the option log, a folder of its own")
+        self.shards = ShardReader(options, schema)
+        self.log = options["log"].rstrip("/")
+        locate(self.log)
+        self.batch_bytes = int(options.get("batch_bytes", BATCH_SPLITS_BYTES))
+        # Entries written, and the end and the number of parts of each tar that was begun.
+        self.entries: int | None = None
+        self.begun: dict[str, tuple[int, int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"entries": None, "begun": {}}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"entries": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """Write the parts of the next batch to the log, if there are any, and count the entries."""
+        if self.entries is None:
+            self._recall()
+        tars = _tars(self.shards.path)
+        known: dict[str, str] | None = None
+        parts, taken = [], 0
+        for url, size in tars:
+            at, number = self.begun.get(url, (0, 0))
+            if at >= size:
+                continue
+            left = self.batch_bytes - taken
+            if left <= 0:
+                break
+            if known is None:
+                known = _sources(url.rsplit("/", 1)[0])
+            step = min(self.shards.split_bytes, left)
+            cuts = [at] if size - at <= step else _cuts(url, size, step, at, left)
+            ends = cuts[1:] if cuts[-1] - at >= left else [*cuts[1:], size]
+            source = known.get(url.rsplit("/", 1)[1], url)
+            parts += [(url, number + i, a, b, source) for i, (a, b) in enumerate(zip(cuts, ends))]
+            taken += ends[-1] - at
+            self.begun[url] = (ends[-1], number + len(ends))
+        if parts:
+            entry: dict = {"parts": parts}
+            if (self.entries + 1) % SUMMARY_EVERY == 0:
+                there = {url for url, _ in tars}
+                self.begun = {url: far for url, far in self.begun.items() if url in there}
+                entry["begun"] = self.begun
+            self._write(self.entries, entry)
+            self.entries += 1
+        return {"entries": self.entries}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        return [Split(*part) for n in range(start["entries"], end["entries"]) for part in self._read(n)["parts"]]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        return self.shards.read(partition)
+
+    def _place(self, n: int) -> tuple[pafs.FileSystem, str]:
+        store, root = locate(self.log)
+        return store, posixpath.join(root, f"{n:012d}.json")
+
+    def _recall(self) -> None:
+        """How far the log has come: from the last summary, and the entries behind it."""
+        store, root = locate(self.log)
+        store.create_dir(root, recursive=True)
+        names = {i.base_name for i in store.get_file_info(pafs.FileSelector(root))}
+        n = 0
+        while f"{n:012d}.json" in names:
+            n += 1
+        self.entries, self.begun = n, {}
+        low = n // SUMMARY_EVERY * SUMMARY_EVERY
+        if low:
+            self.begun = {url: (at, number) for url, (at, number) in self._read(low - 1)["begun"].items()}
+        for k in range(low, n):
+            for url, number, _, to, _ in self._read(k)["parts"]:
+                self.begun[url] = (to, number + 1)
+
+    def _read(self, n: int) -> dict:
+        store, path = self._place(n)
+        with store.open_input_file(path) as file:
+            return json.loads(file.read())
+
+    def _write(self, n: int, entry: dict) -> None:
+        """An entry is there as a whole or not at all."""
+        store, path = self._place(n)
+        private = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(private) as out:
+            out.write(json.dumps(entry).encode())
+        store.move(private, path)
+
+
 class ShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite

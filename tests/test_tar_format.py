@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from shardloom.session import qualified
 from shardloom.sources.tar import read_shards, write_shards
-from shardloom.sources.tar_format import ShardReader, checked_key, register_shards
+from shardloom.sources.tar_format import ShardReader, ShardStreamReader, checked_key, register_shards
 
 
 @pytest.fixture
@@ -109,3 +109,56 @@ def test_an_aborted_write_leaves_no_tar(spark, folder, bad):
 def test_keys():
     for key in ("a", "a/b", "a.b/c", "_x"):
         checked_key(key)
+
+
+def streamed(spark, shards, folder, log, offsets, batch_bytes):
+    """One start of a stream, which takes a batch and is stopped."""
+    register_shards(spark)
+    read = spark.readStream.format("shards").schema("url string, offset bigint, key string, txt string, part int")
+    samples = read.option("log", qualified(spark, log)).option("batch_bytes", batch_bytes).load(shards)
+    run = samples.writeStream.format("parquet").option("checkpointLocation", offsets).trigger(availableNow=True).start(folder)
+    run.awaitTermination()
+
+
+def test_stream_gives_every_sample_once_after_restarts_inside_a_tar(spark, shards, tmp_path, monkeypatch):
+    monkeypatch.setattr("shardloom.sources.tar_format.SUMMARY_EVERY", 2)
+    out, log, offsets = (str(tmp_path / n) for n in ("out", "log", "offsets"))
+    counts = []
+    for _ in range(5):
+        streamed(spark, shards, out, log, offsets, 110_000)
+        counts.append(spark.read.parquet(out).count())
+    # A batch is smaller than a tar; and batches of three tars are more than one.
+    assert 0 < counts[0] < 20 and counts == sorted(counts)
+    more = [("late.tar", f"n{i}", {"txt": b"x" * 2_000}) for i in range(30)]
+    write_shards(spark.createDataFrame(more, "url string, key string, fields map<string,binary>"), str(tmp_path / "new"))
+    os.rename(tmp_path / "new" / "late.tar", os.path.join(shards.removeprefix("file:"), "a-late.tar"))
+    for _ in range(5):
+        streamed(spark, shards, out, log, offsets, 110_000)
+    got = spark.read.parquet(out)
+    want = spark.read.format("shards").schema("url string, offset bigint, key string, txt string").load(shards)
+    order = ["url", "offset", "key", "txt"]
+    assert got.count() == want.count() == 90
+    assert sorted(map(str, got.select(order).collect())) == sorted(map(str, want.select(order).collect()))
+    assert got.select("url", "part").distinct().count() > 4
+
+
+def test_stream_log(spark, shards, tmp_path, monkeypatch):
+    """A reader that starts anew finds where the last one was, with and without a summary."""
+    monkeypatch.setattr("shardloom.sources.tar_format.SUMMARY_EVERY", 3)
+    schema = StructType([StructField("key", StringType())])
+    options = {"path": shards, "log": qualified(spark, str(tmp_path / "log")), "batch_bytes": "30000"}
+    found, last = [], 0
+    while True:
+        reader = ShardStreamReader(options, schema)
+        end = reader.latestOffset()
+        if end["entries"] == last:
+            break
+        assert end["entries"] == last + 1
+        parts = reader.partitions({"entries": last}, end)
+        assert sum(p.end - p.start for p in parts) < 60_000
+        found += [(p.url, p.part, r["key"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        last = end["entries"]
+    assert last > 6 and sorted(k for _, _, k in found) == [f"k{i:03d}" for i in range(60)]
+    assert reader.latestOffset() == {"entries": last} and reader.partitions({"entries": last}, {"entries": last}) == []
+    with pytest.raises(ValueError, match="log"):
+        ShardStreamReader({"path": shards}, schema)
