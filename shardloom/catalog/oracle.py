@@ -239,6 +239,24 @@ def padded(x: str, width: str) -> str:
     return f"array_to_string(list_concat({x}, list_transform(range(greatest({width} - len({x}), 0)), lambda i: '[PAD]')), ' ')"
 
 
+B_NOT = B.replace("[", "[^", 1)
+
+
+def ids(t: str, n: int) -> str:
+    return f"array_to_string(list_concat(list_transform({t}[1:{n}], lambda x: length(x)), list_transform(range(greatest({n} - len({t}), 0)), lambda x: 0)), ' ')"
+
+
+BUFFER = """
+placed AS (SELECT doc_id, source, coalesce(source, '') AS shard, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+  count(*) OVER (PARTITION BY source) AS n FROM documents),
+slots AS (SELECT *, CASE WHEN i < 250 THEN i ELSE cast('0x' || substr(md5('7:' || shard || ':' || i), 1, 8) AS bigint) % 250 END AS slot FROM placed),
+taken AS (SELECT *, lead(i) OVER (PARTITION BY source, slot ORDER BY i) AS taken_by FROM slots),
+given AS (SELECT doc_id, source, md5('7:' || shard) AS shard_order, CASE WHEN taken_by IS NOT NULL THEN taken_by - 250
+  ELSE n - least(n, 250) + row_number() OVER (PARTITION BY source, taken_by IS NULL ORDER BY md5('7:' || shard || ':end:' || slot), slot) - 1 END AS position
+  FROM taken)
+"""
+
+
 KINDS = "['Lora_A', 'lora_B', 'bias', 'proj.LORA_UP', 'weight'][label % 5 + 1]"
 AUDIT = f"""
 named AS (
@@ -336,7 +354,15 @@ ORACLE: dict[str, str] = {
         WHEN 1 THEN '{"big": 12345678901234567890123456789012345678901234' || doc_id || ', "caption_en": "new ' || doc_id || '"}'
         WHEN 2 THEN '{"x": {"y": [1, 2.5, null, true]}, "caption": "é' || doc_id || '", "caption_en": "new ' || doc_id || '"}'
         ELSE '{"k": ' || doc_id || ', "caption": "a", "caption_en": "new ' || doc_id || '"}' END AS json FROM documents""",
-    "json_array_file": """SELECT row_number() OVER (ORDER BY source) - 1 AS caption_id, source AS caption FROM (SELECT DISTINCT source FROM documents)""",
+    "json_array_file": """SELECT doc_id // 2000 AS slot, row_number() OVER (PARTITION BY doc_id // 2000 ORDER BY doc_id) - 1 AS caption_id,
+        text AS caption FROM documents""",
+    "buffer_shuffle": f"WITH {BUFFER} SELECT doc_id, source, shard_order, position FROM given",
+    "encode_tokens": rf"""SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 128 THEN regexp_extract(text, '^{B}*({B_NOT}+{B}+){{0,127}}{B_NOT}+') ELSE text END AS kept,
+        {ids('t', 128)} AS ids, {ids('t', 64)} AS caption_ids, repeat('1', least(len(t), 64)) || repeat('0', 64 - least(len(t), 64)) AS caption_mask
+        FROM (SELECT doc_id, text, regexp_extract_all(text, '{B_NOT}+') AS t FROM documents)""",
+    "run_summary": f"""WITH {STOPPING}, best AS (SELECT run, min_by(epoch, (val_loss, epoch)) AS epoch, min(val_loss) AS val_loss FROM history GROUP BY run)
+        SELECT run, stop_epoch, epoch, metric, CASE WHEN metric = 'val_loss' THEN round(val_loss, 6) END AS value FROM best JOIN stops USING (run),
+        (SELECT unnest(['val_loss', {", ".join("'" + m.replace("_at_", "@") + "'" for m in METRIC_NAMES)}]) AS metric)""",
     "line_list": rf"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS caption_id, line AS caption FROM (
         SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {strip("regexp_replace(text, '[\r\n]+', ' ', 'g')")} END AS line FROM documents)
         WHERE line <> ''""",
@@ -362,4 +388,4 @@ ORACLE: dict[str, str] = {
 }
 
 # Another way to the same samples.
-ORACLE["shards_by_format"] = ORACLE["shard_roundtrip"]
+ORACLE["shards_by_format"] = ORACLE["stream_shards"] = ORACLE["shard_roundtrip"]

@@ -20,8 +20,8 @@ from shardloom.functions import captions as cap
 from shardloom.functions.hashing import split_score
 from shardloom.functions.json import json_object, json_string, set_json_string
 from shardloom.functions.text import safe_caption
+from shardloom.functions.tokens import CAPTION_TOKENS, TRANSLATION_TOKENS, encoded_column, whitespace_tokens
 from shardloom.functions.tokens import pad_tokens as pad
-from shardloom.functions.tokens import whitespace_tokens
 from shardloom.operators import coverage, dataset, language, metrics, predict, routing, runs
 from shardloom.operators.similarity import paired_score as paired
 from shardloom.operators.translate import encode
@@ -35,6 +35,11 @@ from shardloom.streaming import shards as shard_stream
 LOSS_BATCH, LOSS_SCALE, LOSS_BIAS = 32, 10.0, -10.0
 SCORE_SCALE, SCORE_BIAS = 2.0, -1.0
 TRAIN_BATCH = 16
+# Documents of a JSON array, and bytes of a range of it.
+ARRAY_DOCS, ARRAY_RANGE = 2_000, 1 << 18
+# Bytes of a batch, and of a part, of the stream of tars.
+STREAM_BATCH, STREAM_PART = 64 << 20, 4 << 20
+SHUFFLE_SEED = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -325,6 +330,38 @@ def pad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a buffer of the validation size gives out the documents of each source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    piece = F.floor(F.col("doc_id") / 100_000)
+    return dataset.buffer_shuffle(d, ["doc_id"], piece, dataset.VAL_BUFFER, "source", SHUFFLE_SEED)
+
+
+def blank_tokenizer() -> Callable[[list[str]], list[tuple[list[int], list[int]]]]:
+    """Stand-in tokenizer: runs between blanks, with their lengths as ids."""
+    run = re.compile(r"[^\s]+")
+
+    def tokenize(texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        found = [list(run.finditer(t)) for t in texts]
+        return [([m.end() - m.start() for m in ms], [m.end() for m in ms]) for ms in found]
+
+    return tokenize
+
+
+@query
+def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as ids and mask of fixed length: cut to what a model takes for translation, and to a caption in training."""
+    long = encoded_column(blank_tokenizer, TRANSLATION_TOKENS)(F.col("text"))
+    short = encoded_column(blank_tokenizer, CAPTION_TOKENS)(F.col("text"))
+    both = table(spark, sf_dir, "documents").select("doc_id", long.alias("a"), short.alias("b"))
+    return both.select(
+        "doc_id", F.col("a.n_tokens").alias("n_tokens"), F.col("a.kept").alias("kept"),
+        F.array_join(F.col("a.ids").cast("array<string>"), " ").alias("ids"), F.array_join(F.col("b.ids").cast("array<string>"), " ").alias("caption_ids"),
+        F.array_join(F.col("b.mask").cast("array<string>"), "").alias("caption_mask"),
+    )
+
+
 # Loss and checks
 
 
@@ -404,6 +441,14 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs.metric_report(runs.best_epoch(stats)), "value")
 
 
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run, where it would have stopped and the report of its best epoch; metrics that were not taken are null."""
+    stops, report = evaluation.summarize_run(epoch_history(spark, sf_dir))
+    value = F.nanvl("value", F.lit(None)).alias("value")
+    return report.join(stops, "run").select("run", "stop_epoch", "epoch", "metric", value)
+
+
 @query
 def ema_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = loss_steps(spark, sf_dir).select("run", "step", "loss")
@@ -628,11 +673,17 @@ def json_array_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of all documents as one file with one JSON array."""
-    path = scratch_path(spark, "array")
-    names = table(spark, sf_dir, "documents").agg(F.to_json(F.sort_array(F.collect_set("source"))).alias("value"))
-    names.write.text(path)
-    return lists.read_json_array(spark, path)
+    """The texts of all documents in files that hold one JSON array each, an element a line; ranges are shorter than files."""
+    path = scratch_path(spark, "arrays")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / ARRAY_DOCS).alias("slot"), F.to_json(F.array("text")).alias("one"))
+    here = Window.partitionBy("slot")
+    begin = F.when(F.row_number().over(here.orderBy("doc_id")) == 1, "[").otherwise(",")
+    end = F.when(F.row_number().over(here.orderBy(F.desc("doc_id"))) == 1, "]").otherwise("")
+    line = F.concat(begin, F.expr("substring(one, 2, length(one) - 2)"), end).alias("value")
+    lines = d.select("slot", "doc_id", line).sortWithinPartitions("slot", "doc_id")
+    lines.select("slot", "value").write.partitionBy("slot").text(path)
+    read = lists.read_json_array(spark, path, file_col="file", range_bytes=ARRAY_RANGE)
+    return read.select(F.regexp_extract("file", "slot=([0-9]+)", 1).cast("bigint").alias("slot"), "caption_id", "caption")
 
 
 @query
@@ -762,12 +813,8 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
         steps.filter(part).select("run", "step", "loss").write.mode("append").parquet(path)
         stream = spark.readStream.schema("run string, step bigint, loss double").parquet(path)
-        run = (
-            losses.stream_ema(stream).writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", offsets).trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
-    return rounded(spark.read.parquet(out), "ema")
+        losses.stream_ema(stream, out, offsets).awaitTermination()
+    return rounded(spark.read.parquet(out).select("run", "step", "ema"), "ema")
 
 
 def queries() -> dict[str, Query]:
@@ -789,3 +836,20 @@ def shards_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("jpg").cast("bigint").alias("jpg_bytes"), F.octet_length("png").cast("bigint").alias("png_bytes"),
         json_string(json_object(F.col("json")), "caption").alias("caption"),
     )
+
+
+@query
+def stream_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of tars as a stream, a bounded number of bytes a batch, written as a table."""
+    register_shards(spark)
+    out, offsets = scratch_path(spark, "streamed"), scratch_path(spark, "offsets")
+    read = spark.readStream.format("shards").schema("source string, key string, jpg binary, png binary, json string, txt string")
+    options = {"log": qualified(spark, scratch_path(spark, "log")), "batch_bytes": STREAM_BATCH, "split_bytes": STREAM_PART, "on_error": "fail"}
+    samples = read.options(**options).load(qualified(spark, stored_shards(spark, sf_dir)))
+    run = samples.writeStream.format("parquet").option("checkpointLocation", offsets).start(out)
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.parquet(out).select(
+        shard_name("source").alias("shard"), "key", "txt", F.octet_length("jpg").cast("bigint").alias("jpg_bytes"),
+        F.octet_length("png").cast("bigint").alias("png_bytes"), json_string(json_object(F.col("json")), "caption").alias("caption"),
+    )

@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardloom.functions.hooks import held
 from shardloom.functions.text import BLANKS, py_strip
 
+# Tokens of a text that a translation model takes, and of a caption in training.
+TRANSLATION_TOKENS = 128
+CAPTION_TOKENS = 64
+
+# Texts to, of each text, its token ids and the ends of the tokens in code points.
+Tokenizer = Callable[[list[str]], list[tuple[list[int], list[int]]]]
+
+
+def encoded_column(load_tokenizer: Callable[[], Tokenizer], length: int, pad_id: int = 0) -> Callable[[Column], Column]:
+    """Column function of a text: ``ids`` and ``mask`` of exactly ``length``, ``n_tokens`` before the cut, and ``kept``.
+
+    ``kept`` is the text up to the end of the last token that is left, the whole text if none is cut off. The mask has 1 for a token and 0
+    for padding. Of a null text all are null. A worker process loads the tokenizer once. Only the text crosses into Python.
+    """
+    if length < 1:
+        raise ValueError("the length must be positive")
+    hook = uuid.uuid4().hex
+
+    @F.pandas_udf("ids array<int>, mask array<int>, n_tokens bigint, kept string")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokenize = held((hook, ""), load_tokenizer)
+        for texts in batches:
+            out: list = [(None, None, None, None)] * len(texts)
+            there = [i for i, text in enumerate(texts) if text is not None]
+            for i, (ids, ends) in zip(there, tokenize([texts.iloc[i] for i in there]), strict=True):
+                if len(ids) != len(ends):
+                    raise ValueError("a tokenizer gives as many ends as ids")
+                n, text = min(len(ids), length), texts.iloc[i]
+                out[i] = (
+                    [*ids[:n], *[pad_id] * (length - n)], [1] * n + [0] * (length - n), len(ids),
+                    text[: ends[n - 1]] if len(ids) > length else text,
+                )
+            yield pd.DataFrame(out, columns=["ids", "mask", "n_tokens", "kept"], index=texts.index)
+
+    return call
+
 
 def whitespace_tokens(c: Column) -> Column:
     """Stand-in tokenizer: split on blanks. Any array column can take its place."""

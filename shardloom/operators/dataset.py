@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.captions import has_image
@@ -13,6 +13,10 @@ from shardloom.operators.ordering import hash_buckets, number_rows
 TRAIN_RATIO = 0.95
 BATCH_SIZE = 256
 
+# Slots of the shuffle buffer in training and in validation.
+TRAIN_BUFFER = 1000
+VAL_BUFFER = 250
+
 # Pieces in which the rows of a shard are numbered.
 BUCKETS = 256
 
@@ -52,6 +56,40 @@ def shuffle(df: DataFrame, key: str = "key", seed: int = 0, partitions: int | No
     return moved.sortWithinPartitions(digest)
 
 
+def buffer_shuffle(
+    df: DataFrame, order: list, bucket: Column, size: int = TRAIN_BUFFER, partition: str = "url", seed: int = 0
+) -> DataFrame:
+    """Add ``shard_order`` and ``position``: the order in which a buffer of ``size`` slots gives out each shard's rows.
+
+    The first ``size`` rows of a shard, by ``order``, fill the slots. Each further row takes the slot drawn for it, and the row that was
+    there is given out; in the end the slots are given out in drawn order. Shards come by ``shard_order``.
+    A draw depends on the seed, the shard and the row's place in it, so the buffer need not be replayed: a row is
+    given out when the next row is drawn to its slot, which is a window over one slot of one shard. ``bucket`` cuts
+    shards into pieces that one task numbers, see ``number_rows``. Hand in keys and places only; payload would move with them. Ties of
+    ``order`` leave the places of the tied rows open.
+    """
+    if size < 1:
+        raise ValueError("the buffer needs a slot")
+    shard = F.coalesce(F.col(partition).cast("string"), F.lit(""))
+
+    def drawn(*what: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), shard, *what).cast("binary"))
+
+    rows = number_rows(df, [partition], order, bucket, "__at", "__n")
+    at = F.col("__at") - 1
+    number = F.conv(F.substring(drawn(at.cast("string")), 1, 8), 16, 10).cast("bigint")
+    rows = rows.withColumn("__slot", F.when(at < size, at).otherwise(number % size))
+    slot = Window.partitionBy(partition, "__slot").orderBy("__at")
+    rows = rows.withColumn("__next", F.lead("__at").over(slot))
+    gone = rows.filter("__next IS NOT NULL").withColumn("position", F.col("__next") - 1 - size)
+    # At most ``size`` rows of a shard are left in the slots.
+    end = Window.partitionBy(partition).orderBy(drawn(F.lit("end"), F.col("__slot").cast("string")), "__slot")
+    first = F.col("__n") - F.least(F.col("__n"), F.lit(size))
+    held = rows.filter("__next IS NULL").withColumn("position", first + F.row_number().over(end) - 1)
+    both = gone.unionByName(held).withColumn("position", F.col("position").cast("bigint"))
+    return both.withColumn("shard_order", drawn()).drop("__at", "__n", "__slot", "__next")
+
+
 def assign_batches(
     df: DataFrame, size: int = BATCH_SIZE, key: str = "key", partition: str = "url",
     seed: int = 0, drop_last: bool = False, tie: list[str] | None = None, buckets: int = BUCKETS,

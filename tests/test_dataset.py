@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -6,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.catalog.inputs import derive_samples
+from shardloom.functions.tokens import encoded_column
 from shardloom.operators import dataset
+from shardloom.operators.translate import translate
 from shardloom.plans import evaluation, submission, training
 from shardloom.streaming.losses import stream_ema
 from tests.conftest import rows
@@ -101,8 +104,7 @@ def test_stream_ema_survives_restarts_and_old_steps(spark, tmp_path):
 
     def feed(data):
         spark.createDataFrame(data, schema).write.mode("append").parquet(path)
-        stream = stream_ema(spark.readStream.schema(schema).parquet(path))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+        stream_ema(spark.readStream.schema(schema).parquet(path), out, offsets).awaitTermination()
 
     feed([("a", 1, 2.0), ("a", 0, 1.0), ("b", 0, 7.0)])
     feed([("a", 2, 3.0), ("a", 1, 50.0)])
@@ -110,3 +112,72 @@ def test_stream_ema_survives_restarts_and_old_steps(spark, tmp_path):
     got = {(r.run, r.step): r.ema for r in spark.read.parquet(out).collect()}
     assert set(got) == {("a", 0), ("a", 1), ("a", 2), ("b", 0)}
     assert got[("a", 2)] == pytest.approx(1.29) and got[("b", 0)] == 7.0
+
+
+def test_stream_ema_goes_on_like_the_stored_history(spark, tmp_path):
+    """One run with all rows in batches of many stretches; repeated steps, a null run and a batch of old steps only."""
+    path, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    schema = "run string, step bigint, loss double"
+    data = [("a", i, float(i * 7 % 13)) for i in range(20_000)] + [(None, i, float(i)) for i in range(50)]
+    for lo, hi in ((0, 9_000), (9_000, 20_000), (5_000, 6_000)):
+        part = [r for r in data if lo <= r[1] < hi]
+        spark.createDataFrame(part + part[:100], schema).write.mode("append").parquet(path)
+        stream_ema(spark.readStream.schema(schema).parquet(path), out, offsets).awaitTermination()
+    got = {(r.run, r.step): r.ema for r in spark.read.parquet(out).collect()}
+    assert len(got) == spark.read.parquet(out).count() == len(data)
+    smooth = {}
+    for run, step, x in data:
+        smooth[run] = 0.9 * smooth[run] + 0.1 * x if run in smooth else x
+        assert got[(run, step)] == pytest.approx(smooth[run], rel=1e-9)
+
+
+def replayed(ids, shard, size, seed):
+    """The buffer as it runs, row by row."""
+    digest = lambda *what: hashlib.md5(":".join([str(seed), shard, *map(str, what)]).encode()).hexdigest()
+    slots, out = [], []
+    for i, row in enumerate(ids):
+        if i < size:
+            slots.append(row)
+        else:
+            k = int(digest(i)[:8], 16) % size
+            out.append(slots[k])
+            slots[k] = row
+    return out + [slots[k] for k in sorted(range(len(slots)), key=lambda k: digest("end", k))]
+
+
+@pytest.mark.parametrize("size,parts", [(1, 1), (10, 3), (100, 2), (5_000, 4)])
+def test_buffer_shuffle_equals_the_buffer(spark, size, parts):
+    shards = {"a": 700, "b": 100, "c": 1, None: 37}
+    data = [(s, 3 * i) for s, n in shards.items() for i in range(n)]
+    df = spark.createDataFrame(data, "url string, place bigint").repartition(parts)
+    got = dataset.buffer_shuffle(df, ["place"], F.floor(F.col("place") / 64), size, seed=5).collect()
+    assert len(got) == len(data)
+    for shard, n in shards.items():
+        rows_of = sorted((r.position, r.place) for r in got if r.url == shard)
+        assert [p for p, _ in rows_of] == list(range(n))
+        assert [x for _, x in rows_of] == replayed([3 * i for i in range(n)], shard or "", size, 5)
+    assert len({r.shard_order for r in got}) == 4
+    empty = dataset.buffer_shuffle(df.limit(0), ["place"], F.col("place"), size)
+    assert empty.count() == 0
+
+
+def test_tokens_are_cut_and_padded_to_a_fixed_length(spark):
+    def load():
+        def tokenize(texts):
+            found = [list(re.finditer(r"\S+", t)) for t in texts]
+            return [([len(m[0]) for m in ms], [m.end() for m in ms]) for ms in found]
+
+        return tokenize
+
+    df = spark.createDataFrame([(0, "a bb  ccc dddd "), (1, "é  "), (2, ""), (3, None)], "id bigint, t string")
+    got = rows(df.select("id", encoded_column(load, 3, -1)(F.col("t")).alias("x")).select("id", "x.*"), "id")
+    assert got == [
+        (0, [1, 2, 3], [1, 1, 1], 4, "a bb  ccc"), (1, [1, -1, -1], [1, 0, 0], 1, "é  "), (2, [-1] * 3, [0] * 3, 0, ""), (3, None, None, None, None)
+    ]
+    # A model is given what the cap leaves, and identity rows stay whole.
+    routed = spark.createDataFrame(
+        [(0, "a b c d", True, "m", False), (1, "a b c d", True, "", True), (2, "x", False, "m", False)],
+        "id bigint, text string, valid boolean, model string, is_identity boolean",
+    )
+    done = translate(routed, lambda name: lambda texts: [t.upper() for t in texts], cap=(load, 2))
+    assert [r.translation for r in done.orderBy("id").collect()] == ["A B", "a b c d", ""]
