@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +70,22 @@ def labelled(labels: DataFrame, column: str, most: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     )
     return bounded_rows(rows, "doc_id", most)
+
+
+def give_back() -> None:
+    """Return memory that this worker holds but does not use; a worker lives on for tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def gives_back(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same scan; at its end the worker gives back memory."""
+
+    @wraps(scan)
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        give_back()
+
+    return run

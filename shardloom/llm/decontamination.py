@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import PLAIN_WORDS, utf8
+from shardloom.llm.common import PLAIN_WORDS, gives_back, utf8
 from shardloom.session import materialize
 
 WINDOW = 13
@@ -36,6 +36,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     name no item.
     """
 
+    @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             patterns, ids = [], []
@@ -146,6 +147,7 @@ def _scan(rows: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
 
     key = uuid.uuid4().hex
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, shared)
         for batch in batches:

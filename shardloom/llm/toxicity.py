@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import PLAIN_WORDS, held_out, labelled, utf8
+from shardloom.llm.common import PLAIN_WORDS, gives_back, held_out, labelled, utf8
 from shardloom.session import materialize
 
 # Labelled documents that the model is fitted on, at most about.
@@ -103,6 +103,7 @@ def _labelled_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def _counts(texts: DataFrame) -> tuple[list, int, int]:
     """All words with a score and their counts in clean documents, and both totals. The labelled texts bound their number."""
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
@@ -182,6 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     model, decay = {bytes(r["word"]): r["score"] for r in rows}, _decay(rows, clean)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -241,6 +243,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
         ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())
     ]))
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
