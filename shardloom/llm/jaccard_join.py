@@ -20,14 +20,14 @@ are worked out:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import utf8
+from shardloom.llm.common import gives_back, utf8
 from shardloom.llm.components import connected_components
 from shardloom.llm.shingles import in_slices, mix, shingle_sets
 from shardloom.session import broadcast_if_small, materialize
@@ -39,6 +39,8 @@ LEADERS = 3
 FREQUENT = 1 << 20
 # A column with more rows than the first is set aside, cut by the second, and the cuts are multiplied in pairs.
 LONG, CUT = 2048, 512
+# Pairs that a block holds before it passes on their counts.
+HELD_PAIRS = 1 << 18
 # Ids, with a component each, that one broadcast may hold; more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 
@@ -58,6 +60,7 @@ def _rows(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 def class_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, leaders``: size, 128-bit digest and min-hashes of each row's set."""
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _rows(batch, width)
@@ -76,21 +79,42 @@ def class_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, items`` (sorted 64-bit hashes as bytes) of the documents that ``ids`` (column ``id``) names."""
+def _bitmap(s: np.ndarray) -> bytes:
+    """Which places the items of a set fall into, of a power of two of places, at least four for an item."""
+    bits = max(6, (4 * len(s)).bit_length())
+    places = np.zeros(1 << bits, bool)
+    places[(mix(s) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(places).tobytes()
 
+
+def _most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """How many items two sets of sizes ``nx, ny`` share at the most, by their bitmaps.
+
+    A place that only one set has holds an item that the other has not.
+    """
+    one, two = (np.unpackbits(np.frombuffer(v, np.uint8)).view(bool) for v in (x, y))
+    size = min(len(one), len(two))
+    # Places go by the first bits of a hash, so neighbours become one place of the shorter map.
+    one, two = (v.reshape(size, -1).any(1) for v in (one, two))
+    return min(nx - int((one & ~two).sum()), ny - int((two & ~one).sum()))
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame, width: int, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``id, n, items`` (size and ``form`` of the sorted 64-bit hashes) of the documents that ``ids`` (column ``id``) names."""
+
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in _rows(batch, width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sets, pa.binary())], names=["id", "items"]
-            )
+            sets = _rows(batch, width)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([form(s) for s in sets], pa.binary()),
+            ], names=["id", "n", "items"])
 
     wanted = docs.select(F.col("doc_id").alias("id"), utf8().alias("bytes")).join(
         broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi"
     )
     # Rows may repeat an id with another text; one text, the same in every attempt, stands for the id.
-    return wanted.mapInArrow(scan, "id long, items binary")
+    return wanted.mapInArrow(scan, "id long, n long, items binary")
 
 
 def frequent_columns(docs: DataFrame, width: int, most: int = FREQUENT) -> np.ndarray:
@@ -100,6 +124,7 @@ def frequent_columns(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nd
     is ordered among the rare ones, which costs time, not results.
     """
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets in in_slices(_rows(batch, width)):
@@ -122,6 +147,7 @@ def _leading(docs: DataFrame, width: int, pct: int, frequent: np.ndarray) -> Dat
     order = np.argsort(frequent, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
@@ -149,6 +175,7 @@ def _leading(docs: DataFrame, width: int, pct: int, frequent: np.ndarray) -> Dat
 def _postings(leading: DataFrame) -> DataFrame:
     """``c, id, n, rest, comp``: each leading column of each row, and how many columns of the row follow it."""
 
+    @gives_back
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leads = [np.frombuffer(x, _SIGNED) for x in batch.column("columns").to_pylist()]
@@ -175,9 +202,13 @@ def _candidates(postings: DataFrame, pct: int, long_rows: int) -> DataFrame:
     gets a whole long column.
     """
 
+    @gives_back
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_columns(batches, long_rows):
-            yield table if isinstance(table, pa.RecordBatch) else _product(table, pct)
+            if isinstance(table, pa.RecordBatch):
+                yield table
+            else:
+                yield from _product(table, pct)
 
     first = materialize(postings.repartition("c").sortWithinPartitions("c").mapInArrow(multiply, _PAIR), "product")
     far = first.filter("long_column").select(
@@ -195,6 +226,7 @@ def _candidates(postings: DataFrame, pct: int, long_rows: int) -> DataFrame:
         ))
     )
 
+    @gives_back
     def multiply_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
             yield from _cell_products(table, pct)
@@ -250,21 +282,25 @@ def _set_aside(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     ], names=["long_column", "a", "b", "shared", "na", "nb", "rest"])
 
 
-def _product(rows: dict[str, np.ndarray], pct: int) -> pa.RecordBatch:
-    """Overlap counts of the pairs in whole columns."""
+def _product(rows: dict[str, np.ndarray], pct: int) -> Iterator[pa.RecordBatch]:
+    """Overlap counts of the pairs in whole columns, some of them in several parts."""
     c, comp = rows["c"], rows["comp"]
     edges = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     mixed = np.minimum.reduceat(comp, edges) < np.maximum.reduceat(comp, edges)
     live = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[edges, len(c)])))
     c, ids, n, rest, comp = (rows[k][live] for k in ("c", "id", "n", "rest", "comp"))
     # Every row with the one 1, 2, ... places further on, as long as the column is the same.
-    out, at, step = [], np.arange(len(c)), 1
+    out, size, at, step = [], 0, np.arange(len(c)), 1
     while len(at):
         at = at[at + step < len(c)]
         at = at[c[at] == c[at + step]]
         out.append(_reaching(at, at + step, ids, n, rest, comp, pct))
+        size += out[-1].shape[1]
+        if size > HELD_PAIRS:
+            yield _summed(out)
+            out, size = [], 0
         step += 1
-    return _summed(out)
+    yield _summed(out)
 
 
 def _reaching(x, y, ids, n, rest, comp, pct: int) -> np.ndarray:
@@ -316,7 +352,7 @@ def _cell_products(table: pa.Table, pct: int) -> Iterator[pa.RecordBatch]:
             x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
         out.append(_reaching(x + lo, y + lo, ids, n, rest, comp, pct))
         size += out[-1].shape[1]
-        if size > 1 << 18:
+        if size > HELD_PAIRS:
             yield _summed(out)
             out, size = [np.empty((6, 0), np.int64)], 0
     yield _summed(out)
@@ -339,11 +375,21 @@ def _summed(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, pct: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole rows reach the bound."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_with_sets(docs, ids, width), "sets")
+    """The pairs ``a, b`` whose whole rows reach the bound.
+
+    First bitmaps of the rows are compared, which take a sixteenth of the bytes and rule out only pairs that cannot reach it.
+    """
 
+    @gives_back
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "nx", "y", "ny"))):
+                most = _most_shared(x, nx, y, ny)
+                keep.append(most > 0 and 100 * most >= pct * (nx + ny - most))
+            yield _kept(batch, keep)
+
+    @gives_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -353,17 +399,31 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, pct: int) -> DataFram
                 at = np.minimum(np.searchsorted(two, one), max(len(two) - 1, 0))
                 both = int((two[at] == one).sum()) if len(two) and len(one) else 0
                 keep.append(both > 0 and 100 * both >= pct * (len(one) + len(two) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
-            )
+            yield _kept(batch, keep)
+
+    pairs = materialize(pairs, "pairs")
+    for form, scan in ((_bitmap, possible), (np.ndarray.tobytes, compare)):
+        joined = _with_rows(docs, pairs, width, form)
+        # Rows that repeat an id give a pair several times.
+        pairs = materialize(joined.mapInArrow(scan, "a long, b long").distinct(), "pairs")
+    return pairs
+
 
+def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+
+def _with_rows(docs: DataFrame, pairs: DataFrame, width: int, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``a, b, nx, x, ny, y``: pairs with size and ``form`` of both rows."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(_of_ids(docs, ids, width, form), "sets")
     # Few pairs go to the rows, so only one side of each pair moves.
-    first = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    first = sets.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("items").alias("x"))
     joined = first.join(broadcast_if_small(pairs, BROADCAST_IDS), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
+        sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("items").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "nx", "x", "ny", "y")
 
 
 def jaccard_components(
@@ -396,7 +456,7 @@ def jaccard_components(
         groups.join(materialize(leader, "leaders"), ["turn", "key"]).filter((F.col("class_id") != F.col("a")) & fits)
         .select("a", F.col("class_id").alias("b")).distinct()
     )
-    near = materialize(_linked(docs, stars, width, pct), "near")
+    near = _linked(docs, stars, width, pct)
     label = connected_components(near)
     known = materialize(
         classes.select(F.col("class_id").alias("id")).join(label, "id", "left")
@@ -408,7 +468,7 @@ def jaccard_components(
     )
     found = _linked(docs, _candidates(_postings(leading.select("id", "n", "columns", "comp")), pct, long_rows), width, pct)
     whole = materialize(
-        connected_components(near.unionByName(materialize(found, "found"))).withColumnRenamed("id", "class_id"),
+        connected_components(near.unionByName(found)).withColumnRenamed("id", "class_id"),
         "components",
     )
     member = rows.join(classes.select(*by_set, "class_id"), by_set, "left").join(whole, "class_id", "left")

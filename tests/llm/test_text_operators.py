@@ -481,3 +481,23 @@ def test_empty_tables(spark):
         quality.score_quality(none, quality.fit_quality(none, labels)), packing.pack(none),
     ):
         assert df.count() == 0
+
+
+def test_bitmaps_rule_out_no_pair_that_links():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 15, 16, 17, 200, 3_000):
+        for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+            base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            both = int(n * share)
+            one, two = base[:n], base[n - both : 2 * n - both + n % 3 - 1]
+            most = jaccard_join._most_shared(jaccard_join._bitmap(one), len(one), jaccard_join._bitmap(two), len(two))
+            assert min(len(one), len(two)) >= most >= len(np.intersect1d(one, two))
+            if n > 100 and share <= 0.5:
+                assert most < 0.75 * n
+
+
+def test_product_in_parts_gives_the_same_links(spark, monkeypatch):
+    docs = frame(spark, [(i, text(i % 40, 20) + f" {i}") for i in range(300)])
+    want = rows(jaccard_join.jaccard_components(docs))
+    monkeypatch.setattr(jaccard_join, "HELD_PAIRS", 10)
+    assert rows(jaccard_join.jaccard_components(docs)) == want
