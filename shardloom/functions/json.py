@@ -75,12 +75,45 @@ def _encodes(text: str) -> bool:
     return True
 
 
+# Blanks that JSON allows around a value.
+_BLANKS = " \t\n\r"
+
+
+def _open_object(c: Column, key: str) -> Column:
+    """True where the text is one JSON object of distinct keys that lacks ``key`` and writes nothing as ``\\u``.
+
+    Spark's readers of keys and lengths stop at the end of a value and do not ask what follows. As the only element of
+    an array and as the only field of an object the text must be read whole: what ends one of them early breaks the other.
+    They also take single quotes and control characters in strings, which the variant's parser refuses.
+    """
+    keys = F.json_object_keys(c)
+    whole = (F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1) & (
+        F.json_object_keys(F.concat(F.lit('{"x":'), c, F.lit("}"))) == F.array(F.lit("x"))
+    )
+    distinct = (F.size(F.array_distinct(keys)) == F.size(keys)) & ~F.array_contains(keys, key)
+    return F.coalesce(~c.contains("\\u") & ~c.startswith("\ufeff") & distinct & whole & F.try_parse_json(c).isNotNull(), F.lit(False))
+
+
+def _appended(c: Column, key: str, value: Column) -> Column:
+    """The object's own text with one more key before its end."""
+    inner = F.rtrim(c, F.lit(_BLANKS))
+    inner = F.rtrim(F.left(inner, F.length(inner) - 1), F.lit(_BLANKS))
+    comma = F.when(F.size(F.json_object_keys(c)) > 0, ", ").otherwise("")
+    text = F.to_json(F.array(value))
+    text = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.concat(inner, comma, F.lit(json.dumps(key, ensure_ascii=False) + ": "), text, F.lit("}"))
+
+
 def set_json_string(c: Column, key: str, value: Column) -> Column:
     """JSON text with ``key`` set to ``value`` and every other key kept.
 
     A null ``value`` leaves the text untouched. Absent or malformed JSON turns into an
     object that holds this key alone. Numbers of any length, ``NaN`` and the order of the keys stay, which a
-    variant cannot hold; so texts with a value to set are rewritten in Arrow batches.
+    variant cannot hold. An object that lacks the key keeps its own text, and the key is written before its end without
+    leaving the JVM. Only the rest is parsed and written anew in Arrow batches: texts that have the key already or any
+    key twice, ``\\u`` escapes, ``NaN``, malformed texts.
     """
-    changed = F.when(value.isNotNull(), c)
-    return F.when(value.isNull(), c).otherwise(_put(changed, F.lit(key), value))
+    short = _open_object(c, key)
+    rest = value.isNotNull() & ~short
+    anew = _put(F.when(rest, c), F.lit(key), F.when(rest, value))
+    return F.when(value.isNull(), c).when(short, _appended(c, key, value)).otherwise(anew)

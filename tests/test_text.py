@@ -169,3 +169,56 @@ def test_json_keeps_what_a_variant_cannot_hold(spark):
     read = lambda c: json_string(json_object(c), "caption")
     assert one(spark, '{"a":NaN,"b":[-Infinity],"caption":"NaN, \\"NaN\\""}', read) == 'NaN, "NaN"'
     assert one(spark, '{"caption":NaN}', read) is None and one(spark, '{"caption":"a",NaN}', read) is None
+
+
+# Texts that are, or only look like, one object.
+OBJECTS = [
+    "{}", " {\n} \t", '{"a":1}', '{ "a" : [1, {"k": 2}] , "b":"}" }\n', '{"a":1} junk', '{"a":1}}', '{"a":1},{"b":2}', '{"a":1}] [{"b":2}',
+    '{"a":1},"y":{}}', '{"a":1}, "x":{"b":2}', '{"a":1,}', '{"a":01}', '{"a":"\\ud800"}', '{"\\u006b":1,"a":2}', '{"k":"old","a":1}', '{"a":1,"a":2}',
+    '{"a":NaN}', '{"a":"x\ty"}', "\ufeff{}", '{"a":"\ufeff"}', '{"a":1e400,"b":-0.0}', '{"a":"\\/\\"\\\\"}', '{"a":' + "[" * 1200 + "]" * 1200 + "}",
+    '{"a":"' + "x" * 100_000 + '"}', "\u00a0{}", '{"日":"é\u2028"}', "{'a':1}", '{"a":1}/**/', '{"a":tru}', "", " ", None,
+]
+
+
+def test_set_json_string_reads_as_python_does(spark):
+    """Whichever way a text goes, the result reads as if Python had parsed it, set the key and written it."""
+    values = ["v", "", 'q"\\ \n\x01日\u2028\U0001f600', None]
+    cases = [(i, t, v) for i, (t, v) in enumerate((t, v) for t in OBJECTS for v in values)]
+    df = spark.createDataFrame(cases, "i int, t string, v string")
+    got = dict(rows(df.select("i", set_json_string(F.col("t"), "k", F.col("v")))))
+    for i, t, v in cases:
+        if v is None:
+            assert got[i] == t
+            continue
+        try:
+            whole = json.loads(t)
+        except (TypeError, ValueError, RecursionError):
+            whole = {}
+        whole = whole if isinstance(whole, dict) else {}
+        want = json.dumps({**whole, "k": v})
+        found = json.loads(got[i], object_pairs_hook=lambda pairs: pairs)
+        assert len({name for name, _ in found}) == len(found), t
+        assert json.dumps(json.loads(got[i])) == want, t
+
+
+def test_set_json_string_stays_on_the_jvm_for_plain_objects(spark):
+    from pyspark.sql.types import StringType
+
+    from shardloom.functions import json as own
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(StringType())
+    def counted(text, key, value):
+        calls.add(int(value.notna().sum()))
+        return own._put.func(text, key, value)
+
+    df = spark.createDataFrame([('{"a":1}',)] * 40 + [('{"k":1}',)] * 3, "t string")
+    kept = own._put
+    counted_put, own._put = counted, None
+    try:
+        own._put = counted_put
+        out = rows(df.select(set_json_string(F.col("t"), "k", F.lit("v"))))
+    finally:
+        own._put = kept
+    assert calls.value == 3 and sorted(set(out)) == [('{"a":1, "k": "v"}',), ('{"k": "v"}',)]
