@@ -279,6 +279,10 @@ def letter(c: str) -> str:
 
 NORM8 = "sqrt(" + " + ".join(f"{letter(c)} * {letter(c)}" for c in "abcdefgh") + ")"
 
+LINES = rf"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS caption_id, line AS caption FROM (
+        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {strip("regexp_replace(text, '[\r\n]+', ' ', 'g')")} END AS line FROM documents)
+        WHERE line <> ''"""
+
 ORACLE: dict[str, str] = {
     "retrieval_metrics": f"WITH {RANKS} SELECT {ROUNDED_METRICS} FROM (SELECT {METRICS} FROM ranks)",
     "retrieval_ranks": f"WITH {RANKS} SELECT * FROM ranks",
@@ -307,6 +311,7 @@ ORACLE: dict[str, str] = {
     "route_groups": f"""WITH {PROFILE}, {assess('documents', 'text')}
         SELECT model, count(*) AS n, (count(*) + 63) // 64 AS n_batches FROM routed WHERE valid AND NOT is_identity GROUP BY model""",
     "translate_samples": f"WITH {TRANSLATED} SELECT key, translation, caption_en, n FROM shown",
+    "translate_dealt": f"WITH {TRANSLATED} SELECT key, translation, caption_en, n FROM shown",
     "translate_shards": f"WITH {TRANSLATED} SELECT url AS shard, key, caption_en, n FROM shown",
     "stream_translate_shards": f"WITH {TRANSLATED} SELECT url AS shard, key, caption_en, n FROM shown",
     "stream_translate": f"WITH {TRANSLATED} SELECT key, translation, caption_en, n FROM shown",
@@ -324,6 +329,8 @@ ORACLE: dict[str, str] = {
     "pad_tokens": f"""WITH {TOKENS} SELECT doc_id, len(c) AS n_cut, len(t) AS n_tokens,
         {padded('c', 'w')} AS longest, {padded('t', '128')} AS fixed FROM wide""",
     "batch_loss": f"WITH {LOSS} SELECT batch, round(loss, 6) AS loss, n FROM losses",
+    "pair_loss": f"""WITH {PAIRS}, p AS (SELECT i AS id, s * exp(2.0::double) - 1 AS x FROM sim WHERE i = j)
+        SELECT id, round(greatest(x, 0::double) - x + ln(1 + exp(-abs(x))), 6) AS loss FROM p""",
     "mean_loss": f"WITH {LOSS} SELECT round(avg(loss), 6) AS mean_loss, count(*) AS n_batches FROM losses",
     "alignment_check": f"""WITH {PAIRS} SELECT round(avg(raw) FILTER (WHERE i = j) * exp(2.0::double), 6) AS diag,
         round(avg(raw) FILTER (WHERE i <> j) * exp(2.0::double), 6) AS off FROM sim""",
@@ -363,9 +370,14 @@ ORACLE: dict[str, str] = {
     "run_summary": f"""WITH {STOPPING}, best AS (SELECT run, min_by(epoch, (val_loss, epoch)) AS epoch, min(val_loss) AS val_loss FROM history GROUP BY run)
         SELECT run, stop_epoch, epoch, metric, CASE WHEN metric = 'val_loss' THEN round(val_loss, 6) END AS value FROM best JOIN stops USING (run),
         (SELECT unnest(['val_loss', {", ".join("'" + m.replace("_at_", "@") + "'" for m in METRIC_NAMES)}]) AS metric)""",
-    "line_list": rf"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS caption_id, line AS caption FROM (
-        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {strip("regexp_replace(text, '[\r\n]+', ' ', 'g')")} END AS line FROM documents)
-        WHERE line <> ''""",
+    "line_list": LINES,
+    "submission_from_lists": f"""WITH lines AS ({LINES}),
+        t AS (SELECT caption_id, length(caption) % 11 AS n FROM lines),
+        best AS (SELECT w, caption_id, row_number() OVER (PARTITION BY w ORDER BY round((w * n + (7 - w) * (10 - n))
+          / sqrt(w * w + (7 - w) * (7 - w)) / sqrt(n * n + (10 - n) * (10 - n)), 6) DESC, caption_id) AS r FROM (SELECT unnest(range(2, 7)) AS w), t),
+        listed AS (SELECT w, string_agg(cast(caption_id AS varchar), '-' ORDER BY caption_id) AS class_ids FROM best WHERE r <= 5 GROUP BY w)
+        SELECT u.image_id, coalesce(class_ids, '') AS class_ids FROM (SELECT unnest(range((SELECT max(doc_id) + 1 FROM documents))) AS image_id) u
+        LEFT JOIN documents ON doc_id = u.image_id AND doc_id % 29 <> 0 AND doc_id % 13 <> 0 LEFT JOIN listed ON w = 2 + doc_id % 5""",
     "image_paths": f"SELECT doc_id AS image_id, '/data/imgs/' || {KEY} || '.png' AS path FROM documents",
     "json_array_list": """SELECT doc_id, i - 1 AS caption_id, l[i] AS caption FROM
         (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",

@@ -26,6 +26,7 @@ from shardloom.operators import coverage, dataset, language, metrics, predict, r
 from shardloom.operators.similarity import paired_score as paired
 from shardloom.operators.translate import encode
 from shardloom.plans import evaluation, training, translation
+from shardloom.plans.submission import submission_from_lists as lists_to_submission
 from shardloom.session import broadcast_if_small, materialize, prepare, qualified, scratch_path
 from shardloom.sources import images, lists, submissions, tables, tar
 from shardloom.sources.tar_format import register_shards
@@ -263,6 +264,17 @@ def translate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translated_view(done)
 
 
+@query
+def translate_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same translations with the rows dealt to tasks by the characters that the models are given."""
+    narrow = samples(spark, sf_dir).select("doc_id", "key", "json", "txt")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    done = translation.translate_samples(
+        narrow, profile_of(spark, sf_dir), routing.routes(spark), stand_in_model, ["doc_id"], deal=tasks
+    )
+    return translated_view(done)
+
+
 def translated_view(done: DataFrame) -> DataFrame:
     parsed = json_object(F.col("new_json"))
     return done.select(
@@ -375,6 +387,11 @@ def batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.batch_loss(*loss_batches(spark, sf_dir), LOSS_SCALE, LOSS_BIAS), "loss")
 
 
+@query
+def pair_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.pair_loss(*embedding_pairs(spark, sf_dir), SCORE_SCALE, SCORE_BIAS), "loss")
+
+
 @query
 def mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.mean_loss(metrics.batch_loss(*loss_batches(spark, sf_dir), LOSS_SCALE, LOSS_BIAS)), "mean_loss")
@@ -645,15 +662,19 @@ def translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_lines(spark: SparkSession, sf_dir: str) -> str:
     """Documents as padded text lines, every tenth of them blank."""
     path = scratch_path(spark, "lines")
     line = F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).otherwise(
         F.concat(F.lit("  "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit(" \t"))
     )
     table(spark, sf_dir, "documents").orderBy("doc_id").select(line.alias("value")).write.text(path)
-    return lists.read_line_list(spark, path, "caption_id", "caption")
+    return path
+
+
+@query
+def line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.read_line_list(spark, stored_lines(spark, sf_dir), "caption_id", "caption")
 
 
 @query
@@ -741,6 +762,26 @@ def unreadable_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.unreadable_images(spark, *stored_images(spark, sf_dir)).select("image_id")
 
 
+def pixel_encoder() -> Callable[[list[bytes]], np.ndarray]:
+    """Stand-in encoder of decoded pictures two pixels high: by their width."""
+    return lambda pixels: np.array([[len(p) // 6, 7 - len(p) // 6] for p in pixels], dtype=np.float32)
+
+
+def length_encoder() -> Callable[[list[str]], np.ndarray]:
+    """Stand-in encoder of captions: by their length."""
+    return lambda texts: np.array([[len(t) % 11, 10 - len(t) % 11] for t in texts], dtype=np.float32)
+
+
+@query
+def submission_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a list of image files and a list of caption lines to a submission; unreadable pictures keep an empty row."""
+    listed, folder = stored_images(spark, sf_dir)
+    pictures = images.read_images(spark, listed, folder).select("image_id", F.col("image.data").alias("image"))
+    lines = lists.read_line_list(spark, stored_lines(spark, sf_dir), "caption_id", "caption")
+    num_images = listed.agg(F.coalesce(F.max("image_id") + 1, F.lit(0))).first()[0]
+    return lists_to_submission(pictures, lines, pixel_encoder, length_encoder, num_images, 5)
+
+
 @query
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed, folder = stored_images(spark, sf_dir)

@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.functions.vectors import l2_norm, l2_normalize
-from shardloom.operators.similarity import better_counts, better_counts_of, block_sums, joined_pairs, scored_pairs
+from shardloom.functions.vectors import bce_logits, l2_norm, l2_normalize, logits
+from shardloom.operators.similarity import (
+    better_counts, better_counts_of, block_sums, joined_pairs, paired_score, scored_pairs,
+)
 from shardloom.session import materialize
 
 # Recall cut-offs reported after an epoch.
@@ -85,6 +87,12 @@ def retrieval_metrics(ranks: DataFrame, ks: tuple[int, ...] = RECALL_KS) -> Data
     return ranks.agg(*aggs)
 
 
+def pair_loss(images: DataFrame, texts: DataFrame, logit_scale: float = 0.0, bias: float = 0.0) -> DataFrame:
+    """``id, loss``: what the true pair itself adds to the loss, as a per-sample diagnosis; no pairs of others are formed."""
+    score = logits(F.col("score"), logit_scale, bias)
+    return paired_score(images, texts).select("id", bce_logits(score, F.lit(1.0)).alias("loss"))
+
+
 def batch_loss(images: DataFrame, texts: DataFrame, scale: float, bias: float = 0.0,
                lane_rows: int = 4096) -> DataFrame:
     """``batch, loss, n``: mean binary cross entropy over all pairs of each batch.

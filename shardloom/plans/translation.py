@@ -21,16 +21,15 @@ from shardloom.sources.tar import (
 def translate_samples(
     samples: DataFrame, profile: LanguageProfile, table: DataFrame, load_model: Callable[[str], TextModel],
     keys: list[str], default: str = "m_default", spread: int | None = None,
-    cap: tuple[Callable[[], Tokenizer], int] | None = None,
+    cap: tuple[Callable[[], Tokenizer], int] | None = None, deal: int | None = None,
 ) -> DataFrame:
     """``json, txt`` samples with ``caption, translation, new_json`` in their place.
 
-    ``keys`` must identify a sample; a single number is the cheapest, because it goes with
-    every trigram. Other columns stay. Samples without a usable caption pass through with a
-    null translation and unchanged JSON, in the same pass.
+    ``keys`` must identify a sample. Other columns stay. Samples without a usable caption pass through with a
+    null translation and unchanged JSON, in the same pass. ``spread`` or ``deal`` regroup the narrow rows for the models.
     """
     narrow = samples.withColumn("caption", caption_for_translation(F.col("json"), F.col("txt"))).drop("txt")
-    done = translate_captions(narrow, profile, table, load_model, keys, "caption", default, spread=spread, cap=cap)
+    done = translate_captions(narrow, profile, table, load_model, keys, "caption", default, spread=spread, cap=cap, deal=deal)
     translation = F.when(F.col("caption").isNotNull(), F.col("translation"))
     return done.withColumn("translation", translation).select(
         *[c for c in narrow.columns if c != "json"], "translation",

@@ -133,11 +133,11 @@ def upper_model(name):
     return run
 
 
-@pytest.mark.parametrize("spread", [None, 3])
-def test_translate_micro_batches_and_order(spark, spread):
+@pytest.mark.parametrize("spread,deal", [(None, None), (3, None), (None, 5)])
+def test_translate_micro_batches_and_order(spark, spread, deal):
     data = [(i, f" t{i} ", i % 7 != 0, ["m_a", "m_b", "m_blank", ""][i % 4], i % 4 == 3) for i in range(40)]
     df = spark.createDataFrame(data, "i int, text string, valid boolean, model string, is_identity boolean")
-    got = dict(rows(translate.translate(df, upper_model, batch=2, spread=spread, spread_by=["i"]).select("i", "translation")))
+    got = dict(rows(translate.translate(df, upper_model, batch=2, spread=spread, spread_by=["i"], deal=deal).select("i", "translation")))
     for i, text, valid, model_name, identity in data:
         want = "" if not valid or model_name == "m_blank" else text.strip() if identity else f"{model_name}:{text.strip()}"
         assert got[i] == want
@@ -206,3 +206,31 @@ def test_a_worker_loads_a_model_once(spark, tmp_path):
     assert translate(df.repartition(40), load).filter("translation = 't'").count() == 200
     loads = [name.rsplit("-", 1)[0] for name in os.listdir(folder)]
     assert len(loads) == len(set(loads))
+
+
+def test_cost_is_dealt_evenly_whatever_the_routes(spark):
+    """One model with nine tenths of the rows and the longest texts; nulls and repeated texts are dealt too."""
+    cost = F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise(F.when(F.col("id") % 10 < 9, F.col("id") % 700).otherwise(3))
+    model = F.when(F.col("id") % 10 < 9, "m_hot").when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("m"), (F.col("id") % 50).cast("string")))
+    df = spark.range(20_000).select("id", model.alias("model"), cost.alias("cost"), F.lit("x").alias("__text"))
+    dealt = translate.deal_by_cost(df, 16, F.col("cost"), by=["id"])
+    assert dealt.columns == df.columns and dealt.rdd.getNumPartitions() == 16
+    got = rows(dealt.select(F.spark_partition_id(), "id", "model", "cost"))
+    assert sorted(r[1] for r in got) == list(range(20_000))
+    paid, models = [0] * 16, [set() for _ in range(16)]
+    for task, _, name, c in got:
+        paid[task] += (c or 0) + 1
+        models[task].add(name)
+    assert max(paid) <= 2 * min(paid)
+    assert sum(len(m) == 1 for m in models) >= 13
+    order = [(r[2] or "", -(r[3] or 0)) for r in got if r[0] == 15]
+    assert order == sorted(order)
+
+
+def test_deal_of_nothing_of_ties_and_of_one_row(spark):
+    df = spark.createDataFrame([("m", 5)] * 30, "model string, cost int")
+    assert translate.deal_by_cost(df, 4, F.col("cost")).count() == 30
+    assert translate.deal_by_cost(df.limit(1), 4, F.col("cost")).count() == 1
+    assert translate.deal_by_cost(df.filter("false"), 4, F.col("cost")).count() == 0
+    with pytest.raises(ValueError):
+        translate.deal_by_cost(df, 0, F.col("cost"))
