@@ -9,12 +9,16 @@ parts, so a lost executor leaves no half file, and any file system that Spark wr
 from __future__ import annotations
 
 import json
+import re
+import string
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,8 +31,8 @@ LAYOUT = ((240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7)
 SINGLE, ESCAPE = 14, 15
 END_ID = 2
 BLOCK_IDS, RUN_IDS = 1 << 16, 1 << 14
-# Texts encoded together, and distinct words whose ids a worker remembers.
-TEXTS, MEMORY = 256, 500_000
+# Bytes of texts encoded together, and distinct words whose ids a worker remembers, and as many of the filling up before.
+TEXT_BYTES, MEMORY = 4 << 20, 300_000
 
 
 def encode_words(ids: np.ndarray) -> np.ndarray:
@@ -49,8 +53,9 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
         narrow = width <= bits
         if count > n or np.count_nonzero(narrow) < count:
             continue
-        wide = np.r_[0, np.cumsum(~narrow)]
-        selector[: n - count + 1][wide[count:] == wide[:-count]] = s
+        wide = np.zeros(n + 1, np.int32)
+        np.cumsum(~narrow, dtype=np.int32, out=wide[1:])
+        np.copyto(selector[: n - count + 1], np.uint8(s), where=wide[count:] == wide[:-count])
     step = np.array([c for c, _ in LAYOUT] + [1], np.int64)[selector].tolist()
     starts, at = [], 0
     while at < n:
@@ -117,46 +122,93 @@ def _by_parts(tokenizer: Tokenizer) -> bool:
     )
 
 
+# Byte-level tokenizers write a byte as a character: a printable one as itself, the others, in order, as those from 256 on.
+HIDDEN_BYTES = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(HIDDEN_BYTES)}
+# Latin letters, which end before U+0250, as such a tokenizer writes them.
+LATIN_END = 0x250
+LATIN_LETTERS = {chr(i): chr(i).encode().decode("latin-1").translate(BYTE_LETTERS) for i in range(LATIN_END)}
+# Plain marks but those that special tokens are written with.
+MARKS = "".join(c for c in string.punctuation if c not in "<|>")
+# A word of Latin letters, without the one that becomes two characters in lower case, and the marks behind.
+PLAIN_PART = (
+    r"^(?P<word>[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+)"
+    rf"(?P<marks>[{re.escape(MARKS)}]*)$"
+)
+
+
+class _Parts(dict):
+    """Ids, as bytes, of the parts of texts between blanks; what is not known is tokenised when it is asked for.
+
+    A word of Latin letters in lower case is one piece for the tokenizer, so its model takes it as it is, without
+    normalising and splitting. What has been asked for since the last but one filling up stays known.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, most: int) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.normal = tokenizer, tokenizer.model, tokenizer.normalizer.normalize_str
+        self.most, self.older = most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        known = self.older.get(part)
+        if known is None:
+            known = self._tokenise(part)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[part] = known
+        return known
+
+    def _tokenise(self, part: str) -> bytes:
+        if part.isalpha() and _latin(part) and part == part.lower():
+            letters = part if part.isascii() else "".join(map(LATIN_LETTERS.__getitem__, part))
+            ids = [token.id for token in self.model.tokenize(letters)]
+        else:
+            word, marks = _word_and_marks(part, self.normal)
+            if marks:
+                return self[word] + self[marks]
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Encoder:
-    """Ids of whole texts; where the tokenizer allows it, from the ids of parts, each tokenised once.
+    """Ids of whole texts; where the tokenizer allows it, from the ids of parts, each tokenised once as long as it is remembered.
 
     A tokenizer that keeps parts between blanks apart is checked for by ``_by_parts``; with any other, texts are encoded
-    whole. Parts met often are remembered, and of new ones only the words in them that are new themselves, in
-    lower case and without marks behind, go through the tokenizer.
+    whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_parts = _by_parts(self.tokenizer)
-        self.parts, self.words = {"": b""}, {"": b""}
+        self.parts = _Parts(self.tokenizer, memory) if _by_parts(self.tokenizer) else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_parts:
+        if self.parts is None:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.parts) > MEMORY:
-            self.parts = {"": b""}
-        normal = self.tokenizer.normalizer.normalize_str
-        new = [(part, *_word_and_marks(part, normal)) for part in set().union(*split).difference(self.parts)]
-        if new:
-            self._learn({x for _, *both in new for x in both}.difference(self.words))
-            words = self.words
-            self.parts.update({part: words[word] + words[marks] for part, word, marks in new})
-            if len(words) > MEMORY:
-                self.words = {"": b""}
-        get = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
-
-    def _learn(self, new: set[str]) -> None:
-        """Tokenise words in one text, each on a line of its own; a token belongs to the line that it starts in."""
-        if not new:
-            return
-        lines = list(new)
-        coded = self.tokenizer.encode("\n".join(lines), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in lines)])
-        cuts = (np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), starts) * 4).tolist()
-        raw = np.array(coded.ids, "<u4").tobytes()
-        self.words.update(zip(lines, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.string()), " ")
+        ends = lists.offsets.to_numpy()
+        seen = lists.flatten().dictionary_encode()
+        # Of the distinct parts, plain words in lower case and the marks behind them; all other parts as they are.
+        both = pc.extract_regex(seen.dictionary, PLAIN_PART)
+        word = pc.coalesce(pc.utf8_lower(pc.struct_field(both, "word")), seen.dictionary)
+        marks = pc.fill_null(pc.struct_field(both, "marks"), "")
+        pool = pa.concat_arrays([word, marks]).dictionary_encode()
+        raw = list(map(self.parts.__getitem__, pool.dictionary.to_numpy(zero_copy_only=False)))
+        ids, size = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        # Each part is two entries of the pool; ids are gathered entry by entry.
+        entry = pool.indices.to_numpy().reshape(2, -1)[:, seen.indices.to_numpy()].T.ravel()
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        n = size[entry]
+        reached = np.r_[0, np.cumsum(n)]
+        found = ids[np.repeat(begin[entry] - reached[:-1], n) + np.arange(reached[-1])]
+        return np.split(found, reached[2 * ends[1:-1]])
+
+
+def _latin(word: str) -> bool:
+    """Whether Python lower-cases the word as the tokenizer does, and nothing in it is there to be composed."""
+    return word.isascii() or ord(max(word)) < LATIN_END and "\u0130" not in word
 
 
 def _word_and_marks(part: str, normal: Callable[[str], str]) -> tuple[str, str]:
@@ -166,8 +218,8 @@ def _word_and_marks(part: str, normal: Callable[[str], str]) -> tuple[str, str]:
     combining mark, which is one piece with the marks behind. The tokenizer lower-cases, so Latin words may
     be so already; special tokens, which are not, have a ``<``.
     """
-    word = part.rstrip(".,!?;:")
-    latin = word.isascii() or max(word) < "\u0250" and "\u0130" not in word
+    word = part.rstrip(MARKS)
+    latin = _latin(word)
     if not word or not (word if latin or len(word) == len(part) else normal(word))[-1:].isalpha():
         word = part
     marks = part[len(word) :]
@@ -200,9 +252,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         size = 0
         for batch in batches:
             ids, raw = batch.column("doc_id").to_pylist(), batch.column("bytes")
-            for lo in range(0, len(ids), TEXTS):
-                texts = [b.decode("utf-8", "replace") for b in raw.slice(lo, TEXTS).to_pylist()]
-                for doc, coded in zip(ids[lo : lo + TEXTS], encoder.encode(texts)):
+            for lo, hi in _stretches(raw):
+                texts = [b.decode("utf-8", "replace") for b in raw.slice(lo, hi - lo).to_pylist()]
+                for doc, coded in zip(ids[lo:hi], encoder.encode(texts)):
                     names.append(doc)
                     held.append(np.concatenate([coded, end]))
                     size += len(held[-1])
@@ -222,6 +274,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     coded.withColumn("file", F.spark_partition_id()).write.mode("overwrite").parquet(path)
 
 
+def _stretches(raw: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows that are encoded together: about ``TEXT_BYTES``, one at least."""
+    reached = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(reached)) + 1).tolist(), len(raw)]
+    yield from zip(cuts, cuts[1:])
+
+
 def _block(block: int, names: list, held: list[np.ndarray]) -> pa.RecordBatch:
     """One row: documents' ids and lengths, and their token ids in runs that start at known words."""
     ids = np.concatenate(held)
