@@ -30,7 +30,8 @@ DECIMALS = 9
 
 RESIDENT_BYTES = 64 << 20
 LANE_BYTES = 32 << 20
-TILE = 2048
+# Texts and images of one tile of scores.
+TILE, TILE_ROWS = 2048, 256
 
 TOPK_SCHEMA = "image_id bigint, rank int, caption_id bigint, score double"
 COUNT_SCHEMA = "id bigint, i2t bigint, t2i bigint"
@@ -49,8 +50,10 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if n == 0:
         return flat.reshape(0, 0)
     m = flat.reshape(n, -1)
-    norm = np.sqrt((m * m).sum(axis=1))
-    return m / np.maximum(norm, NORM_FLOOR)[:, None]
+    for x in tiles(n):
+        norm = np.sqrt((m[x] * m[x]).sum(axis=1))
+        m[x] /= np.maximum(norm, NORM_FLOOR)[:, None]
+    return m
 
 
 def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -72,30 +75,49 @@ def best_k(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def block_topk(a: np.ndarray, t: np.ndarray, t_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running top-k of every row of ``a`` against all of ``t``, one text tile at a time."""
+    """Running top-k of every row of ``a`` against all of ``t``, one tile of both at a time. ``t_ids`` must be ascending."""
+    found = [_tile_topk(a[x], t, t_ids, k) for x in tiles(len(a), TILE_ROWS)]
+    if not found:
+        return np.empty((0, min(k, len(t_ids))), np.int64), np.empty((0, min(k, len(t_ids))))
+    return np.vstack([ids for ids, _ in found]), np.vstack([scores for _, scores in found])
+
+
+def _tile_topk(a: np.ndarray, t: np.ndarray, t_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.empty((len(a), 0), np.int64)
     scores = np.empty((len(a), 0))
     for s in tiles(len(t_ids)):
-        sims = np.round(a @ t[s].T, DECIMALS)
-        if sims.shape[1] > 4 * k:
-            # Keep every column that ties with the k-th best, then settle ties by id.
-            floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-            width = int((sims >= floor[:, None]).sum(axis=1).max())
-            if width <= 4 * k:
-                pick = np.sort(np.argpartition(-sims, width - 1, axis=1)[:, :width], axis=1)
-                new_ids, new_scores = t_ids[s][pick], np.take_along_axis(sims, pick, axis=1)
-            else:
-                new_ids, new_scores = best_k(t_ids[s], sims, k)
-        else:
-            new_ids, new_scores = np.broadcast_to(t_ids[s], sims.shape), sims
-        all_ids = np.hstack([ids, new_ids])
-        all_scores = np.hstack([scores, new_scores])
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-        ids = np.take_along_axis(all_ids, order, axis=1)
-        scores = np.take_along_axis(all_scores, order, axis=1)
+        sims = a @ t[s].T
+        if ids.shape[1] < k:
+            ids, scores = _merge_topk(ids, scores, t_ids[s], np.round(sims, DECIMALS), k)
+            continue
+        # Later texts have higher ids, so only a score above the k-th best, after rounding, changes a row. NaN is looked at.
+        rows = np.flatnonzero(~(sims.max(axis=1) <= scores[:, -1] + 0.25 * 10.0**-DECIMALS))
+        if len(rows):
+            ids[rows], scores[rows] = _merge_topk(ids[rows], scores[rows], t_ids[s], np.round(sims[rows], DECIMALS), k)
     return ids, scores
 
 
+def _merge_topk(
+    ids: np.ndarray, scores: np.ndarray, t_ids: np.ndarray, sims: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of those held and of one more tile of texts."""
+    if sims.shape[1] > 4 * k:
+        # Keep every column that ties with the k-th best, then settle ties by id.
+        floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+        width = max(k, int((sims >= floor[:, None]).sum(axis=1).max()))
+        if width <= 4 * k:
+            pick = np.sort(np.argpartition(-sims, width - 1, axis=1)[:, :width], axis=1)
+            new_ids, new_scores = t_ids[pick], np.take_along_axis(sims, pick, axis=1)
+        else:
+            new_ids, new_scores = best_k(t_ids, sims, k)
+    else:
+        new_ids, new_scores = np.broadcast_to(t_ids, sims.shape), sims
+    all_ids = np.hstack([ids, new_ids])
+    all_scores = np.hstack([scores, new_scores])
+    order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+    return np.take_along_axis(all_ids, order, axis=1), np.take_along_axis(all_scores, order, axis=1)
+
+
 def block_better(
     a: np.ndarray, a_ids: np.ndarray, a_pos: np.ndarray,
     t: np.ndarray, t_ids: np.ndarray, t_pos: np.ndarray,
@@ -103,7 +125,7 @@ def block_better(
     """How many rivals beat each image's and each text's own partner inside this block."""
     i2t = np.zeros(len(a_ids), np.int64)
     t2i = np.zeros(len(t_ids), np.int64)
-    for x in tiles(len(a_ids)):
+    for x in tiles(len(a_ids), TILE_ROWS):
         for y in tiles(len(t_ids)):
             sims = np.round(a[x] @ t[y].T, DECIMALS)
             ai, ti = a_ids[x][:, None], t_ids[y][None, :]

@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -164,3 +165,48 @@ def test_medians_of_many_ranks(spark):
     assert metrics.lower_medians(df, ["i2t_rank", "t2i_rank"], 8) == {"i2t_rank": (n + 1) // 2, "t2i_rank": 1}
     row = metrics.retrieval_metrics(df).first()
     assert row["i2t_MedR"] == (n + 1) // 2 and row["t2i_MedR"] == 1.0
+
+
+def test_topk_holds_one_tile_of_scores():
+    """Memory does not grow with the images of a block."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(12_000, 3)), rng.normal(size=(3_000, 3))
+    tracemalloc.start()
+    similarity.block_topk(a, b, np.arange(3_000), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_ranks_hold_one_tile_of_scores():
+    rng = np.random.default_rng(4)
+    a, b, p = rng.normal(size=(4_096, 3)), rng.normal(size=(4_096, 3)), rng.normal(size=4_096)
+    tracemalloc.start()
+    similarity.block_better(a, np.arange(4_096), p, b, np.arange(4_096), p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_topk_of_ties_sorts_a_row_once(monkeypatch):
+    """A later text that ties with the k-th best changes nothing, so its tile is not sorted."""
+    sorted_rows, best = [], similarity.best_k
+
+    def counted(ids, scores, k):
+        sorted_rows.append(len(scores))
+        return best(ids, scores, k)
+
+    monkeypatch.setattr(similarity, "best_k", counted)
+    a, b = np.tile([[0.6, 0.8]], (300, 1)), np.tile([[0.6, 0.8], [0.8, 0.6]], (10_000, 1))
+    ids, scores = similarity.block_topk(a, b, np.arange(20_000), 3)
+    assert (ids == [0, 2, 4]).all() and (scores == 1).all()
+    assert sum(sorted_rows) == 300
+
+
+def test_topk_sees_a_better_text_in_a_late_tile_and_nan():
+    a, b = np.array([[1.0, 0.0], [0.0, 1.0]]), np.tile([[0.6, 0.8]], (9_000, 1))
+    b[8_000], b[100] = [1.0, 0.0], [np.nan, 0.0]
+    ids, scores = similarity.block_topk(a, b, np.arange(9_000), 2)
+    assert ids.tolist() == [[8_000, 0], [0, 1]] and scores.tolist() == [[1.0, 0.6], [0.8, 0.8]]
+    ids, scores = similarity.block_topk(a[:0], b, np.arange(9_000), 2)
+    assert ids.shape == scores.shape == (0, 2)
