@@ -5,17 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.hooks import held
-from shardloom.functions.text import BLANKS, py_strip
+from shardloom.functions.text import BLANKS, py_strip, slices
 
 # Tokens of a text that a translation model takes, and of a caption in training.
 TRANSLATION_TOKENS = 128
 CAPTION_TOKENS = 64
 
+# Bytes and texts that a tokenizer is given at once; its tokens are Python objects until they are in Arrow columns.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 512
+
 # Texts to, of each text, its token ids and the ends of the tokens in code points.
 Tokenizer = Callable[[list[str]], list[tuple[list[int], list[int]]]]
 
@@ -24,27 +28,37 @@ def encoded_column(load_tokenizer: Callable[[], Tokenizer], length: int, pad_id:
     """Column function of a text: ``ids`` and ``mask`` of exactly ``length``, ``n_tokens`` before the cut, and ``kept``.
 
     ``kept`` is the text up to the end of the last token that is left, the whole text if none is cut off. The mask has 1 for a token and 0
-    for padding. Of a null text all are null. A worker process loads the tokenizer once. Only the text crosses into Python.
+    for padding. Of a null text all are null. A worker process loads the tokenizer once and hands it
+    about ``SLICE_BYTES`` of texts a time. Only the text crosses into Python.
     """
     if length < 1:
         raise ValueError("the length must be positive")
     hook = uuid.uuid4().hex
 
-    @F.pandas_udf("ids array<int>, mask array<int>, n_tokens bigint, kept string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(texts: pa.Array, tokenize: Tokenizer) -> pa.StructArray:
+        given = texts.to_pylist()
+        there = [i for i, text in enumerate(given) if text is not None]
+        ids, mask = np.full((len(given), length), pad_id, np.int32), np.zeros((len(given), length), np.int32)
+        counts: list = [None] * len(given)
+        kept: list = [None] * len(given)
+        for i, (found, ends) in zip(there, tokenize([given[i] for i in there]), strict=True):
+            if len(found) != len(ends):
+                raise ValueError("a tokenizer gives as many ends as ids")
+            n = min(len(found), length)
+            ids[i, :n], mask[i, :n], counts[i] = found[:n], 1, len(found)
+            kept[i] = given[i][: ends[n - 1]] if len(found) > length else given[i]
+        offsets = pa.array(np.arange(len(given) + 1, dtype=np.int32) * length)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=texts.is_null()) for m in (ids, mask)]
+        return pa.StructArray.from_arrays(
+            [*lists, pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=["ids", "mask", "n_tokens", "kept"]
+        )
+
+    @F.arrow_udf("struct<ids:array<int>,mask:array<int>,n_tokens:bigint,kept:string>")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenize = held((hook, ""), load_tokenizer)
         for texts in batches:
-            out: list = [(None, None, None, None)] * len(texts)
-            there = [i for i, text in enumerate(texts) if text is not None]
-            for i, (ids, ends) in zip(there, tokenize([texts.iloc[i] for i in there]), strict=True):
-                if len(ids) != len(ends):
-                    raise ValueError("a tokenizer gives as many ends as ids")
-                n, text = min(len(ids), length), texts.iloc[i]
-                out[i] = (
-                    [*ids[:n], *[pad_id] * (length - n)], [1] * n + [0] * (length - n), len(ids),
-                    text[: ends[n - 1]] if len(ids) > length else text,
-                )
-            yield pd.DataFrame(out, columns=["ids", "mask", "n_tokens", "kept"], index=texts.index)
+            parts = [encoded(texts.slice(lo, hi - lo), tokenize) for lo, hi in slices(texts, SLICE_BYTES, SLICE_ROWS)]
+            yield pa.concat_arrays(parts) if parts else encoded(texts, lambda _: [])
 
     return call
 

@@ -181,3 +181,23 @@ def test_tokens_are_cut_and_padded_to_a_fixed_length(spark):
     )
     done = translate(routed, lambda name: lambda texts: [t.upper() for t in texts], cap=(load, 2))
     assert [r.translation for r in done.orderBy("id").collect()] == ["A B", "a b c d", ""]
+
+
+def test_tokens_of_a_large_batch_are_held_slice_by_slice(spark):
+    """A tokenizer never holds the tokens of a whole Arrow batch; slices give what one call would."""
+
+    def load():
+        def run(texts):
+            assert sum(map(len, texts)) <= 1 << 18 or len(texts) == 1
+            return [([len(w) for w in t.split(" ")], [i + 1 for i in range(len(t.split(" ")))]) for t in texts]
+
+        return run
+
+    text = F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise(F.repeat(F.lit("ab c "), (F.col("id") % 400 + 100).cast("int")))
+    df = spark.range(600).select("id", text.alias("t")).coalesce(1)
+    got = rows(df.select("id", encoded_column(load, 4, -1)(F.col("t")).alias("x")).select("id", "x.ids", "x.mask", "x.n_tokens", "x.kept"), "id")
+    for i, ids, mask, n, kept in got:
+        if i % 50 == 7:
+            assert ids is mask is n is kept is None
+        else:
+            assert (ids, mask, n, kept) == ([2, 1, 2, 1], [1] * 4, 2 * (i % 400 + 100) + 1, "ab c")
