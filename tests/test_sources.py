@@ -6,6 +6,7 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardloom.catalog.queries import png
@@ -305,3 +306,48 @@ def test_profile_and_export(spark, folder):
     assert got == [("sample_00000.jpg", b"1", "one"), ("sample_00001.jpg", b"2", None)]
     tables.export_metadata(df, folder)
     assert spark.read.parquet(folder).count() == 3
+
+
+def test_changes_of_a_shard_reach_the_copy_in_order_and_one_at_a_time(spark, shards, folder):
+    """Null and unknown changes change nothing; of the splits none is left out. No table of changes is gathered for a split."""
+    splits = tar.shard_splits(spark, f"{shards}/*.tar")
+    read = tar.read_splits(splits, ("json",))
+    place = read.select("url", "part", "offset", "key").withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("offset")))
+    json = F.when(F.col("n") % 2 == 0, F.concat(F.lit('{"k": "'), "key", F.lit('"}')))
+    new = place.select("url", "part", "offset", json.alias("json"))
+    lost = new.limit(1).select(F.lit("file:/none.tar").alias("url"), "part", "offset", F.lit("{}").alias("json"))
+    manifest = tar.rewrite_shards(splits, new.unionByName(lost).unionByName(new.withColumn("offset", F.col("offset") + 1)), folder)
+    assert manifest.count() == splits.count()
+    plan = manifest._jdf.queryExecution().toString()
+    got = {r.key: bytes(r.fields["json"]).decode() if "json" in r.fields else None for r in tar.read_shards(spark, f"{folder}/*.tar", ("json",)).collect()}
+    before = {r.key: bytes(r.fields["json"]).decode() if "json" in r.fields else None for r in read.collect()}
+    want = {r.key: f'{{"k": "{r.key}"}}' if r.n % 2 == 0 else before[r.key] for r in place.collect()}
+    assert got == want and "FlatMapCoGroups" not in plan
+
+
+def test_a_copy_reads_changes_as_it_goes(tmp_path):
+    """When a sample is written, no change behind the next one has been taken yet."""
+    with tarfile.open(tmp_path / "a.tar", "w") as out:
+        for i in range(5):
+            info = tarfile.TarInfo(f"{i}.json")
+            info.size = 2
+            out.addfile(info, io.BytesIO(b"{}"))
+    url, taken, written = f"file:{tmp_path}/a.tar", [], []
+    places = [at for at, _, _ in tar._Samples(url, 0, 1 << 30, None, True)]
+
+    def rows():
+        yield {"url": url, "part": 0, "parts": 1, "start": 0, "end": 1 << 30, "source": url, "offset": -1, "json": None}
+        for at in places:
+            taken.append(at)
+            yield {"url": url, "part": 0, "parts": None, "offset": at, "json": f"[{at}]"}
+
+    class Watched(tar.TarOut):
+        def add(self, key, fields):
+            written.append((len(taken), dict(fields)["json"].decode()))
+
+    kept, tar.TarOut = tar.TarOut, Watched
+    try:
+        assert len(list(tar._copy_split(rows(), f"file:{tmp_path}", True))) == 1
+    finally:
+        tar.TarOut = kept
+    assert written == [(min(i + 2, 5), f"[{at}]") for i, at in enumerate(places)]
