@@ -234,3 +234,39 @@ def test_deal_of_nothing_of_ties_and_of_one_row(spark):
     assert translate.deal_by_cost(df.filter("false"), 4, F.col("cost")).count() == 0
     with pytest.raises(ValueError):
         translate.deal_by_cost(df, 0, F.col("cost"))
+
+
+def test_only_rows_for_a_model_are_dealt(spark, monkeypatch):
+    """Rows that no model is given cost nothing and would all be one task's; they stay where they are."""
+    dealt, deal = [], translate.deal_by_cost
+
+    def counted(df, *args, **options):
+        dealt.append(df.count())
+        return deal(df, *args, **options)
+
+    monkeypatch.setattr(translate, "deal_by_cost", counted)
+    data = [(i, f"t{i}", [True, False, None][i % 3], "" if i % 2 else "m_a", bool(i % 2)) for i in range(600)]
+    df = spark.createDataFrame(data, "i int, text string, valid boolean, model string, is_identity boolean")
+    got = rows(translate.translate(df, upper_model, batch=2, deal=4, spread_by=["i"]).select("i", "translation"))
+    assert dealt == [100] and sorted(r[0] for r in got) == list(range(600))
+
+
+def test_grams_of_many_kinds_and_of_few(spark, monkeypatch):
+    """Grams counted by cells or by sorting, in slices of any size, are the overlapping ones of each text."""
+    texts = ["abcabc", "", None, "a", "été 𠀀𠀁𠀂 été", "a1b", "été", "x\ny"]
+    df = spark.createDataFrame([(t, "aa" if i % 2 else "bb") for i, t in enumerate(texts)] + [("abc", None)], "text string, lang string")
+    want = {}
+    for t, g in zip(*zip(*df.select(F.explode(language.trigrams(F.col("text"))), "lang").collect())):
+        if g:
+            want[g, t] = want.get((g, t), 0) + 1
+    for cells, size in ((1 << 21, 1 << 20), (0, 1 << 20), (1 << 21, 4)):
+        monkeypatch.setattr(language, "CELLS", cells)
+        monkeypatch.setattr(language, "SLICE", size)
+        assert {(r.lang, r.gram): r.n for r in language.trigram_counts(df).collect()} == want
+
+
+def test_a_batch_of_texts_yields_a_row_per_gram_not_per_place(spark):
+    """Text reaches the exchange as counts of grams; no row stands for a place in a text."""
+    df = spark.range(200).select(F.repeat(F.lit("soup and bread "), 50).alias("text"), F.lit("en").alias("lang")).coalesce(1)
+    plan = language.trigram_counts(df)._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan and "MapInArrow" in plan
