@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shardloom.functions.json import json_object, json_string, json_type
+from shardloom.functions.json import json_object, json_string, json_type, once
 from shardloom.functions.text import nonblank, py_strip
 
 
@@ -33,10 +33,11 @@ def caption_for_translation(json: Column, txt: Column) -> Column:
     The text file is the fallback only for a missing or null caption. A blank caption
     yields nothing, and so does one that is not a string.
     """
-    v = json_object(json)
-    kind = json_type(v, "caption")
-    text = F.when(kind.isNull() | (kind == "VOID"), txt).otherwise(json_string(v, "caption"))
-    return F.when(nonblank(text).isNotNull(), text)
+    def chosen(v: Column) -> Column:
+        kind = json_type(v, "caption")
+        return F.when(kind.isNull() | (kind == "VOID"), txt).otherwise(json_string(v, "caption"))
+
+    return once(once(json_object(json), chosen), lambda text: F.when(nonblank(text).isNotNull(), text))
 
 
 def english_caption(json: Column) -> Column:

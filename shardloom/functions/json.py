@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def _without_constants(c: Column) -> Column:
     return F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("null"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def json_object(c: Column) -> Column:
     """Parsed object, or null for anything malformed or not an object.
 
@@ -35,7 +41,7 @@ def json_object(c: Column) -> Column:
     v = F.coalesce(
         F.try_parse_json(c), F.when(c.rlike("NaN|Infinity"), F.try_parse_json(_without_constants(c)))
     )
-    return F.when(F.schema_of_variant(v).startswith("OBJECT<"), v)
+    return once(v, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT<"), v))
 
 
 def json_type(v: Column, key: str) -> Column:

@@ -9,7 +9,7 @@ row stands for a gram, and neither grams nor texts are exchanged.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.functions.text import cleaned_for_validity, enough_text, has_cjk, letter_count, py_strip
+from shardloom.functions.text import MIN_LETTERS, cleaned_for_validity, has_cjk, letter_count, nonblank, py_strip, slices
 from shardloom.session import materialize
 
 # Least probability of a valid caption, and of English that stays as it is.
@@ -35,6 +35,8 @@ MICRO = 1_000_000
 PROFILE_BYTES = 64 << 20
 # Code points that are looked up at once.
 SLICE = 1 << 20
+# Cells of a cube of code points in which grams are counted without sorting them.
+CELLS = 1 << 21
 
 # Every overlapping trigram: an empty match with a captured look-ahead, never inside a surrogate pair.
 TRIGRAM = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{3}))"
@@ -50,13 +52,21 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, gram, n`` over whole texts, counted before the exchange."""
-    return (
-        df.filter(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """``lang, gram, n`` over whole texts, counted batch by batch before the exchange."""
+    texts = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters_only(F.col(text)).alias("text"))
+    kind = texts.schema["lang"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            for at, name in enumerate(langs.dictionary):
+                mine = batch.column("text").filter(pc.equal(langs.indices, at))
+                for lo, hi in slices(mine, SLICE):
+                    keys, n = _counted(*_code_points(mine.slice(lo, hi - lo)))
+                    # No row of another language comes between, so the name is one value repeated.
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name, len(keys)), _gram_texts(keys), pa.array(n)], names=["lang", "gram", "n"])
+
+    return texts.mapInArrow(count, f"lang {kind}, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -107,9 +117,39 @@ def train_language_profile(df: DataFrame, text: str = "text", lang: str = "lang"
     return LanguageProfile(langs, materialize(scored, "profile"), unseen)
 
 
-def _gram_keys(points: np.ndarray) -> np.ndarray:
-    p = points.astype(np.int64)
-    return p[:-2] << 42 | p[1:-1] << 21 | p[2:]
+def _gram_ids(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A small number for each overlapping gram of at least three code points, and which numbers occur with their ascending keys.
+
+    Where the code points are of few kinds, a gram's number is a cell of a cube of them, and nothing is sorted.
+    """
+    kinds = np.flatnonzero(np.bincount(points))
+    n = len(kinds)
+    if n**3 > CELLS:
+        p = points.astype(np.int64)
+        keys, ids = np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:], return_inverse=True)
+        return ids, np.arange(len(keys)), keys
+    rank = np.zeros(kinds[-1] + 1, np.int32)
+    rank[kinds] = np.arange(n, dtype=np.int32)
+    codes = rank[points]
+    ids = (codes[:-2] * np.int32(n) + codes[1:-1]) * np.int32(n) + codes[2:]
+    found = np.flatnonzero(np.bincount(ids))
+    return ids, found, kinds[found // (n * n)] << 42 | kinds[found // n % n] << 21 | kinds[found % n]
+
+
+def _counted(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the grams inside the texts, and how often each occurs."""
+    if len(points) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ids, found, keys = _gram_ids(points)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    n = np.bincount(ids[row[:-2] == row[2:]], minlength=found[-1] + 1)[found]
+    return keys[n > 0], n[n > 0]
+
+
+def _gram_texts(keys: np.ndarray) -> pa.Array:
+    points = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], axis=1).astype("<u4")
+    joined = points.tobytes().decode("utf-32-le")
+    return pa.array([joined[i : i + 3] for i in range(0, len(joined), 3)], pa.string())
 
 
 def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,25 +177,25 @@ def _scorer(grams: DataFrame, unseen: tuple[int, ...]) -> Callable[[Column], Col
         known, gains = shared.value
         n, width = len(texts), gains.shape[1]
         count, sums = np.zeros(n, np.int64), np.zeros((n, width), np.int64)
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < n:
-            # At least one text, else as many as make up a slice.
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        for lo, hi in slices(texts, SLICE):
             points, lengths = _code_points(texts.slice(lo, hi - lo))
-            row = np.repeat(np.arange(hi - lo), lengths)
-            if len(points) >= 3:
-                inside = row[:-2] == row[2:]
-                found, row = _gram_keys(points)[inside], row[:-2][inside]
-                count[lo:hi] = np.bincount(row, minlength=hi - lo)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    hit = known[at] == found
-                    at, row = at[hit], row[hit]
-                    for i in range(width):
-                        # Doubles hold these whole numbers exactly.
-                        sums[lo:hi, i] = np.bincount(row, gains[at, i], hi - lo).astype(np.int64)
-            lo = hi
+            if len(points) < 3:
+                continue
+            ids, present, keys = _gram_ids(points)
+            at = np.full(len(keys), len(known))
+            if len(known):
+                near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                at = np.where(known[near] == keys, near, len(known))
+            # A text's grams are neighbours, the last two of them reach into the next text.
+            start = np.cumsum(lengths) - lengths
+            end = np.minimum(np.maximum(start, start + lengths - 2), len(ids))
+            start = np.minimum(start, len(ids))
+            count[lo:hi] = end - start
+            gain, total = np.zeros(present[-1] + 1, np.int32), np.zeros(len(ids) + 1, np.int64)
+            for i in range(width):
+                gain[present] = gains[at, i]
+                np.cumsum(gain[ids], dtype=np.int64, out=total[1:])
+                sums[lo:hi, i] = total[end] - total[start]
         above = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, pa.array(sums.ravel()))
         return pa.StructArray.from_arrays([pa.array(count), above], names=["grams", "above"])
 
@@ -223,12 +263,9 @@ def assess_captions(
     other = F.when(stripped != clean, clean)
     judged = with_language(df, profile, {"__whole": stripped, "__clean": other}, temperature)
     prob = F.when(stripped == clean, F.col("__whole.prob")).otherwise(F.col("__clean.prob"))
-    return judged.withColumns(
-        {
-            "letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"),
-            "has_cjk": has_cjk(clean),
-            "lang": F.col("__whole.lang"),
-            "prob": F.col("__whole.prob"),
-            "valid": enough_text(F.col(text)) & (prob >= MIN_LANG_PROB),
-        }
+    # Letters are counted once, for themselves and for validity.
+    counted = judged.withColumns({"letters": F.coalesce(letter_count(clean), F.lit(0)).cast("bigint"), "has_cjk": has_cjk(clean)})
+    enough = nonblank(F.col(text)).isNotNull() & (F.col("has_cjk") | (F.col("letters") >= MIN_LETTERS))
+    return counted.withColumns(
+        {"lang": F.col("__whole.lang"), "prob": F.col("__whole.prob"), "valid": enough & (prob >= MIN_LANG_PROB)}
     ).drop("__whole", "__clean")
