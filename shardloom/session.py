@@ -14,12 +14,14 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the one SQL setting the JSON functions need and make the package importable in tasks.
+    """Set what the JSON functions and Python workers need and make the package importable in tasks.
 
     Duplicate JSON keys must resolve to the last one, as Python's parser does; the
-    Spark default rejects such documents.
+    Spark default rejects such documents. Arrow batches are kept small, so that a Python worker's share of long texts is.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     ship_package(spark)
     return spark
 
