@@ -11,20 +11,21 @@ from shardloom.functions.text import nonblank, py_strip
 
 def caption_en_first(json: Column, txt: Column) -> Column:
     """English caption, else original caption, else the text file, stripped."""
-    v = json_object(json)
-    return F.coalesce(
-        nonblank(json_string(v, "caption_en")),
-        nonblank(json_string(v, "caption")),
-        py_strip(txt),
-        F.lit(""),
+    return once(
+        json_object(json),
+        lambda v: F.coalesce(
+            nonblank(json_string(v, "caption_en")),
+            nonblank(json_string(v, "caption")),
+            py_strip(txt),
+            F.lit(""),
+        ),
     )
 
 
 def caption_raw(json: Column, txt: Column) -> Column:
     """Original caption, else the text file, stripped."""
-    return F.coalesce(
-        nonblank(json_string(json_object(json), "caption")), py_strip(txt), F.lit("")
-    )
+    caption = once(json_object(json), lambda v: nonblank(json_string(v, "caption")))
+    return F.coalesce(caption, py_strip(txt), F.lit(""))
 
 
 def caption_for_translation(json: Column, txt: Column) -> Column:

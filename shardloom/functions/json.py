@@ -122,4 +122,5 @@ def set_json_string(c: Column, key: str, value: Column) -> Column:
     short = _open_object(c, key)
     rest = value.isNotNull() & ~short
     anew = _put(F.when(rest, c), F.lit(key), F.when(rest, value))
-    return F.when(value.isNull(), c).when(short, _appended(c, key, value)).otherwise(anew)
+    # What was written anew is never null, so the text need not be judged a second time.
+    return F.when(value.isNull(), c).otherwise(F.coalesce(anew, _appended(c, key, value)))

@@ -222,3 +222,12 @@ def test_set_json_string_stays_on_the_jvm_for_plain_objects(spark):
     finally:
         own._put = kept
     assert calls.value == 3 and sorted(set(out)) == [('{"a":1, "k": "v"}',), ('{"k": "v"}',)]
+
+
+def test_choosing_a_caption_parses_its_json_once(spark):
+    df = spark.createDataFrame([('{"caption": " a ", "caption_en": ""}',), ("{bad",), (None,), ("[1]",)], "json string")
+    for choose, first in ((captions.caption_en_first, "a"), (captions.caption_raw, "a"), (captions.caption_for_translation, " a ")):
+        chosen = df.select(choose(F.col("json"), F.lit("t")))
+        # Once as it is, and once without bare NaN and Infinity.
+        assert chosen._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 2
+        assert [r[0] for r in chosen.collect()] == [first, "t", "t", "t"]
