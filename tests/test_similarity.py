@@ -210,3 +210,10 @@ def test_topk_sees_a_better_text_in_a_late_tile_and_nan():
     assert ids.tolist() == [[8_000, 0], [0, 1]] and scores.tolist() == [[1.0, 0.6], [0.8, 0.8]]
     ids, scores = similarity.block_topk(a[:0], b, np.arange(9_000), 2)
     assert ids.shape == scores.shape == (0, 2)
+
+
+def test_few_stored_images_use_every_core(spark):
+    """Small vectors lie in one file, but their products with all texts are not one task's work."""
+    rng = np.random.default_rng(5)
+    found = similarity.topk(frame(spark, rng.normal(size=(40, 3)), 1), frame(spark, rng.normal(size=(40, 3)), 1), 3)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
