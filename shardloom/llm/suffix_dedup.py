@@ -6,11 +6,14 @@ No task sees the corpus whole, so the work is cut by content:
    and equal strings have it at the same place. An anchor's context is all 100-byte strings around it.
 2. Of equal contexts only the earliest counts on; all strings of the others start earlier elsewhere. Equal
    contexts inside a task go before the exchange, so a group of copies sends one row per task and anchor.
-3. Anchors with several contexts are left. Their contexts gather at the place where the anchor was first seen, so
-   neighbours come together again, and overlapping ones of a document are one segment.
-4. A suffix array over the segments of a place, by linear grouping, brings equal 100-byte strings together. All but
-   the earliest of each are removed. A place with too much text is cut; its strings that stay are settled across the
-   cuts by their digests.
+3. Anchors with several contexts are left. An anchor with too many is refined: the strings that start in one range
+   before it share more bytes than it has, so the anchor and those bytes are a longer one, with contexts of its own.
+4. Contexts gather at the place where the anchor was first seen, so neighbours come together again, and overlapping
+   ones of a document are one segment. A place with too much text is cut between anchors, never through one, so equal
+   strings are always in one cut.
+5. Stretches of the segments in which no string can have an equal are left out by hash, and of equal stretches only the
+   earliest counts on. A suffix array over the rest, by linear grouping, brings equal 100-byte strings together. All
+   but the earliest of each are removed.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from shardloom.llm.suffix_array import equal_prefixes, suffix_array
 from shardloom.session import broadcast_if_small, materialize
 
 LENGTH, ANCHOR = 100, 50
-# Bytes of a first-seen place, of the text that one suffix array takes, and of a cut of a crowded place.
+# Bytes of a first-seen place, of the segments that one task step takes, and of contexts in a cut or at an anchor.
 PLACE_BYTES, ARRAY_BYTES, CUT_BYTES = 1 << 14, 1 << 19, 1 << 19
 TASK_BYTES = 4 << 20
+# Ranges of starts that a crowded anchor is refined into at a time, and rounds of narrowing before a suffix array.
+RANGES, ROUNDS = 4, 3
 BROADCAST_IDS = 1_000_000
 
 _STEP = 0x9E3779B97F4A7C15
@@ -51,14 +56,26 @@ def _sliding(a: np.ndarray, width: int, least) -> np.ndarray:
     return least(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers. Those that most texts need are kept."""
+    if n > 1 << 16:
+        return powers(base, n)
+    if base not in _POWERS:
+        _POWERS[base] = powers(base, 1 << 16)
+    return _POWERS[base][:n]
+
+
 class _Hashes:
     """Hashes of any stretch of a text, from running sums."""
 
     def __init__(self, text: np.ndarray) -> None:
         n = len(text)
-        self.back = powers(_BACK, n + 1)
+        self.back = _powers(_BACK, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(_STEP, n), out=self.sums[1:])
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n), out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -193,10 +210,79 @@ def _told_apart(rows: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(scan, _ROW)
 
 
-def _segments(docs: DataFrame, several: DataFrame) -> DataFrame:
-    """``place, cut, doc, start, bytes``: contexts of a place in a document, overlapping ones as one segment."""
-    homes = several.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first")).select(
-        "key", F.xxhash64("first.doc", F.floor(F.col("first.at") / PLACE_BYTES)).alias("place")
+def _keys(several: DataFrame) -> DataFrame:
+    """``key, first, bytes``: where each anchor is seen first, and the bytes of its contexts."""
+    return materialize(several.groupBy("key").agg(
+        F.min(F.struct("doc", "at")).alias("first"), F.sum(F.col("left") + F.col("right")).alias("bytes")
+    ), "keys")
+
+
+def _refined(docs: DataFrame, several: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Contexts and keys without crowded anchors, and the spans that were settled on the way.
+
+    A crowded anchor's strings are told apart by ranges of their starts: all that start in one have the same bytes
+    from the range's end up to its first string's end, or are not equal. Ranges shrink to one start, where equal
+    contexts are equal strings and nothing is left.
+    """
+    keys = _keys(several)
+    kept, known, settled = [], [], []
+    parts = None
+    width = length - anchor + 1
+    while width > 1 and not keys.filter(F.col("bytes") > CUT_BYTES).isEmpty():
+        crowded = broadcast_if_small(keys.filter(F.col("bytes") > CUT_BYTES).select("key"), BROADCAST_IDS)
+        kept.append(several.join(crowded, "key", "left_anti"))
+        known.append(keys.filter(F.col("bytes") <= CUT_BYTES))
+        some = several.join(crowded, "key", "left_semi")
+        if parts is None:
+            origin = F.col("at") - (length - anchor)
+            ids = broadcast_if_small(some.select("doc").distinct(), BROADCAST_IDS)
+            texts = docs.join(ids, "doc", "left_semi").join(some, "doc").select(
+                "key", "doc", origin.alias("origin"), (F.col("at") - F.col("left")).alias("a"),
+                F.expr("substring(bytes, at - left + 1, left + right)").alias("bytes"),
+            )
+        else:
+            texts = parts.join(some.select("key", "context", "doc", "at"), ["key", "context", "doc", "at"], "left_semi")
+        width = -(-width // RANGES)
+        parts = materialize(_ranges(texts, length, width), "ranges")
+        told = materialize(_told_apart(parts.select(
+            "key", "context", "doc", "at", "left", "right", F.lit(None).cast("array<int>").alias("spans")
+        ), length), "refined")
+        settled.append(told.filter("spans IS NOT NULL").select("doc", "spans"))
+        several = told.filter("spans IS NULL").drop("spans")
+        keys = _keys(several)
+    for rows, of in zip(kept, known):
+        several, keys = several.unionByName(rows), keys.unionByName(of)
+    return several, keys, settled
+
+
+def _ranges(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """Each context as one for every range of ``width`` starts, counted from ``origin``. ``a`` is where it starts."""
+    first, last = "a - origin", f"a - origin + octet_length(bytes) - {length}"
+    ranges = texts.withColumn("range", F.explode(F.expr(f"sequence(({first}) div {width}, ({last}) div {width})")))
+    cut = ranges.select(
+        "key", "doc", "origin", "range", F.col("a").alias("was"), "bytes",
+        F.expr(f"cast(origin + greatest({first}, range * {width}) AS int)").alias("a"),
+        F.expr(f"cast(origin + least({last}, range * {width} + {width - 1}) + {length} AS int)").alias("b"),
+        F.expr(f"cast(origin + range * {width} + {width - 1} AS int)").alias("at"),
+    )
+    shared = F.expr(f"substring(bytes, at - was + 1, {length - width + 1})")
+    context = F.expr("substring(bytes, a - was + 1, b - a)")
+    return cut.select(
+        F.xxhash64("key", "range", shared).alias("key"), F.xxhash64(F.col("a") - F.col("origin"), context).alias("context"),
+        "doc", "at", (F.col("at") - F.col("a")).alias("left"), (F.col("b") - F.col("at")).alias("right"),
+        "origin", "a", context.alias("bytes"),
+    )
+
+
+def _segments(docs: DataFrame, several: DataFrame, keys: DataFrame) -> DataFrame:
+    """``place, doc, start, bytes``: contexts of a place in a document, overlapping ones as one segment.
+
+    Crowded places are cut between anchors. Equal strings have their anchor in common, so none are parted.
+    """
+    slot = F.floor(F.col("first.at") / PLACE_BYTES)
+    before = Window.partitionBy("doc", "slot").orderBy("at", "key").rowsBetween(Window.unboundedPreceding, 0)
+    homes = keys.select("key", "bytes", F.col("first.doc").alias("doc"), slot.alias("slot"), F.col("first.at").alias("at")).select(
+        "key", F.xxhash64("doc", "slot", F.floor(F.sum("bytes").over(before) / CUT_BYTES)).alias("place")
     )
     placed = several.join(materialize(homes, "homes"), "key")
     per_doc = materialize(placed.groupBy("doc").agg(
@@ -219,44 +305,77 @@ def _segments(docs: DataFrame, several: DataFrame) -> DataFrame:
             ], names=["place", "doc", "start", "bytes"])
 
     texts = docs.join(ids, "doc", "left_semi").join(per_doc, "doc").select("doc", "bytes", "contexts")
-    found = materialize(texts.mapInArrow(cut, "place long, doc long, start int, bytes binary"), "segments")
-    # Crowded places are dealt into cuts by document.
-    cuts = found.groupBy("place").agg(F.ceil(F.sum(F.length("bytes")) / CUT_BYTES).cast("int").alias("cuts"))
-    return found.join(materialize(cuts, "places"), "place").withColumn(
-        "cut", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
-    )
-
-
-_STRING = "digest binary, doc long, starts array<int>"
+    return materialize(texts.mapInArrow(cut, "place long, doc long, start int, bytes binary"), "segments")
 
 
 def _sorted_strings(segments: DataFrame, length: int) -> DataFrame:
-    """Later ones of equal strings (``digest`` null), and in cut places the earliest of each, by digest."""
+    """``doc, spans`` of the later ones of equal strings."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size = 0
+        place, size = None, 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("place", "cut", "cuts", "doc", "start", "bytes"))):
+            for of, *row in zip(*(batch.column(k).to_pylist() for k in ("place", "doc", "start", "bytes"))):
                 # Places may share an array: their strings are equal or not all the same.
-                if rows and row[:2] != rows[-1][:2] and size >= ARRAY_BYTES:
-                    yield from _repeats(rows, length)
+                if of != place and size >= ARRAY_BYTES:
+                    yield _repeats(rows, length)
                     rows, size = [], 0
-                rows.append(row)
+                rows.append(tuple(row))
+                place = of
                 size += len(row[-1])
         if rows:
-            yield from _repeats(rows, length)
+            yield _repeats(rows, length)
 
     # Arrays cost far more than their bytes suggest to adaptive execution, so the number of tasks is set.
     total = segments.agg(F.sum(F.length("bytes"))).first()[0] or 0
     least = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.repartition(max(least, -(-total // TASK_BYTES)), "place", "cut").sortWithinPartitions(
-        "place", "cut", "doc", "start"
-    )
-    return dealt.select("place", "cut", "cuts", "doc", "start", "bytes").mapInArrow(scan, _STRING)
+    dealt = segments.repartition(max(least, -(-total // TASK_BYTES)), "place").sortWithinPartitions("place", "doc", "start")
+    return dealt.select("place", "doc", "start", "bytes").mapInArrow(scan, "doc long, spans array<int>")
+
+
+def _narrowed(rows: list[tuple], length: int, settled: dict[int, list[tuple[int, int]]]) -> list[tuple]:
+    """Stretches of strings whose hash is there twice, the earliest of equal ones; the others are settled."""
+    text = b"".join(r[-1] for r in rows)
+    ends = np.cumsum([len(r[-1]) for r in rows])
+    begins = np.r_[0, ends[:-1]]
+    offset = np.array([r[1] for r in rows], np.int64) - begins
+    last = np.repeat(ends - length, ends - begins)
+    starts = np.flatnonzero(np.arange(len(text)) <= last)
+    values = _Hashes(np.frombuffer(text, np.uint8)).of(starts, starts + length)
+    order = np.argsort(values)
+    same = values[order[1:]] == values[order[:-1]]
+    twice = np.zeros(len(starts), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    starts = starts[twice]
+    of = np.searchsorted(ends, starts, side="right")
+    new = np.flatnonzero((starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])) + 1
+    heads, tails = (np.r_[0, new], np.r_[new - 1, len(starts) - 1]) if len(starts) else (new, new)
+    first: dict[bytes, tuple[int, int]] = {}
+    for i, a, b, shift in zip(of[heads].tolist(), starts[heads].tolist(), (starts[tails] + length).tolist(), offset[of[heads]].tolist()):
+        part, here = text[a:b], (rows[i][0], a + shift)
+        known = first.setdefault(part, here)
+        # A string may be there twice, by two places; it does not start earlier than itself.
+        if known != here:
+            first[part], (doc, start) = min(known, here), max(known, here)
+            settled.setdefault(doc, []).append((start, start + b - a))
+    return [(doc, start, part) for part, (doc, start) in first.items()]
+
+
+def _repeats(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """``doc, spans`` of the later ones of equal strings in ``doc, start, bytes``."""
+    settled: dict[int, list[tuple[int, int]]] = {}
+    for _ in range(ROUNDS):
+        rows = _narrowed(rows, length, settled) if rows else rows
+    for doc, start in _later(rows, length) if rows else ():
+        settled.setdefault(doc, []).append((start, start + length))
+    return pa.RecordBatch.from_arrays([
+        pa.array(list(settled), pa.int64()),
+        pa.array([[x for span in _joined(s) for x in span] for s in settled.values()], pa.list_(pa.int32())),
+    ], names=["doc", "spans"])
 
 
-def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+def _later(rows: list[tuple], length: int) -> Iterator[tuple[int, int]]:
+    """Document and start of all but the earliest of equal strings, from a suffix array."""
     lengths = np.array([len(r[-1]) for r in rows], np.int64)
     text = np.frombuffer(b"\0".join(r[-1] for r in rows) + b"\0", np.uint8)
     ends = np.cumsum(lengths + 1) - 1
@@ -271,33 +390,15 @@ def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(~fits)
     keep = np.flatnonzero(whole)
     order, of, group = order[keep], of[keep], group[keep]
-    doc = np.array([r[3] for r in rows], np.int64)[of]
-    start = np.array([r[4] for r in rows], np.int64)[of] + order - (ends - lengths)[of]
+    doc = np.array([r[0] for r in rows], np.int64)[of]
+    start = np.array([r[1] for r in rows], np.int64)[of] + order - (ends - lengths)[of]
     by = np.lexsort((start, doc, group))
-    g, doc, start, order, of = group[by], doc[by], start[by], order[by], of[by]
+    g, doc, start = group[by], doc[by], start[by]
     first = np.r_[np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]
     # A string may be there twice, by two places; it does not start earlier than itself.
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     repeat = (doc != doc[head]) | (start != start[head])
-    later: dict[int, list[int]] = {}
-    for d, s in zip(doc[repeat].tolist(), start[repeat].tolist()):
-        later.setdefault(d, []).append(s)
-    yield _strings([None] * len(later), list(later), list(later.values()))
-    # The earliest may still start later than one in another cut, if any of its copies lies in a place that was cut.
-    heads = np.flatnonzero(first)
-    cut = np.array([r[2] for r in rows], np.int64)[of] > 1
-    open_ = heads[np.logical_or.reduceat(cut, heads)] if len(heads) else heads
-    raw = text.tobytes()
-    for lo in range(0, len(open_), 1 << 14):
-        part = open_[lo : lo + (1 << 14)]
-        digests = [hashlib.blake2b(raw[o : o + length], digest_size=16).digest() for o in order[part].tolist()]
-        yield _strings(digests, doc[part].tolist(), [[s] for s in start[part].tolist()])
-
-
-def _strings(digests: list, docs: list[int], starts: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(digests, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
-    ], names=["digest", "doc", "starts"])
+    return zip(doc[repeat].tolist(), start[repeat].tolist())
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -306,18 +407,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     ``docs`` has ``doc`` (distinct) and ``bytes``. Spans may overlap; documents without any are left out.
     """
     rows = materialize(_told_apart(_found_anchors(docs, length, anchor), length), "anchors")
-    equal = rows.filter("spans IS NOT NULL").select("doc", "spans")
-    several = rows.filter("spans IS NULL").select("key", "doc", "at", "left", "right")
-    strings = materialize(_sorted_strings(_segments(docs, several), length), "strings")
-    later = strings.filter("digest IS NULL").select("doc", F.explode("starts").alias("start"))
-    open_ = strings.filter("digest IS NOT NULL").select("digest", "doc", F.element_at("starts", 1).alias("start"))
-    earliest = open_.groupBy("digest").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1").select("digest", "first")
-    across = open_.join(materialize(earliest, "earliest"), "digest").filter(F.struct("doc", "start") > F.col("first"))
-    starts = later.unionByName(across.select("doc", "start"))
-    spans = starts.select("doc", F.array("start", F.col("start") + length).alias("spans"))
-    return equal.unionByName(spans).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = rows.filter("spans IS NOT NULL").select("doc", "spans")
+    several, keys, settled = _refined(docs, rows.filter("spans IS NULL").drop("spans"), length, anchor)
+    for spans in [*settled, _sorted_strings(_segments(docs, several, keys), length)]:
+        found = found.unionByName(spans)
+    return found.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -176,6 +177,36 @@ def test_remove_repeats_short_strings_and_crowded_places(spark, monkeypatch):
     assert rows(got, *COLUMNS4) == brute_repeats(data, 40)
 
 
+def test_remove_repeats_of_a_common_line_makes_no_row_for_each_string(spark, monkeypatch):
+    line = text(200, 12)
+    data = [(i, text(i + 100, 8) + line + text(i + 300, 8)) for i in range(60)] + [(i, text(7, 8) + line) for i in range(60, 64)]
+    made, materialize = collections.Counter(), suffix_dedup.materialize
+
+    def counted(df, label="stage"):
+        found = materialize(df, label)
+        made[label] = max(made[label], found.count())
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    monkeypatch.setattr(suffix_dedup, "CUT_BYTES", 500)
+    got = suffix_dedup.remove_repeats(frame(spark, data), 40, 16)
+    assert rows(got, *COLUMNS4) == brute_repeats(data, 40)
+    assert max(made.values()) <= 4 * made["anchors"], made
+
+
+def test_stretches_without_repeats_and_equal_ones_do_not_reach_the_suffix_array(monkeypatch):
+    rng = random.Random(5)
+    common = bytes(rng.randrange(97, 123) for _ in range(150))
+    found = [(d, 5, bytes(rng.randrange(97, 123) for _ in range(199)) + bytes([d]) + common[: 150 - d % 3]) for d in range(30)]
+    found.append((3, 205, common))  # once more, by another place
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: sizes.append(len(symbols)) or sort(symbols))
+    got = suffix_dedup._repeats(found, 100).to_pydict()
+    # Document 0 has all of it first.
+    assert dict(zip(got["doc"], got["spans"])) == {d: [205, 355 - d % 3] for d in range(1, 30)}
+    assert sum(sizes) < 1000, sizes
+
+
 def test_remove_repeats_with_repeated_ids(spark):
     data = [(None, text(0, 40)), (1, text(0, 40)), (1, text(60, 40)), (2, text(60, 40)), (2, text(60, 40))]
     got = {(r.doc_id, r.n_bytes, r.n_removed > 0) for r in suffix_dedup.remove_repeats(frame(spark, data)).collect()}
