@@ -299,6 +299,18 @@ def test_images(spark, tmp_path):
     assert [r[0] for r in rows(images.unreadable_images(spark, listed, str(tmp_path)), "image_id")] == [0, 1]
 
 
+def test_images_in_folders_are_read_in_few_tasks(spark, tmp_path):
+    names = [f"{i % 7}/{i}.png" for i in range(40 * images.TASK_PARTS)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(PNG)
+    listed = lists.image_paths(spark.createDataFrame(list(enumerate(names)), "image_id bigint, path string"), str(tmp_path))
+    got = images.read_images(spark, listed, str(tmp_path))
+    assert got.count() == len(names) and images.unreadable_images(spark, listed, str(tmp_path)).isEmpty()
+    found = images._decoded(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 2)
+
+
 def test_profile_and_export(spark, folder):
     df = spark.createDataFrame([("k2", None, b"2"), ("k1", "one", b"1"), ("k3", "three", b"3")], "key string, caption string, image binary")
     assert rows(tables.profile_dataset(df, "key", "caption")) == [(3, 1, "one")]
