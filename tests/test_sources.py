@@ -363,3 +363,23 @@ def test_a_copy_reads_changes_as_it_goes(tmp_path):
     finally:
         tar.TarOut = kept
     assert written == [(min(i + 2, 5), f"[{at}]") for i, at in enumerate(places)]
+
+
+def test_images_are_listed_a_bounded_number_at_a_time(spark, tmp_path, monkeypatch):
+    names = [f"{i % 3}/{i:03d}.png" for i in range(60)] + ["top.png", "a b.png", "c[1]{x}*.png", ".hidden.png", "_x/y.png", "k=1/z.png", "junk.png"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"junk" if name == "junk.png" else PNG)
+    more = ["missing.png", "top.png", "a%20b.png", "c%5B1%5D%7Bx%7D*.png", "0", "1/../top.png", "1//001.png"]
+    paths = [*[f"{tmp_path}/{n}" for n in [*names, *more]], f"file://{tmp_path}/1/001.png", None, "/elsewhere.png"]
+    frame = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, image_id int")
+    read, given = images._decoded, []
+    at_once = frame.join(read(spark, str(tmp_path)), images._plain(F.col("path")) == F.col("__at"))
+    good = rows(at_once.select("image_id", "path", "image.width"), "image_id")
+    assert {p.rsplit("/", 1)[1] for _, p, _ in good} >= {"a%20b.png", "c%5B1%5D%7Bx%7D*.png", "z.png", "top.png"} and len(good) == 66
+    monkeypatch.setattr(images, "_decoded", lambda s, places: given.append(places) or read(s, places))
+    parts = [rows(p.select("image_id", "path", "image.width")) for p in images.image_parts(spark, frame, str(tmp_path), files_at_once=10)]
+    assert sorted(r for part in parts for r in part) == good and len(parts) > 5
+    assert all(isinstance(x, list) and len(x) <= 10 for x in given)
+    none = images.read_images(spark, frame.filter("path LIKE '%missing.png'"), str(tmp_path))
+    assert none.count() == 0 and none.schema["image"].dataType == at_once.schema["image"].dataType
