@@ -757,9 +757,14 @@ def stored_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return lists.image_paths(names, folder), folder
 
 
+def sizes_of_image() -> Column:
+    """An image without its pixels."""
+    return F.col("image").dropFields("data")
+
+
 @query
 def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.read_images(spark, *stored_images(spark, sf_dir))
+    found = images.read_images(spark, *stored_images(spark, sf_dir), image=sizes_of_image())
     return found.select(
         "image_id", F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),

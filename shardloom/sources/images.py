@@ -13,7 +13,7 @@ from pyspark.ml.image import ImageSchema
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.session import materialize, qualified, settings
+from shardloom.session import materialize, materialize_parts, qualified, settings
 from shardloom.sources.tar import locate
 
 
@@ -107,12 +107,33 @@ def image_parts(
         yield listed.filter(F.lit(False)).withColumn("image", none)
 
 
-def read_images(spark: SparkSession, listed: DataFrame, directory: str, path: str = "path") -> DataFrame:
+def _whole(parts: Iterator[DataFrame], label: str) -> DataFrame:
+    """One frame as it is, several stored."""
+    held = [next(parts)]
+    held += [p for p in (next(parts, None),) if p is not None]
+    if len(held) == 1:
+        return held[0]
+
+    def each() -> Iterator[DataFrame]:
+        while held:
+            yield held.pop(0)
+        yield from parts
+
+    return materialize_parts(each(), label)
+
+
+def read_images(
+    spark: SparkSession, listed: DataFrame, directory: str, path: str = "path", image: Column | None = None,
+    files_at_once: int = FILES_AT_ONCE,
+) -> DataFrame:
     """The listed images that decode, with their listed ids and an ``image`` struct.
 
-    An unreadable or missing file drops its own row and moves no other id.
+    An unreadable or missing file drops its own row and moves no other id. ``image`` is what is kept of the struct. Of more files than
+    ``files_at_once`` that is stored; to work on the pixels of many without storing them, go by ``image_parts``.
     """
-    return listed.join(_decoded(spark, directory), _plain(F.col(path)) == F.col("__at")).drop("__at")
+    kept = F.col("image") if image is None else image
+    parts = image_parts(spark, listed, directory, path, files_at_once)
+    return _whole((p.withColumn("image", kept) for p in parts), "images-read")
 
 
 def unreadable_images(spark: SparkSession, listed: DataFrame, directory: str, path: str = "path") -> DataFrame:
