@@ -800,7 +800,7 @@ def submission_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed, folder = stored_images(spark, sf_dir)
-    read = images.read_images(spark, listed, folder).select("image_id", "image")
+    read = images.read_images(spark, listed, folder, image=sizes_of_image()).select("image_id", "image")
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("text").alias("caption"))
     return tables.profile_dataset(words.join(read, "image_id", "left"), "image_id", "caption", "image")
 
