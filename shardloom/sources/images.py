@@ -136,6 +136,11 @@ def read_images(
     return _whole((p.withColumn("image", kept) for p in parts), "images-read")
 
 
-def unreadable_images(spark: SparkSession, listed: DataFrame, directory: str, path: str = "path") -> DataFrame:
+def unreadable_images(
+    spark: SparkSession, listed: DataFrame, directory: str, path: str = "path", files_at_once: int = FILES_AT_ONCE
+) -> DataFrame:
     """Listed images that are missing or do not decode."""
-    return listed.join(_decoded(spark, directory).select("__at"), _plain(F.col(path)) == F.col("__at"), "left_anti")
+    at = _plain(F.col(path)).alias("__at")
+    names = listed.select(path)
+    read = _whole((p.select(at) for p in image_parts(spark, names, directory, path, files_at_once)), "images-read")
+    return listed.join(read, _plain(F.col(path)) == F.col("__at"), "left_anti")

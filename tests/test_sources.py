@@ -382,6 +382,8 @@ def test_images_are_listed_a_bounded_number_at_a_time(spark, tmp_path, monkeypat
     assert sorted(r for part in parts for r in part) == good and len(parts) > 5
     whole = images.read_images(spark, frame, str(tmp_path), image=F.col("image").dropFields("data"), files_at_once=10)
     assert rows(whole.select("image_id", "path", "image.width"), "image_id") == good and "data" not in whole.schema["image"].dataType.names
+    bad = images.unreadable_images(spark, frame, str(tmp_path), files_at_once=10)
+    assert sorted(r.image_id for r in bad.collect()) == sorted(set(range(len(paths))) - {i for i, _, _ in good})
     assert all(isinstance(x, list) and len(x) <= 10 for x in given)
     none = images.read_images(spark, frame.filter("path LIKE '%missing.png'"), str(tmp_path))
     assert none.count() == 0 and none.schema["image"].dataType == at_once.schema["image"].dataType
