@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -78,19 +79,35 @@ def qualified(spark: SparkSession, path: str) -> str:
     return full.toString()
 
 
+def literal(path: str) -> str:
+    """A path whose characters are not read as a pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A path under the shared folder for as long as it is needed; what was written there is removed."""
+    path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def materialize(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFrame:
     """Write a result to the shared folder and read it back.
 
     Used where one expensive result feeds several branches, or where a branch must see
     exactly the same rows on every attempt. A written table survives lost executors.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

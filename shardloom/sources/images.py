@@ -13,7 +13,7 @@ from pyspark.ml.image import ImageSchema
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.session import materialize, materialize_parts, qualified, settings
+from shardloom.session import literal, materialize, materialize_parts, qualified, settings
 from shardloom.sources.tar import locate
 
 
@@ -75,7 +75,7 @@ def image_parts(
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
     store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if re.search(r"[{}\[\]*?\\]", directory) or not store.exists(hadoop):
+    if literal(directory) != directory or not store.exists(hadoop):
         # A pattern is listed as a whole; a folder that is missing is Spark's error.
         decoded = _decoded(spark, directory)
         yield listed.join(decoded, _plain(F.col(path)) == F.col("__at")).drop("__at")
@@ -93,7 +93,7 @@ def image_parts(
         names = sorted(r[0] for r in rows.select("__file").distinct().collect())
         named = rows.drop("__file", "__part")
         for lo in range(0, len(names), files_at_once):
-            some = [re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{base}/{name}") for name in names[lo : lo + files_at_once]]
+            some = [literal(f"{base}/{name}") for name in names[lo : lo + files_at_once]]
             # Few tasks list the files, and what they find is not kept beyond the frame.
             tasks = str(4 * spark.sparkContext.defaultParallelism)
             with settings(spark, {LISTING_TASKS: tasks, LISTING_CACHE: "0"}):

@@ -55,3 +55,51 @@ def test_damage_of_any_source_and_size(spark, tmp_path, monkeypatch, part_bytes)
     assert rows(queries.queries()["shard_errors"](spark, str(tmp_path)), "shard") == errors
     assert rows(queries.queries()["shards_with_errors"](spark, str(tmp_path)), "shard", "key") == samples
     assert (part_bytes == 4_000) == any(f.endswith("-00001.tar") for f in os.listdir(made[0][: -len("/*.tar")]))
+
+
+def shuffled(spark):
+    """Shuffle files with payload that are on the disk."""
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    paths = [os.path.join(d, f) for t in top for d, _, names in os.walk(t) for f in names if f.startswith("shuffle_") and f.endswith(".data")]
+    return {p for p in paths if os.path.getsize(p) > 10_000}
+
+
+def test_stored_shards_leave_no_copy_behind(spark):
+    before, tables = shuffled(spark), set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    folder = queries.stored_shards(spark, SF)
+    new = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - tables
+    assert not shuffled(spark) - before and {n.rsplit("-", 1)[0] for n in new} == {"shards", "shard-sizes"}
+    assert any(f.endswith(".tar") for f in os.listdir(folder))
+
+
+def test_shards_are_used_up_in_rounds(spark, tmp_path, monkeypatch):
+    sizes = [10, 10, 50, 5, 5, 10, 10, 0]
+    for i, size in enumerate(sizes):
+        (tmp_path / f"{i}.tar").write_bytes(b"x" * size)
+    (tmp_path / "note.txt").write_text("no tar")
+    monkeypatch.setattr(queries, "ROUND_BYTES", 25)
+    seen = []
+    for urls in queries.used_up(spark, str(tmp_path)):
+        assert {os.path.basename(u) for u in urls} <= set(os.listdir(tmp_path))
+        seen.append([int(os.path.basename(u)[:-4]) for u in urls])
+    assert len(seen) == 4 - 1 and sorted(sum(seen, [])) == list(range(len(sizes)))
+    assert sorted(os.listdir(tmp_path)) == sorted([*(f"{i}.tar" for i in seen[-1]), "note.txt"])
+
+
+@pytest.mark.parametrize("name", ["shards_by_format"])
+def test_rounds_change_no_result(spark, monkeypatch, name):
+    run, store, made = queries.queries()[name], queries.stored_shards, []
+
+    def small(*args):
+        made.append((folder := store(*args, part_bytes=20_000), sorted(f for f in os.listdir(folder) if f.endswith(".tar"))))
+        return folder
+
+    whole = sorted(map(repr, rows(run(spark, SF))))
+    monkeypatch.setattr(queries, "ROUND_BYTES", 1)
+    monkeypatch.setattr(queries, "ROUNDS", 5)
+    monkeypatch.setattr(queries, "stored_shards", small)
+    assert sorted(map(repr, rows(run(spark, SF)))) == whole
+    (folder, tars), = made
+    left = [f for f in os.listdir(folder) if f.endswith(".tar")]
+    assert len(tars) > 20 and 0 < len(left) <= 2 * len(tars) // 5 and os.path.isdir(f"{folder}/_manifest")
+
