@@ -680,11 +680,13 @@ def json_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples as tars, translated into a folder for each round of them."""
     source, out = stored_shards(spark, sf_dir), scratch_path(spark, "shards-en")
-    translation.translate_shards(
-        spark, source + "/*.tar", out, profile_of(spark, sf_dir), routing.routes(spark), stand_in_model
-    )
-    typed = tar.typed_samples(tar.read_shards(spark, out + "/*.tar", ("json",), "fail"))
+    for n, urls in enumerate(used_up(spark, source)):
+        translation.translate_shards(
+            spark, urls, f"{out}/round={n}", profile_of(spark, sf_dir), routing.routes(spark), stand_in_model
+        )
+    typed = tar.typed_samples(tar.read_shards(spark, out + "/round=*/*.tar", ("json",), "fail"))
     parsed = json_object(F.col("json"))
     return typed.select(
         shard_name("source").alias("shard"), "key",

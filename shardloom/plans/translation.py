@@ -12,7 +12,7 @@ from shardloom.functions.json import set_json_string
 from shardloom.functions.tokens import Tokenizer
 from shardloom.operators.language import LanguageProfile
 from shardloom.operators.translate import TextModel, translate_captions, usable_translation
-from shardloom.session import materialize
+from shardloom.session import materialize, scratch
 from shardloom.sources.tar import (
     SPLIT_BYTES, list_shards, read_splits, rewrite_shards, spread_count, spread_splits, typed_samples,
 )
@@ -50,21 +50,23 @@ def translate_files(
     gives its samples up to there and a count of errors in the manifest.
     """
     splits = materialize(spread_splits(files, split_bytes), "splits")
-    scanned = splits.repartition(spread_count(splits.sparkSession, splits.count()))
+    spark = splits.sparkSession
+    scanned = splits.repartition(spread_count(spark, splits.count()))
     place = ["url", "part", "offset"]
     text = typed_samples(read_splits(scanned, ("json", "txt"), on_error)).select(*place, "json", "txt")
-    # The number is stored with the text, so every later step sees the same one.
-    text = materialize(text.withColumn("sample_no", F.monotonically_increasing_id()), "captions")
-    new = translate_samples(text, profile, table, load_model, ["sample_no"], default, spread, cap)
-    changed = new.filter(usable_translation(F.col("translation")).isNotNull())
-    return rewrite_shards(splits, changed.select(*place, F.col("new_json").alias("json")), out_dir, on_error)
+    with scratch(spark, "captions") as path:
+        # The number is stored with the text, so every later step sees the same one.
+        text = materialize(text.withColumn("sample_no", F.monotonically_increasing_id()), path=path)
+        new = translate_samples(text, profile, table, load_model, ["sample_no"], default, spread, cap)
+        changed = new.filter(usable_translation(F.col("translation")).isNotNull())
+        return rewrite_shards(splits, changed.select(*place, F.col("new_json").alias("json")), out_dir, on_error)
 
 
 def translate_shards(
-    spark: SparkSession, in_glob: str, out_dir: str, profile: LanguageProfile, table: DataFrame,
+    spark: SparkSession, in_glob: str | list[str], out_dir: str, profile: LanguageProfile, table: DataFrame,
     load_model: Callable[[str], TextModel], default: str = "m_default", split_bytes: int = SPLIT_BYTES,
     spread: int | None = None, on_error: str = "fail", cap: tuple[Callable[[], Tokenizer], int] | None = None,
 ) -> DataFrame:
-    """Translate every tar of a glob."""
+    """Translate every tar of a glob, or of a list."""
     files = list_shards(spark, in_glob)
     return translate_files(files, out_dir, profile, table, load_model, default, split_bytes, spread, on_error, cap)

@@ -5,6 +5,8 @@ import os
 import pytest
 
 from shardloom.catalog import queries
+from shardloom.operators import routing
+from shardloom.plans import translation
 from tests.conftest import rows
 
 SF = "/root/testdata/sf0.001"
@@ -86,7 +88,7 @@ def test_shards_are_used_up_in_rounds(spark, tmp_path, monkeypatch):
     assert sorted(os.listdir(tmp_path)) == sorted([*(f"{i}.tar" for i in seen[-1]), "note.txt"])
 
 
-@pytest.mark.parametrize("name", ["shards_by_format"])
+@pytest.mark.parametrize("name", ["shards_by_format", "translate_shards"])
 def test_rounds_change_no_result(spark, monkeypatch, name):
     run, store, made = queries.queries()[name], queries.stored_shards, []
 
@@ -103,3 +105,10 @@ def test_rounds_change_no_result(spark, monkeypatch, name):
     left = [f for f in os.listdir(folder) if f.endswith(".tar")]
     assert len(tars) > 20 and 0 < len(left) <= 2 * len(tars) // 5 and os.path.isdir(f"{folder}/_manifest")
 
+
+def test_translation_removes_its_captions(spark, tmp_path, profile):
+    source = queries.stored_shards(spark, SF)
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    made = translation.translate_shards(spark, f"{source}/*.tar", str(tmp_path / "out"), profile, routing.routes(spark), queries.stand_in_model)
+    new = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert made.count() and new and not any(n.startswith("captions") for n in new)
