@@ -879,10 +879,12 @@ def stream_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_translate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tars as they arrive; each is translated once, into the folder of its batch."""
+    """Tars as they arrive, some at a time; each is translated once, into the folder of its batch."""
     source, out = stored_shards(spark, sf_dir), scratch_path(spark, "shards-en")
+    found = _tars(qualified(spark, source))
     run = shard_stream.stream_translate(
         spark, source, out, scratch_path(spark, "offsets"), profile_of(spark, sf_dir), routing.routes(spark), stand_in_model,
+        files_per_trigger=-(-len(found) // rounds_of(found)), use_up=True,
     )
     run.awaitTermination()
     typed = tar.typed_samples(tar.read_shards(spark, out + "/batch=*/*.tar", ("json",), "fail"))

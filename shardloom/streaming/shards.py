@@ -18,17 +18,20 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def stream_translate(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, profile: LanguageProfile,
     table: DataFrame, load_model: Callable[[str], TextModel], default: str = "m_default",
-    files_per_trigger: int | None = None, on_error: str = "fail",
+    files_per_trigger: int | None = None, on_error: str = "fail", use_up: bool = False,
 ) -> StreamingQuery:
     """Translate each arriving tar once.
 
     The stream carries names and sizes only, so a shard may exceed the size of a row. Every
     batch has its own output folder ``batch=N``; a batch that is run again finds its
-    manifest and is skipped, which makes the output exactly-once.
+    manifest and is skipped, which makes the output exactly-once. With ``use_up`` the tars of a batch are removed
+    when the next one begins, so that not everything is there twice.
     """
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.tar")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if use_up:
+        reader = reader.option("cleanSource", "delete")
     arriving = reader.load(in_dir).select(F.col("path").alias("url"), "length")
 
     def handle(files: DataFrame, batch: int) -> None:

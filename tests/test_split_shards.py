@@ -88,7 +88,7 @@ def test_shards_are_used_up_in_rounds(spark, tmp_path, monkeypatch):
     assert sorted(os.listdir(tmp_path)) == sorted([*(f"{i}.tar" for i in seen[-1]), "note.txt"])
 
 
-@pytest.mark.parametrize("name", ["shards_by_format", "translate_shards"])
+@pytest.mark.parametrize("name", ["shards_by_format", "translate_shards", "stream_translate_shards"])
 def test_rounds_change_no_result(spark, monkeypatch, name):
     run, store, made = queries.queries()[name], queries.stored_shards, []
 
