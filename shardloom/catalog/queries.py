@@ -507,7 +507,7 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Bytes of a stored tar, at about the most.
-STORED_BYTES = 64 << 20
+STORED_BYTES = 16 << 20
 # Rounds in which stored tars are used up: bytes of one at the least, and their number at the most.
 ROUND_BYTES, ROUNDS = 128 << 20, 12
 
